@@ -1,15 +1,17 @@
 """Operator 4: licence scans by Dice coefficient over word bigrams.
 
-Units of comparison are every line, every paragraph of several lines (runs between blank
-lines) and the whole document if it has several paragraphs. A unit is lower-cased, every
-run of other than letters and digits becomes a blank, and its distinct word bigrams are
-compared to those of each template: Dice = 2 |A & B| / (|A| + |B|). A template of b bigrams
-can reach Dice t only against units of b t/(2-t) to b (2-t)/t bigrams, and a unit has fewer
-distinct bigrams than words, so most units are dropped on their word count before any bigram
-is made, and most of the rest meet only a template or two.
+Units of comparison are every line, every paragraph of several lines (runs between lines
+that hold no word) and the whole document if several paragraphs hold words. Texts are
+lower-cased and reduced to their words (see `words`); a unit's distinct word bigrams are
+compared to those of each template: Dice = 2 |A & B| / (|A| + |B|).
 
-Everything is row-local: no shuffle; the templates are a constant of the program and are
-broadcast.
+Two size bounds prune. A template of b bigrams can reach Dice t only against units of
+b t/(2-t) to b (2-t)/t bigrams; and since b >= |A & B|, a unit can only if a share t/(2-t)
+of its own bigrams occur in templates at all. The second needs one look-up per bigram in
+the sorted bigrams of all templates, so that hardly any unit is compared in full.
+
+Everything is local to a row: one scan, no shuffle, and the templates are a constant of
+the program.
 
 Defined results: a null or empty text has no units and gives no row; a unit of fewer than
 two words has no bigram and gives no row; ties between templates go to the lower template
@@ -18,30 +20,102 @@ number; repeated rows of the input each give their rows; other columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import text_column
 from citeloom.llm.license_templates import TEMPLATES
+from citeloom.llm.words import BASE, chunks, mix, text_bytes, word_runs
 
 THRESHOLD = 0.8
-_NOT_WORD = r"[^\p{L}\p{N}]+"
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with value evaluated once; Spark would otherwise copy its expression into every use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _words(c: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(c), _NOT_WORD, " ")), " ")
-
-
-def _bigrams(words: Column, least: float = 1) -> Column:
-    """Distinct bigrams, none if there can't be `least` of them."""
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    empty = F.array().cast("array<string>")
-    return _let(words, lambda w: F.when((F.size(w) > 1) & (F.size(w) - 1 >= least), F.array_distinct(pairs(w))).otherwise(empty))
+_FIELDS = "doc_id long, unit string, unit_no int, license string, template_no int, shared int, dice double"
+
+
+def _bigrams(words: np.ndarray) -> np.ndarray:
+    return mix(words[:-1] * np.uint64(BASE) + words[1:] * np.uint64(pow(BASE, 2, 1 << 64)))
+
+
+class _Templates:
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        sets = []
+        for _, text in templates:
+            w = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, *_ in word_runs(pa.array([text.lower()])))])
+            sets.append(np.unique(_bigrams(w)) if len(w) > 1 else np.zeros(0, np.uint64))
+        self.names = [name for name, _ in templates]
+        self.t = threshold
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.known = np.unique(np.concatenate([np.zeros(1, np.uint64), *sets]))
+        self.within = np.stack([np.isin(self.known, s) for s in sets]) if sets else np.zeros((0, 1), bool)
+        sized = self.sizes[self.sizes > 0]
+        self.fewest = int(np.ceil(threshold / (2 - threshold) * sized.min() - 1e-9)) if len(sized) else 1 << 60
+
+    def place(self, grams: np.ndarray) -> np.ndarray:
+        """Index in `known`, or -1."""
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return np.where(self.known[at] == grams, at, -1)
+
+    def best(self, grams: np.ndarray, places: np.ndarray) -> tuple[str, int, int, float] | None:
+        hits = np.unique(places[places >= 0])
+        share = self.t / (2 - self.t)
+        # a lower bound of the distinct bigrams refutes most long units before they are sorted
+        if len(hits) < share * len(np.unique(grams[:64])):
+            return None
+        na = len(np.unique(grams))
+        if len(hits) < share * na:
+            return None
+        bounded = (self.sizes > 0) & (na * (2 - self.t) >= self.sizes * self.t) & (self.sizes * (2 - self.t) >= na * self.t)
+        if not bounded.any():
+            return None
+        shared = self.within[:, hits].sum(axis=1)
+        dice = np.where(bounded & (2 * shared >= self.t * (na + self.sizes)), np.round(2 * shared / (na + self.sizes), 6), -1)
+        k = int(dice.argmax())
+        return (self.names[k], k, int(shared[k]), float(dice[k])) if dice[k] >= 0 else None
+
+
+def _scan(column: pa.Array, known: _Templates) -> Iterator[tuple[int, str, int, str, int, int, float]]:
+    """(row, unit, unit_no, license, template_no, shared, dice) for a column of lower-cased texts."""
+    data, at = text_bytes(column)
+    for (first, last), (_, _, words, offsets, start, _) in zip(chunks(at), word_runs(column), strict=True):
+        if len(words) < 2:
+            continue
+        raw, ends = data[at[first] : at[last]], at[first + 1 : last + 1] - at[first]
+        doc = np.repeat(np.arange(last - first), np.diff(offsets))
+        breaks = np.flatnonzero(raw == 10)
+        break_doc = np.searchsorted(ends, breaks, side="right")
+        # lines are numbered over the whole run: each text has one more than its line breaks
+        per_doc = 1 + np.bincount(break_doc, minlength=last - first)
+        head = np.concatenate([[0], np.cumsum(per_doc)])
+        line = np.searchsorted(breaks, start) + doc
+        filled = np.bincount(line, minlength=head[-1])
+        inner = np.ones(head[-1], bool)
+        inner[head[:-1]] = inner[head[1:] - 1] = False
+        blank = inner & (filled == 0)
+        opens = blank.copy()
+        opens[1:] &= ~blank[:-1]
+        paragraph = np.cumsum(opens) + np.repeat(np.arange(last - first), per_doc)
+        places = known.place(grams := _bigrams(words))
+        for unit, of_word, number in (
+            ("line", line, lambda w: line[w] - head[doc[w]]),
+            ("paragraph", paragraph[line], lambda w: paragraph[line[w]] - paragraph[head[doc[w]]]),
+            ("document", doc, lambda w: 0),
+        ):
+            # of the bigrams that lie within one unit, those that any template has
+            hits = np.flatnonzero((places >= 0) & (of_word[:-1] == of_word[1:]))
+            if not len(hits):
+                continue
+            units, counts = np.unique(of_word[hits], return_counts=True)
+            units = units[counts >= known.fewest]
+            low, high = np.searchsorted(of_word, units), np.searchsorted(of_word, units, side="right")
+            for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                if unit == "paragraph" and line[a] == line[b - 1] or unit == "document" and paragraph[line[a]] == paragraph[line[b - 1]]:
+                    continue
+                found = known.best(grams[a : b - 1], places[a : b - 1])
+                if found:
+                    yield first + int(doc[a]), unit, int(number(a)), *found
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -50,64 +124,37 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
     unit is 'line', 'paragraph' or 'document'; unit_no counts lines or paragraphs from 0.
     Of a unit's templates that reach the threshold, the one of highest Dice is given.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template_no int, license string, body string")
-    known = known.select("template_no", "license", _bigrams(_words(F.col("body"))).alias("b")).select("*", F.size("b").alias("nb"))
-    rows = [(r.template_no, r.license, r.b, r.nb) for r in known.collect() if r.nb]
-    known = F.broadcast(spark.createDataFrame(rows, "template_no int, license string, b array<string>, nb int"))
-    least = min((r[3] for r in rows), default=0) * threshold / (2 - threshold)
-    most = max((r[3] for r in rows), default=0) * (2 - threshold) / threshold
-
-    text = docs.select("doc_id", text_column(docs).alias("t"))
-    lines, paragraphs = F.split("t", "\n"), F.split("t", r"\n[ \t\r]*\n")
-    multi = F.size(paragraphs) > 1
-    unit = lambda kind, no, body: F.struct(F.lit(kind).alias("unit"), no.cast("int").alias("unit_no"), body.alias("body"))
-    many = lambda kind, parts: F.transform(parts, lambda body, no: unit(kind, no, body))
-    units = F.concat(
-        many("line", lines),
-        F.filter(many("paragraph", F.when(multi | (F.size(lines) > 1), paragraphs).otherwise(F.array().cast("array<string>"))), lambda u: F.contains(F.trim(u["body"]), F.lit("\n"))),
-        F.when(multi, F.array(unit("document", F.lit(0), F.col("t")))).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,body:string>>")),
-    )
-    # a bigram takes two characters besides its blank, so short units go before any regex runs
-    units = F.filter(units, lambda u: F.length(u["body"]) >= 2 * least)
-    units = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), _bigrams(_words(u["body"]), least).alias("a")))
-    units = text.select("doc_id", F.explode(F.filter(units, lambda u: F.size(u["a"]).between(least, most))).alias("u")).select("doc_id", "u.*")
-    bound = (F.size("a") * (2 - threshold) >= F.col("nb") * threshold) & (F.col("nb") * (2 - threshold) >= F.size("a") * threshold)
-    scored = (
-        units.withColumn("na", F.size("a"))
-        .join(known, bound)
-        .withColumn("shared", F.size(F.array_intersect("a", "b")))
-        .where(2 * F.col("shared") >= threshold * (F.col("na") + F.col("nb")))
-    )
-    dice = F.round(2 * F.col("shared") / (F.col("na") + F.col("nb")), 6)
-    w = F.struct(dice.alias("dice"), (-F.col("template_no")).alias("o"), "license", "shared")
-    best = scored.groupBy("doc_id", "unit", "unit_no").agg(F.max(w).alias("m"))
-    return best.select("doc_id", "unit", "unit_no", F.col("m.license").alias("license"), (-F.col("m.o")).alias("template_no"), F.col("m.shared").alias("shared"), F.col("m.dice").alias("dice"))
-
-
-def _sql_words(x: str) -> str:
-    return f"string_split(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
-
-
-def _sql_bigrams(w: str) -> str:
-    return f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.string()), ("unit_no", pa.int32()), ("license", pa.string()), ("template_no", pa.int32()), ("shared", pa.int32()), ("dice", pa.float64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Templates(templates, threshold)
+        for batch in batches:
+            found = list(_scan(batch.column(1), known))
+            rows, *rest = zip(*found, strict=True) if found else [()] * 7
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(rest, list(schema)[1:], strict=True))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text")).mapInArrow(scan, _FIELDS)
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
+    word = "0-9a-z\\x{80}-\\x{10FFFF}"
+    words = lambda x: f"list_filter(string_split_regex(lower({x}), '[^{word}]+'), lambda x: x <> '')"
+    bigrams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     values = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(TEMPLATES))
     return f"""
-WITH tw AS (SELECT k AS template_no, name AS license, {_sql_words("body")} AS w FROM (VALUES {values}) v(k, name, body)),
-tb AS (SELECT template_no, license, {_sql_bigrams("w")} AS b FROM tw),
-d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-p AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls, string_split_regex(t, '\\n[ \\t\\r]*\\n') AS ps FROM d),
+WITH tw AS (SELECT k AS template_no, name AS license, {words("body")} AS w FROM (VALUES {values}) v(k, name, body)),
+tb AS (SELECT template_no, license, {bigrams("w")} AS b FROM tw),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+p AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls, string_split_regex(t, '\\n([^{word}\\n]*\\n)+') AS ps FROM d),
 u AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(ls))) AS unit_no, unnest(ls) AS body FROM p
-  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) AS body FROM p) WHERE contains(trim(body), chr(10))
-  UNION ALL SELECT doc_id, 'document', 0, t FROM p WHERE len(ps) > 1),
-uw AS (SELECT doc_id, unit, unit_no, {_sql_words("body")} AS w FROM u),
-ub AS (SELECT doc_id, unit, unit_no, {_sql_bigrams("w")} AS a FROM uw WHERE len(w) > 1),
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(ps))), unnest(ps) AS body FROM p) WHERE regexp_matches(body, '[{word}][^\\n]*\\n(.|\\n)*[{word}]')
+  UNION ALL SELECT doc_id, 'document', 0, t FROM p WHERE len(list_filter(ps, lambda x: regexp_matches(x, '[{word}]'))) > 1),
+uw AS (SELECT doc_id, unit, unit_no, {words("body")} AS w FROM u),
+ub AS (SELECT doc_id, unit, unit_no, {bigrams("w")} AS a FROM uw WHERE len(w) > 1),
 s AS (SELECT doc_id, unit, unit_no, license, template_no, len(list_intersect(a, b)) AS shared, len(a) + len(b) AS n
       FROM ub JOIN tb ON len(a) * {2 - threshold} >= len(b) * {threshold} AND len(b) * {2 - threshold} >= len(a) * {threshold}),
 r AS (SELECT *, round(2 * shared / n, 6) AS dice FROM s WHERE 2 * shared >= {threshold} * n)
-SELECT doc_id, unit, CAST(unit_no AS INT) AS unit_no, license, template_no, CAST(shared AS INT) AS shared, dice
+SELECT doc_id, unit, CAST(unit_no AS INT) AS unit_no, license, CAST(template_no AS INT) AS template_no, CAST(shared AS INT) AS shared, dice
 FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, template_no) = 1"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import licenses, quality
+from citeloom.llm import licenses, linededup, quality
 from citeloom.llm.common import documents
 
 
@@ -18,9 +18,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.duplicate_lines(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan)}
+    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle()}
+    return {"op4_license_scan": licenses.oracle(), "op6_line_dedup": linededup.oracle()}

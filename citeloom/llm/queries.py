@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import licenses, linededup, quality
+from citeloom.llm import licenses, linededup, quality, tokencount
 from citeloom.llm.common import documents
 
 
@@ -22,8 +22,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.duplicate_lines(documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup)}
+    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import licenses, linededup, quality, tokencount
+from citeloom.llm import licenses, linededup, packing, quality, tokencount, warc
 from citeloom.llm.common import documents
 
 
@@ -26,8 +26,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.bundle_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = packing.conversation_examples(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return packing.pack_examples(examples)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts)}
+    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

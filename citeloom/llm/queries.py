@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import licenses, linededup, packing, quality, tokencount, warc
+from citeloom.llm import licenses, linededup, packing, quality, substrings, tokencount, warc
 from citeloom.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(documents(spark, sf_dir))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.bundle_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -36,7 +40,7 @@ def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts, op9_warc_bundles, op10_pack_conversations)}
+    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

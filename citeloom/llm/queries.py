@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import licenses, linededup, packing, quality, substrings, tokencount, warc
+from citeloom.llm import decontaminate, licenses, linededup, packing, quality, substrings, tokencount, warc
 from citeloom.llm.common import documents
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import decontaminate, licenses, linededup, packing, quality, substrings, tokencount, warc
+from citeloom.llm import decontaminate, licenses, linededup, ngramjoin, packing, quality, substrings, tokencount, warc
 from citeloom.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_pairs(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
@@ -44,8 +48,8 @@ def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op4_license_scan, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op4_license_scan, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op6_line_dedup": linededup.oracle()}
+    return {"op3_ngram_jaccard": ngramjoin.oracle(), "op4_license_scan": licenses.oracle(), "op6_line_dedup": linededup.oracle()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import decontaminate, licenses, linededup, ngramjoin, packing, quality, substrings, tokencount, warc
+from citeloom.llm import decontaminate, htmltemplate, licenses, linededup, ngramjoin, packing, quality, substrings, tokencount, warc
 from citeloom.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
 
+def op5_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltemplate.extract_slots(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.duplicate_lines(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op4_license_scan, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op4_license_scan, op5_html_templates, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,7 +41,7 @@ BLOCKS = 3
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     text = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_column(docs).alias("t"))
-    lines = text.select("doc_id", F.posexplode(F.transform(F.split("t", "\n"), F.trim)).alias("line_no", "line"))
+    lines = text.select("doc_id", F.posexplode(F.transform(F.split("t", "\n"), lambda x: F.trim(x))).alias("line_no", "line"))
     lines = lines.where(F.length("line") >= min_chars)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 

@@ -197,19 +197,8 @@ def _matches(column: pa.Array, index: Index, stride: int, threshold: float, shar
             yield first + r, item, -no, s, q, a
 
 
-def contaminated(
-    docs: DataFrame,
-    items: DataFrame,
-    threshold: float = THRESHOLD,
-    share: float = OVERLAP,
-    gram: int = GRAM,
-    passage_words: int = PASSAGE_WORDS,
-    part_words: int = PART_WORDS,
-) -> DataFrame:
-    """(doc_id, item_id, passage_no, score, question_overlap, answer_overlap) of each item that a document holds.
-
-    Of several passages of a document the one of highest score is given, then of most overlap.
-    """
+def _item_parts(items: DataFrame, passage_words: int, part_words: int) -> tuple[list[list[tuple[int, str]]], int]:
+    """Items in parts of at most part_words words, and half the words of a passage."""
     wanted = items.where("item_id is not null").select(F.col("item_id").cast("long"), text_column(items)).distinct()
     parts: list[list[tuple[int, str]]] = [[]]
     longest, held = 0, 0
@@ -224,6 +213,23 @@ def contaminated(
         parts[-1].append((item, text))
         longest, held = max(longest, n), held + n
     stride = -(-max(passage_words, 2 * longest) // 2)
+    return parts, stride
+
+
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = THRESHOLD,
+    share: float = OVERLAP,
+    gram: int = GRAM,
+    passage_words: int = PASSAGE_WORDS,
+    part_words: int = PART_WORDS,
+) -> DataFrame:
+    """(doc_id, item_id, passage_no, score, question_overlap, answer_overlap) of each item that a document holds.
+
+    Of several passages of a document the one of highest score is given, then of most overlap.
+    """
+    parts, stride = _item_parts(items, passage_words, part_words)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage_no", pa.int32()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text"))
     found: DataFrame | None = None
@@ -240,3 +246,31 @@ def contaminated(
         here = text.mapInArrow(search, _FIELDS)
         found = here if found is None else found.unionByName(here)
     return found
+
+
+def without_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float = THRESHOLD,
+    share: float = OVERLAP,
+    gram: int = GRAM,
+    passage_words: int = PASSAGE_WORDS,
+    part_words: int = PART_WORDS,
+) -> DataFrame:
+    """`docs`, all columns, without the rows in which any item is found."""
+    parts, stride = _item_parts(items, passage_words, part_words)
+    lower = "__lower"
+    while lower in docs.columns:
+        lower += "_"
+    out = docs.withColumn(lower, F.lower(text_column(docs)))
+    for part in parts:
+        index = Index.build(part)
+
+        def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = np.zeros(batch.num_rows, bool)
+                hit[[r for r, *_ in _matches(batch.column(batch.num_columns - 1), index, stride, threshold, share, gram)]] = True
+                yield batch.filter(pa.array(~hit))
+
+        out = out.mapInArrow(clean, out.schema)
+    return out.select(*docs.columns)

@@ -143,3 +143,18 @@ def repetition_rules(
 
     out = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_chars", "covered_chars", "longest_repeat", "n_intervals")), ("keep", pa.bool_())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(measure, _FIELDS)
+
+
+def without_repetitive(
+    docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT
+) -> DataFrame:
+    """`docs`, all columns, without the rows that the rules reject."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = (repetition(t or "", min_repeat) for t in texts)
+            yield batch.filter(pa.array([covered <= max_covered * n and longest <= max_repeat for n, covered, longest, _ in found], pa.bool_()))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(keep, docs.schema)

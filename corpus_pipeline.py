@@ -1,15 +1,56 @@
-"""A training-corpus pipeline of the operators in citeloom.llm."""
+"""A training-corpus pipeline of operators in citeloom.llm, from documents to packed bins.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of documents, and returns
+what it keeps, with the same columns; the last returns where each document is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from citeloom.llm import decontaminate, linededup, ngramjoin, packing, quality
+from citeloom.llm.common import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that mostly repeat themselves go."""
+    return quality.without_repetitive(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line has, give or take one edit, go; so do documents left empty by that."""
+    return linededup.without_duplicate_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least doc_id stays."""
+    return ngramjoin.one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, shard, bin_no, position, tokens, loss_tokens, oversize) of each document."""
+    return packing.pack_examples(packing.document_examples(docs)).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: Suffix arrays and the packing heuristic are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -49,7 +49,7 @@ def test_template_slots(spark, monkeypatch):
 def test_classes_by_brute_force(spark):
     """Occurrence vectors compared in full give the classes that hashed sums give."""
     rows, _ = pages(5)
-    rows = [r for r in rows if r[1] and "hop.example" in r[1] and r[2]]
+    rows = [r for r in rows if r[0] is not None and r[1] and "hop.example" in r[1] and r[2]]
     tokens = h.Tokens()
     vectors: dict[str, list[int]] = {}
     for n, (_, _, html) in enumerate(rows):

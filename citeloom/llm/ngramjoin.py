@@ -5,7 +5,8 @@ The global order of n-grams is that of their hashes, cut into ranges, the fragme
 document's set falls into segments. What the fragments count separately is summed: first how
 many n-grams of a document occur elsewhere at all, later the overlaps of pairs.
 
-1. Segments are shuffled to their fragments, as packed arrays. A fragment holds every document
+1. Segments are shuffled to their fragments, packed for a slice of documents at a time, at 4 bytes
+   an n-gram and a byte a document and fragment at most. A fragment holds every document
    with an n-gram in its range, so document frequencies are exact there. N-grams of one document
    only can be in no overlap and stop here; they still count in the sizes.
 2. The segments return to their documents. Since overlap >= t * size is needed, a document with
@@ -23,7 +24,7 @@ of the order of 1e-5.
 
 Defined results: words are as in `words`; a text of fewer than n words is one n-gram, one of
 no words has no partner; null texts count as empty; rows of null doc_id are left out; rows that
-repeat a doc_id count once, with the union of their n-grams; other columns are ignored.
+repeat a doc_id are one document, of their distinct texts in order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,123 +34,136 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import small, stored, text_column
+from citeloom.llm.common import arrow_rows, small, stored, text_column
 from citeloom.llm.components import connected_components
 from citeloom.llm.words import distinct_grams, gram_hashes, mix, word_runs
 
 N = 3
 THRESHOLD = 0.5
-FRAGMENT_GRAMS = 4_000_000
-PARTS = 4
+FRAGMENT_GRAMS = 2_000_000
+SLICE_RUNS = 8
+PARTS = 2
 
 
 def _pack(a: np.ndarray, dtype) -> bytes:
     return a.astype(dtype).tobytes()
 
 
-def _unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
-
-
 def _runs(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive runs of the given sizes."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _pack_counts(per: np.ndarray) -> tuple[int, bytes]:
+    """How many n-grams each document of a slice has here: as counts of 1 or 2 bytes, or, where most have none, as its number repeated."""
+    if per.sum() * 2 < len(per) and len(per) <= 1 << 16:
+        return 0, _pack(np.repeat(np.arange(len(per)), per), np.uint16)
+    width = 1 if per.max() < 1 << 8 else 2 if per.max() < 1 << 16 else 4
+    return width, _pack(per, f"<u{width}")
+
+
+def _documents(form: int, raw: bytes) -> np.ndarray:
+    """The number in its slice of the document of each n-gram."""
+    if not form:
+        return np.frombuffer(raw, np.uint16).astype(np.int32)
+    per = np.frombuffer(raw, f"<u{form}")
+    return np.repeat(np.arange(len(per), dtype=np.int32), per)
+
+
+def _arrays(rows: list[tuple], types: tuple, names: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names.split())
+
+
 def _segments(fragments: int, n: int):
+    """Packed segments of slices of documents by fragment; and once for each slice, on its way to the same place, the documents' ids and sizes."""
+
+    def pack(number: int, ids: np.ndarray, grams: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        g, size = np.concatenate(grams), np.concatenate(sizes)
+        fragment = (((g >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(fragment, kind="stable")
+        rest, doc = g.astype(np.uint32)[order], np.repeat(np.arange(len(ids), dtype=np.int32), size)[order]
+        ends = np.cumsum(np.bincount(fragment, minlength=fragments))
+        rows = [(number % fragments, number, -1, ids.tobytes(), _pack(size, np.uint32))]
+        for f, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if y > x:
+                rows.append((f, number, *_pack_counts(np.bincount(doc[x:y], minlength=len(ids))), rest[x:y].tobytes()))
+        return _arrays(rows, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), "fragment slice form docs grams")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            grams, sizes = [], []
-            for _, _, words, offsets, *_ in word_runs(batch.column(1)):
+            grams, sizes, begun = [], [], 0
+            for _, j, words, offsets, *_ in word_runs(batch.column(1)):
                 g, at = distinct_grams(*gram_hashes(words, offsets, n))
                 grams.append(g)
                 sizes.append(np.diff(at))
-            if not grams:
-                continue
-            g, size = np.concatenate(grams), np.concatenate(sizes)
-            fragment = (((g >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
-            per = np.bincount(fragment * len(ids) + np.repeat(np.arange(len(ids)), size), minlength=fragments * len(ids)).reshape(fragments, len(ids))
-            rest = g.astype(np.uint32)[np.argsort(fragment, kind="stable")]
-            ends = np.cumsum(per.sum(axis=1))
-            rows = []
-            for f in np.flatnonzero(per.any(axis=1)):
-                here = np.flatnonzero(per[f])
-                rows.append((int(f), _pack(ids[here], np.int64), _pack(per[f][here], np.uint32), rest[ends[f] - per[f].sum() : ends[f]].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["fragment", "docs", "sizes", "grams"])
+                if len(grams) == SLICE_RUNS or j == len(ids):
+                    yield pack(number, ids[begun:j], grams, sizes)
+                    grams, sizes, begun, number = [], [], j, number + 1
 
     return cut
 
 
-def _frequent(groups: int):
-    """Within one fragment: which n-grams more than one document has, returned by group of documents."""
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        docs, sizes, grams = _unpack(table["docs"], np.int64), _unpack(table["sizes"], np.uint32), _unpack(table["grams"], np.uint32)
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        ids, place = np.unique(docs, return_inverse=True)
-        if len(ids) < len(docs):  # rows that repeat a doc_id: the union of their n-grams
-            pairs = np.unique(place[doc].astype(np.uint64) << np.uint64(32) | grams)
-            docs, doc, grams = ids, (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
-            sizes = np.bincount(doc, minlength=len(ids))
-        order = np.argsort(grams, kind="stable")
-        g = grams[order]
-        first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
-        run = np.diff(np.concatenate([np.flatnonzero(first), [len(g)]]))
-        df = np.empty(len(g), np.uint32)
-        df[order] = np.repeat(run, run)
-        shared = df > 1
-        kept = np.bincount(doc[shared], minlength=len(docs))
-        group = (mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
-        rows = []
-        by = np.argsort(group, kind="stable")
-        by_gram = np.argsort(group[doc[shared]], kind="stable")
-        sg, sd = grams[shared][by_gram], df[shared][by_gram]
-        d_end, g_end = np.cumsum(np.bincount(group, minlength=groups)), np.cumsum(np.bincount(group, kept, minlength=groups)).astype(np.int64)
-        d_at = g_at = 0
-        for k in range(groups):
-            if d_end[k] > d_at:
-                d = by[d_at : d_end[k]]
-                rows.append((k, key[0].as_py(), docs[d].tobytes(), _pack(sizes[d], np.uint32), _pack(kept[d], np.uint32), sg[g_at : g_end[k]].tobytes(), sd[g_at : g_end[k]].tobytes()))
-            d_at, g_at = d_end[k], g_end[k]
-        types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)], names=["grp", "fragment", "docs", "sizes", "kept", "grams", "df"])
-
-    return count
+def _frequent(key: tuple, table: pa.Table) -> pa.Table:
+    """Within one fragment: which n-grams more than one document has, returned to their slices with a class of their frequency."""
+    rows = list(zip(*(table[c].to_pylist() for c in ("slice", "form", "docs", "grams")), strict=True))
+    out = [(s, -1, -1, d, g, b"") for s, form, d, g in rows if form < 0]
+    rows = [r for r in rows if r[1] >= 0]
+    parts = [np.frombuffer(g, np.uint32) for *_, g in rows]
+    grams = np.concatenate([np.zeros(0, np.uint32), *parts])
+    order = np.argsort(grams, kind="stable")
+    g = grams[order]
+    first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    run = np.diff(np.concatenate([np.flatnonzero(first), [len(g)]]))
+    # only the order matters later, so a byte of logarithm will do
+    rank = np.minimum(np.log2(np.maximum(run, 1)) * 8, 255).astype(np.uint8)
+    df = np.empty(len(g), np.uint8)
+    df[order] = np.repeat(np.where(run > 1, np.maximum(rank, 1), 0).astype(np.uint8), run)
+    at = 0
+    for (number, form, docs, _), part in zip(rows, parts, strict=True):
+        mine = df[at : at + len(part)]
+        at += len(part)
+        kept = mine > 0
+        if kept.any():
+            doc = _documents(form, docs)
+            per = np.bincount(doc[kept], minlength=len(docs) // form if form else int(doc.max()) + 1)
+            out.append((number, key[0].as_py(), *_pack_counts(per), part[kept].tobytes(), mine[kept].tobytes()))
+    types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
+    return pa.Table.from_batches([_arrays(out, types, "slice fragment form docs grams df")])
 
 
 def _survivors(threshold: float):
-    """Documents that can have a partner, with their shared n-grams, rarest first."""
+    """Documents of a slice that can have a partner, with their shared n-grams, rarest first."""
 
     def assemble(table: pa.Table) -> pa.Table:
-        docs, sizes, kept = _unpack(table["docs"], np.int64), _unpack(table["sizes"], np.uint32), _unpack(table["kept"], np.uint32)
-        per_row = [len(x) // 8 for x in table["docs"].to_pylist()]
-        fragment = np.repeat(np.repeat(table["fragment"].to_numpy().astype(np.uint64), per_row), kept)
-        grams = (fragment << np.uint64(32)) | _unpack(table["grams"], np.uint32)
-        df = _unpack(table["df"], np.uint32)
-        ids, doc = np.unique(docs, return_inverse=True)
-        size = np.bincount(doc, sizes).astype(np.int64)
-        have = np.bincount(doc, kept).astype(np.int64)
+        rows = list(zip(*(table[c].to_pylist() for c in ("fragment", "form", "docs", "grams", "df")), strict=True))
+        ids, size = next((np.frombuffer(d, np.int64), np.frombuffer(g, np.uint32).astype(np.int64)) for f, _, d, g, _ in rows if f < 0)
+        rows = [r for r in rows if r[0] >= 0]
+        doc = np.concatenate([np.zeros(0, np.int32), *(_documents(form, d) for _, form, d, _, _ in rows)])
+        grams = np.concatenate([np.zeros(0, np.uint64), *((np.uint64(f) << np.uint64(32)) | np.frombuffer(g, np.uint32).astype(np.uint64) for f, _, _, g, _ in rows)])
+        df = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for *_, x in rows)])
+        have = np.bincount(doc, minlength=len(ids))
         least = np.ceil(threshold * size - 1e-9).astype(np.int64)
-        alive = have >= least
-        of = np.repeat(doc, kept)
-        on = alive[of]
-        of, grams, df = of[on], grams[on], df[on]
-        order = np.lexsort((grams, df, of))
-        of, grams = of[order], grams[order]
-        at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(ids)))]).astype(np.int64)
+        alive = (have >= least) & (size > 0)
+        on = alive[doc]
+        doc, grams, df = doc[on], grams[on], df[on]
+        order = np.lexsort((grams, df, doc))
+        grams = grams[order]
+        at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))]).astype(np.int64)
         mixed = mix(grams)
         out = []
         for k in np.flatnonzero(alive).tolist():
-            g = grams[at[k] : at[k + 1]]
-            same = (int(mixed[at[k] : at[k + 1]].sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed[at[k] : at[k + 1]]))) if have[k] == size[k] else (None, None)
-            out.append((int(ids[k]), int(size[k]), *(x if x is None else x - (1 << 63) for x in same), int(have[k] - least[k] + 1), g.tobytes()))
+            g, m = grams[at[k] : at[k + 1]], mixed[at[k] : at[k + 1]]
+            same = (int(m.sum(dtype=np.uint64)) - (1 << 63), int(np.bitwise_xor.reduce(m)) - (1 << 63)) if have[k] == size[k] else (None, None)
+            out.append((int(ids[k]), int(size[k]), *same, int(have[k] - least[k] + 1), g.tobytes()))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, types, strict=True)], names=["doc_id", "size", "h1", "h2", "prefix", "grams"])
+        return pa.Table.from_batches([_arrays(out, types, "doc_id size h1 h2 prefix grams")])
 
     return assemble
 
@@ -188,12 +202,12 @@ def _candidates(threshold: float):
                 ok = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
                 found.append((a * len(ids) + b)[ok])
                 held += len(found[-1])
-                if held > 8_000_000:
+                if held > 4_000_000 + 2 * len(found[0]):
                     found = [np.unique(np.concatenate(found))]
-                    held = 4_000_000 if len(found[0]) > 4_000_000 else len(found[0])
+                    held = len(found[0])
         pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
         a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-        return pa.Table.from_arrays([pa.array(x) for x in (ids[a], ids[b], sizes[a], sizes[b])], names=["a", "b", "size_a", "size_b"])
+        return pa.Table.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     return pair
 
@@ -204,23 +218,22 @@ def _split(fragments: int, parts: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for cell, doc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cell, doc, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 g = np.sort(np.frombuffer(raw, np.uint64))
                 ends = np.searchsorted(g >> np.uint64(32), [-(-fragments * (k + 1) // parts) for k in range(parts)])
                 for k, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                    if y > x:
-                        rows.append((cell, k, doc, g[x:y].tobytes()))
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names=["cell", "part", "doc_id", "grams"])
+                    if y > x or k == 0:  # the first part tells the size in any case
+                        rows.append((cell, k, doc, size, g[x:y].tobytes()))
+            yield _arrays(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), "cell part doc_id size grams")
 
     return split
 
 
 def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
     """Partial overlaps of pairs (right) from segments (left) of one cell and part."""
-    doc, raw = left["doc_id"].to_numpy(), left["grams"].to_pylist()
+    doc, raw, sizes = left["doc_id"].to_numpy(), left["grams"].to_pylist(), left["size"].to_numpy()
     order = np.argsort(doc)
-    doc = doc[order]
+    doc, sizes = doc[order], sizes[order]
     grams = [np.frombuffer(raw[k], np.uint64) for k in order]
     n = np.array([len(g) for g in grams], np.int64)
     _, local = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
@@ -228,10 +241,11 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
     key = np.repeat(np.arange(len(doc)), n) * span + local  # sorted: by document, then n-gram
     at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     a, b = right["a"].to_numpy(), right["b"].to_numpy()
-    out = np.zeros(len(a), np.int64)
+    out, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     if len(doc):
         ia, ib = (np.minimum(np.searchsorted(doc, x), len(doc) - 1) for x in (a, b))
         both = np.flatnonzero((doc[ia] == a) & (doc[ib] == b))
+        union[both] = sizes[ia[both]] + sizes[ib[both]]
         for part in np.array_split(both, max(1, len(both) // 4096)):
             size = n[ia[part]]
             own = np.repeat(at[ia[part]], size) + _runs(size)
@@ -239,7 +253,7 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
             where = np.minimum(np.searchsorted(key, want), len(key) - 1)
             hit = key[where] == want
             out[part] = np.bincount(np.repeat(np.arange(len(part)), size)[hit], minlength=len(part))
-    return pa.Table.from_arrays([right["a"], right["b"], right["size_a"], right["size_b"], pa.array(out)], names=["a", "b", "size_a", "size_b", "overlap"])
+    return pa.Table.from_arrays([right["a"], right["b"], pa.array(union), pa.array(out)], names=["a", "b", "sizes", "overlap"])
 
 
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
@@ -247,33 +261,42 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragme
     the threshold, each set stood for by its least doc_id, and of that doc_id with the others of its set."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text"))
+    arrow_rows(docs.sparkSession)
+    text = _one_row_each(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text")))
     chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(1, math.ceil(chars / 6 / fragment_grams))
-    segments = text.mapInArrow(_segments(fragments, n), "fragment int, docs binary, sizes binary, grams binary")
-    returned = segments.groupBy("fragment").applyInArrow(_frequent(fragments), "grp int, fragment int, docs binary, sizes binary, kept binary, grams binary, df binary")
-    alive = returned.groupBy("grp").applyInArrow(_survivors(threshold), "doc_id long, size long, h1 long, h2 long, prefix int, grams binary")
+    segments = text.mapInArrow(_segments(fragments, n), "fragment int, slice long, form int, docs binary, grams binary")
+    returned = segments.groupBy("fragment").applyInArrow(_frequent, "slice long, fragment int, form int, docs binary, grams binary, df binary")
+    alive = returned.groupBy("slice").applyInArrow(_survivors(threshold), "doc_id long, size long, h1 long, h2 long, prefix int, grams binary")
     alive = stored(alive, "survivors")
 
     w = Window.partitionBy("size", "h1", "h2")
     same = stored(alive.where("h1 is not null").select("doc_id", "size", F.min("doc_id").over(w).alias("first")).where("first < doc_id"), "same-sets")
     sole = alive.join(small(same.select("doc_id"), 16), "doc_id", "left_anti")
-    buckets = max(1, math.ceil(chars / 6 / fragment_grams / 4))
+    buckets = max(1, math.ceil(chars / 6 / fragment_grams / 8))
     postings = sole.select("doc_id", "size", "prefix", "grams").mapInArrow(_prefixes(buckets), "bucket int, gram long, doc_id long, size long")
-    candidates = postings.groupBy("bucket").applyInArrow(_candidates(threshold), "a long, b long, size_a long, size_b long").distinct()
-    candidates = stored(candidates, "candidates")
+    candidates = stored(postings.groupBy("bucket").applyInArrow(_candidates(threshold), "a long, b long").distinct(), "candidates")
 
     cells = stored(connected_components(candidates).select("node", F.pmod(F.xxhash64("component"), F.lit(fragments)).cast("int").alias("cell")), "cells")
-    placed = sole.join(small(cells, 24), F.col("doc_id") == F.col("node")).select("cell", "doc_id", "grams")
-    placed = placed.mapInArrow(_split(fragments, PARTS), "cell int, part int, doc_id long, grams binary")
-    wanted = candidates.join(small(cells, 24), F.col("a") == F.col("node")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b", "size_a", "size_b")
-    partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(_overlaps, "a long, b long, size_a long, size_b long, overlap long")
-    summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    union = F.col("size_a") + F.col("size_b") - F.col("overlap")
+    placed = sole.join(small(cells, 24), F.col("doc_id") == F.col("node")).select("cell", "doc_id", "size", "grams")
+    placed = placed.mapInArrow(_split(fragments, PARTS), "cell int, part int, doc_id long, size long, grams binary")
+    wanted = candidates.join(small(cells, 24), F.col("a") == F.col("node")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
+    partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(_overlaps, "a long, b long, sizes long, overlap long")
+    summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
+    union = F.col("sizes") - F.col("overlap")
     near = summed.where(F.col("overlap") >= threshold * union - 1e-9).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(F.col("overlap") / union, 6).alias("jaccard"))
     return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
 
 
+def _one_row_each(text: DataFrame) -> DataFrame:
+    """(doc_id, text) with the distinct texts of a repeated doc_id one after another; the rest isn't shuffled."""
+    repeated = stored(text.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return text
+    merged = text.join(small(repeated, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text"))
+    return text.join(small(repeated, 16), "doc_id", "left_anti").unionByName(merged)
+
+
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with only the least doc_id of each group that near pairs connect. Rows of null doc_id stay."""
     groups = connected_components(near_pairs(docs, n, threshold))

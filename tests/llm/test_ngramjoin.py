@@ -17,10 +17,11 @@ def grams(text, n):
 
 
 def brute(rows, n, t):
-    sets: dict[int, set] = {}
+    texts: dict[int, set[str]] = {}
     for d, text in rows:
         if d is not None:
-            sets.setdefault(d, set()).update(grams(text, n))
+            texts.setdefault(d, set()).add((text or "").lower())
+    sets = {d: grams("\n".join(sorted(t)), n) for d, t in texts.items()}
     first: dict[frozenset, int] = {}
     out = {}
     for d in sorted(sets):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import BROADCAST_BYTES, stored
+from citeloom.llm.common import BROADCAST_BYTES, arrow_rows, stored
 
 MIN_PAGES = 3
 MIN_SUPPORT = 0.3
@@ -46,6 +46,7 @@ _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)"
 _PIECE = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[A-Za-z/!?][^>]*>", re.S | re.I)
 _NAME = re.compile(r"</?\s*([A-Za-z0-9:-]+)")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_BLANKS = re.compile(r"(\s+)")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"p", "div", "article", "section", "footer", "header", "nav", "ul", "ol", "li", "table", "h1", "h2", "h3", "h4", "h5", "h6", "main", "aside", "form"}
 
@@ -105,30 +106,44 @@ class Tokens:
             yield path, "", page[at:]
 
 
-def _roles(tokens: Tokens, page: str) -> Iterator[str]:
+def _stretches(tokens: Tokens, page: str) -> Iterator[tuple[str, list[str]]]:
+    """(path, tokens): the roles of a page in order, tags one by one and words a stretch of text at a time."""
     for path, tag, text in tokens(page):
-        if tag:
-            yield f"{path} {tag}"
-        else:
-            for word in text.split():
-                yield f"{path} {word}"
+        yield path, [tag] if tag else text.split()
 
 
 def _locally_frequent(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     tokens = Tokens()
     pages: Counter = Counter()
-    support: dict[str, Counter] = defaultdict(Counter)
+    support: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     for batch in batches:
         for host, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             pages[host] += 1
-            support[host].update(set(_roles(tokens, page)))
-    for host, counts in support.items():
+            have: dict[str, set[str]] = {}
+            for path, words in _stretches(tokens, page):
+                have.setdefault(path, set()).update(words)
+            paths = support[host]
+            for path, words in have.items():
+                paths[path].update(words)
+    for host, paths in support.items():
         least = share * pages[host] - 1e-9
-        roles = [r for r, n in counts.items() if n >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([host] * len(roles), pa.string()), pa.array(roles, pa.string())], names=["host", "role"])
+        roles = [(path, r) for path, counts in paths.items() for r, n in counts.items() if n >= least]
+        columns = [[host] * len(roles), [p for p, _ in roles], [r for _, r in roles]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "path", "token"])
+
+
+Known = dict[str, dict[str, dict[str, int]]]  # by host and path, the number of each token
 
 
-Known = dict[str, dict[str, int]]  # by host, the number of each role
+def _numbers(tokens: Tokens, page: str, known: dict[str, dict[str, int]]) -> list[int]:
+    """The numbers of those roles of a page that have one, in order."""
+    found: list[int] = []
+    if known:
+        for path, words in _stretches(tokens, page):
+            here = known.get(path)
+            if here:
+                found += [here[w] for w in words if w in here]
+    return found
 
 
 def _count(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.RecordBatch]:
@@ -143,10 +158,8 @@ def _count(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.Recor
 
     for batch in batches:
         for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            numbers = known.get(host, {})
-            counts = Counter(n for n in map(numbers.get, _roles(tokens, page)) if n is not None)
             hashes: dict[int, int] = {}
-            for role, n in counts.items():
+            for role, n in Counter(_numbers(tokens, page, known.get(host, {}))).items():
                 h = hashes.get(n)
                 if h is None:
                     h = hashes[n] = xxhash.xxh64_intdigest(b"%d/%d" % (page_id, n))
@@ -164,7 +177,7 @@ def _skeletons(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.R
     tokens = Tokens()
     for batch in batches:
         hosts, pages = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        found = [[n for n in map(known.get(h, {}).get, _roles(tokens, p)) if n is not None] for h, p in zip(hosts, pages, strict=True)]
+        found = [_numbers(tokens, p, known.get(h, {})) for h, p in zip(hosts, pages, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["host", "skeleton"])
 
 
@@ -228,19 +241,16 @@ def plain(fragment: str) -> str:
     return " ".join(entities.unescape(_PIECE.sub(" ", fragment)).split())
 
 
-def _slots(page: str, tokens: Tokens, numbers: dict[str, int], of: dict[int, int]) -> list[tuple[int, int, int, str]]:
+def _slots(page: str, tokens: Tokens, numbers: dict[str, dict[str, int]], of: dict[int, int], size: Counter) -> list[tuple[int, int, int, str]]:
     """(class, occurrence, gap, text) of the slots of a page that hold text."""
-    size = Counter(of.values())
     seen: Counter = Counter()
     stack: list[list[int]] = []
     held: dict[tuple[int, int, int], list[str]] = {}
     slot = (0, 0, 0)
 
-    def meet(role: str) -> bool:
+    def meet(role: int) -> None:
         nonlocal slot
-        c = of.get(numbers.get(role, -1))
-        if c is None:
-            return False
+        c = of[role]
         k = seen[c] % size[c]
         if k == 0:
             stack.append([c, seen[c] // size[c], 0])
@@ -250,19 +260,22 @@ def _slots(page: str, tokens: Tokens, numbers: dict[str, int], of: dict[int, int
         if k == size[c] - 1 and stack and stack[-1][0] == c:
             stack.pop()
         slot = tuple(stack[-1]) if stack else (0, 0, 0)
-        return True
 
     for path, tag, text in tokens(page):
+        here = numbers.get(path, {})
         if tag:
-            if not meet(f"{path} {tag}"):
+            if tag in here:
+                meet(here[tag])
+            else:
                 held.setdefault(slot, []).append(" ")
+        elif not here or here.keys().isdisjoint(text.split()):
+            held.setdefault(slot, []).append(text)
         else:
-            run: list[str] = []
-            for piece in re.split(r"(\s+)", text):
-                if piece and not piece.isspace() and meet(f"{path} {piece}"):
-                    run.append(" ")
-                    continue
-                held.setdefault(slot, []).append(piece)
+            for piece in _BLANKS.split(text):
+                if piece in here:
+                    meet(here[piece])
+                else:
+                    held.setdefault(slot, []).append(piece)
     out = [(*s, " ".join(entities.unescape("".join(t)).split())) for s, t in held.items()]
     return [s for s in out if s[3]]
 
@@ -270,10 +283,11 @@ def _slots(page: str, tokens: Tokens, numbers: dict[str, int], of: dict[int, int
 def _extract(batches: Iterator[pa.RecordBatch], known: Known, classes: Classes) -> Iterator[pa.RecordBatch]:
     tokens = Tokens()
     types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    sizes = {host: Counter(of.values()) for host, of in classes.items()}
     for batch in batches:
         rows = []
         for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows += [(page_id, host, *s) for s in _slots(page, tokens, known.get(host, {}), classes.get(host, {}))]
+            rows += [(page_id, host, *s) for s in _slots(page, tokens, known.get(host, {}), classes.get(host, {}), sizes.get(host, Counter()))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=["page_id", "host", "class", "occurrence", "gap", "text"])
 
 
@@ -301,15 +315,15 @@ def _with_table(rows: DataFrame, table: DataFrame, read: Callable, work: Callabl
 
 
 def _known(rows: list[tuple]) -> Known:
-    out: Known = defaultdict(dict)
-    for host, role, number, *_ in rows:
-        out[host][role] = number
-    return dict(out)
+    out: Known = {}
+    for host, path, token, number, *_ in rows:
+        out.setdefault(host, {}).setdefault(path, {})[token] = number
+    return out
 
 
 def _classes(rows: list[tuple]) -> Classes:
     out: Classes = defaultdict(dict)
-    for host, _, number, c in rows:
+    for host, *_, number, c in rows:
         out[host][number] = c
     return dict(out)
 
@@ -319,22 +333,23 @@ def extract_slots(pages: DataFrame, min_pages: int = MIN_PAGES, min_support: flo
 
     gap k of a class is what follows its role k, up to the next; class 0 is outside of all.
     """
+    arrow_rows(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _HOST, 1))
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    local = pages.mapInArrow(lambda batches: _locally_frequent(batches, min_support), "host string, role string").distinct()
+    local = pages.mapInArrow(lambda batches: _locally_frequent(batches, min_support), "host string, path string, token string").distinct()
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    roles = local.join(sizes, "host").groupBy("host", "pages").agg(F.sort_array(F.collect_list("role")).alias("r"))
-    roles = stored(roles.select("host", F.posexplode("r").alias("role_no", "role"), "pages").select("host", "role", "role_no", "pages"), "roles")
+    roles = local.join(sizes, "host").groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "token"))).alias("r"))
+    roles = stored(roles.select("host", F.posexplode("r").alias("role_no", "role"), "pages").select("host", "role.path", "role.token", "role_no", "pages"), "roles")
 
-    counted = _with_table(pages, roles.select("host", "role", "role_no"), _known, _count, "host string, role_no int, support long, total long, v1 long, v2 long")
+    counted = _with_table(pages, roles.select("host", "path", "token", "role_no"), _known, _count, "host string, role_no int, support long, total long, v1 long, v2 long")
     vectors = counted.groupBy("host", "role_no").agg(*(F.sum(c).alias(c) for c in ("support", "total", "v1", "v2"))).join(roles, ["host", "role_no"])
     same = ["host", "support", "total", "v1", "v2"]
-    grouped = vectors.where(F.col("support") >= F.greatest(F.lit(2), F.ceil(min_support * F.col("pages") - 1e-9))).groupBy(*same).agg(F.collect_list(F.struct("role", "role_no")).alias("m"), F.min("role_no").alias("o"))
+    grouped = vectors.where(F.col("support") >= F.greatest(F.lit(2), F.ceil(min_support * F.col("pages") - 1e-9))).groupBy(*same).agg(F.collect_list(F.struct("path", "token", "role_no")).alias("m"), F.min("role_no").alias("o"))
     grouped = grouped.where(F.size("m") >= min_roles)
     # classes are numbered from 1 by host, those of most support and size first
     order = F.struct((-F.col("support")).alias("s"), (-F.size("m")).alias("z"), "o", "m")
     numbered = grouped.groupBy("host").agg(F.sort_array(F.collect_list(order)).alias("all")).select("host", F.posexplode("all").alias("k", "x"))
-    classes = numbered.select("host", F.explode("x.m").alias("r"), (F.col("k") + 1).alias("class")).select("host", "r.role", "r.role_no", "class")
+    classes = numbered.select("host", F.explode("x.m").alias("r"), (F.col("k") + 1).alias("class")).select("host", "r.path", "r.token", "r.role_no", "class")
     classes = stored(classes, "classes")
 
     skeletons = stored(_with_table(pages, classes, _known, _skeletons, "host string, skeleton array<int>"), "skeletons")
@@ -344,7 +359,7 @@ def extract_slots(pages: DataFrame, min_pages: int = MIN_PAGES, min_support: flo
         faulty = stored(faulty.toDF("host", "class", "f", "o", "p").where("f > 0 or o or p").select("host", "class"), "faulty")
         if faulty.isEmpty():
             break
-        classes = stored(classes.join(faulty, ["host", "class"], "left_anti").select("host", "role", "role_no", "class"), "classes")
+        classes = stored(classes.join(faulty, ["host", "class"], "left_anti").select("host", "path", "token", "role_no", "class"), "classes")
 
     def work(batches: Iterator[pa.RecordBatch], held: tuple[Known, Classes]) -> Iterator[pa.RecordBatch]:
         return _extract(batches, *held)

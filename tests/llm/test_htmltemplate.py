@@ -51,11 +51,11 @@ def test_classes_by_brute_force(spark):
     rows, _ = pages(5)
     rows = [r for r in rows if r[0] is not None and r[1] and "hop.example" in r[1] and r[2]]
     tokens = h.Tokens()
-    vectors: dict[str, list[int]] = {}
+    vectors: dict[tuple, list[int]] = {}
     for n, (_, _, html) in enumerate(rows):
-        for role in h._roles(tokens, html):
+        for role in ((path, w) for path, words in h._stretches(tokens, html) for w in words):
             vectors.setdefault(role, [0] * len(rows))[n] += 1
-    known = {"x": {r: k for k, r in enumerate(vectors)}}
+    known = h._known([("x", *r, k) for k, r in enumerate(vectors)])
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(["x"] * len(rows)), pa.array([r[2] for r in rows])], names=["a", "b", "c"])
@@ -65,7 +65,7 @@ def test_classes_by_brute_force(spark):
             got.setdefault((r["support"], r["total"], r["v1"], r["v2"]), set()).add(r["role_no"])
     exact: dict[tuple, set] = {}
     for role, v in vectors.items():
-        exact.setdefault(tuple(v), set()).add(known["x"][role])
+        exact.setdefault(tuple(v), set()).add(known["x"][role[0]][role[1]])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, exact.values()))
 
 

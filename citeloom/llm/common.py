@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its rows, at the width given, stay under this.
 BROADCAST_BYTES = 32 << 20
+#: Rows with whole texts that go to Python at a time.
+TEXT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +56,47 @@ def small(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
+def arrow_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Sets how many rows at a time go to Python, for what runs next in this session.
+
+    Whole texts are some kilobytes each, and every task holds a batch several times over, in the
+    JVM and in Python, so the default of 10,000 rows takes memory from the executor for nothing.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system.
+
+    Python workers live on between stages, and executors count what they keep.
+    """
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(work: Callable) -> Callable:
+    """`work` for mapInArrow, with trim() at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        trim()
+
+    return run
+
+
+def trimmed_group(work: Callable) -> Callable:
+    """`work` for applyInArrow with a key or for a co-group, with trim() after each group."""
+
+    def run(first, second):
+        out = work(first, second)
+        trim()
+        return out
+
+    return run
+
+
 def text_column(docs: DataFrame, name: str = "text"):
     """The column as a string, null as empty."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import text_column
+from citeloom.llm.common import arrow_rows, text_column, trimmed
 from citeloom.llm.words import gram_hashes, word_runs
 
 THRESHOLD = 0.5
@@ -199,6 +199,7 @@ def _matches(column: pa.Array, index: Index, stride: int, threshold: float, shar
 
 def _item_parts(items: DataFrame, passage_words: int, part_words: int) -> tuple[list[list[tuple[int, str]]], int]:
     """Items in parts of at most part_words words, and half the words of a passage."""
+    arrow_rows(items.sparkSession)
     wanted = items.where("item_id is not null").select(F.col("item_id").cast("long"), text_column(items)).distinct()
     parts: list[list[tuple[int, str]]] = [[]]
     longest, held = 0, 0
@@ -243,7 +244,7 @@ def contaminated(
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids[list(item)])]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, f.type) for c, f in zip(rest, list(schema)[2:], strict=True))], schema=schema)
 
-        here = text.mapInArrow(search, _FIELDS)
+        here = text.mapInArrow(trimmed(search), _FIELDS)
         found = here if found is None else found.unionByName(here)
     return found
 
@@ -272,5 +273,31 @@ def without_contaminated(
                 hit[[r for r, *_ in _matches(batch.column(batch.num_columns - 1), index, stride, threshold, share, gram)]] = True
                 yield batch.filter(pa.array(~hit))
 
-        out = out.mapInArrow(clean, out.schema)
+        out = out.mapInArrow(trimmed(clean), out.schema)
     return out.select(*docs.columns)
+
+
+def oracle() -> str:
+    """Exhaustive BM25 and overlaps in SQL, with the default parameters."""
+    words = lambda x: f"list_filter(string_split_regex(lower({x}), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"
+    grams = lambda w, n: f"list_distinct(list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string({w}[i : i + {n} - 1], ' ')))"
+    share = lambda part: f"CASE WHEN len({part}) = 0 THEN 1.0 WHEN len(pw) < least({GRAM}, len({part})) THEN 0.0 ELSE len(list_intersect({grams(part, f'least({GRAM}, len({part}))')}, {grams('pw', f'least({GRAM}, len({part}))')})) / len({grams(part, f'least({GRAM}, len({part}))')}) END"
+    return f"""
+WITH it AS (SELECT DISTINCT item_id, coalesce(text, '') AS t FROM benchmark WHERE item_id IS NOT NULL),
+sp AS (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {words("s")}), lambda x: len(x) > 0) AS ss, row_number() OVER (ORDER BY item_id, t) AS k FROM it),
+pa AS (SELECT item_id, k, CASE WHEN len(ss) > 1 THEN flatten(ss[1 : len(ss) - 1]) WHEN len(ss[1]) > 1 THEN ss[1][1 : len(ss[1]) - greatest(1, len(ss[1]) // 4)] ELSE ss[1] END AS q,
+  CASE WHEN len(ss) > 1 THEN ss[len(ss)] WHEN len(ss[1]) > 1 THEN ss[1][len(ss[1]) - greatest(1, len(ss[1]) // 4) + 1 :] ELSE []::VARCHAR[] END AS a FROM sp WHERE len(ss) > 0),
+wd AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest(list_concat(q, a)) AS w FROM pa) GROUP BY ALL),
+ln AS (SELECT k, sum(tf) AS l FROM wd GROUP BY k),
+c AS (SELECT count(*) AS n, avg(l) AS m, (greatest({PASSAGE_WORDS}, 2 * max(l)) + 1) // 2 AS stride FROM ln),
+df AS (SELECT w, count(*) AS df FROM wd GROUP BY w),
+wt AS (SELECT k, w, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * l / m)) AS x FROM wd JOIN df USING (w) JOIN ln USING (k), c),
+im AS (SELECT k, w, x / sum(x) OVER (PARTITION BY k) AS x FROM wt),
+d AS (SELECT doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, w, stride, unnest(range(greatest(CAST(ceil(len(w) / stride) AS BIGINT) - 1, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS no FROM d, c),
+ps AS (SELECT doc_id, no, w[CAST(no * stride + 1 AS BIGINT) : CAST((no + 2) * stride AS BIGINT)] AS pw FROM p),
+u AS (SELECT doc_id, no, unnest(list_distinct(pw)) AS w FROM ps),
+s AS (SELECT doc_id, no, k, sum(x) AS score FROM u JOIN im USING (w) GROUP BY ALL HAVING sum(x) >= {THRESHOLD} - 1e-9),
+o AS (SELECT doc_id, item_id, no, round(score, 6) AS score, round({share("q")}, 6) AS qo, round({share("a")}, 6) AS ao FROM s JOIN ps USING (doc_id, no) JOIN pa USING (k))
+SELECT doc_id, item_id, CAST(no AS INT) AS passage_no, score, qo AS question_overlap, ao AS answer_overlap FROM o WHERE qo >= {OVERLAP} AND ao >= {OVERLAP}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, qo DESC, ao DESC, no) = 1"""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import small, stored, text_column
+from citeloom.llm.common import arrow_rows, small, stored, text_column, trimmed
 from citeloom.llm.words import BASE, INVERSE, _power, mix
 
 MIN_CHARS = 20
@@ -116,6 +116,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     if min_chars < 2 * BLOCKS:
         raise ValueError(f"min_chars must be {2 * BLOCKS} at least, so that no block is empty")
+    arrow_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     lines = _lines(docs, min_chars)
     firsts = lines.select("h1", "h2", "doc_id", "line_no", _block_keys().alias("keys")).groupBy("h1", "h2")
@@ -129,7 +130,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "blocks")).alias("candidates")), "candidates")
 
     # character deletions within those blocks, joined on equal keys
-    variants = _by_document(wanted, docs, 200).mapInArrow(_emit, "key long, role byte, doc_id long, line_no int")
+    variants = _by_document(wanted, docs, 200).mapInArrow(trimmed(_emit), "key long, role byte, doc_id long, line_no int")
     place = F.struct("doc_id", "line_no")
     w = Window.partitionBy("key")
     of = lambda role: F.min(F.when(F.col("role") == role, place)).over(w)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, small, stored, text_column
+from citeloom.llm.common import arrow_rows, small, stored, text_column, trimmed, trimmed_group
 from citeloom.llm.components import connected_components
 from citeloom.llm.words import distinct_grams, gram_hashes, mix, word_runs
 
@@ -141,7 +141,7 @@ def _frequent(key: tuple, table: pa.Table) -> pa.Table:
 def _survivors(threshold: float):
     """Documents of a slice that can have a partner, with their shared n-grams, rarest first."""
 
-    def assemble(table: pa.Table) -> pa.Table:
+    def assemble(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(zip(*(table[c].to_pylist() for c in ("fragment", "form", "docs", "grams", "df")), strict=True))
         ids, size = next((np.frombuffer(d, np.int64), np.frombuffer(g, np.uint32).astype(np.int64)) for f, _, d, g, _ in rows if f < 0)
         rows = [r for r in rows if r[0] >= 0]
@@ -183,7 +183,7 @@ def _prefixes(buckets: int):
 
 
 def _candidates(threshold: float):
-    def pair(table: pa.Table) -> pa.Table:
+    def pair(key: tuple, table: pa.Table) -> pa.Table:
         gram, doc, size = (table[c].to_numpy() for c in ("gram", "doc_id", "size"))
         ids, doc = np.unique(doc, return_inverse=True)
         sizes = np.zeros(len(ids), np.int64)
@@ -265,23 +265,23 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragme
     text = _one_row_each(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text")))
     chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(1, math.ceil(chars / 6 / fragment_grams))
-    segments = text.mapInArrow(_segments(fragments, n), "fragment int, slice long, form int, docs binary, grams binary")
-    returned = segments.groupBy("fragment").applyInArrow(_frequent, "slice long, fragment int, form int, docs binary, grams binary, df binary")
-    alive = returned.groupBy("slice").applyInArrow(_survivors(threshold), "doc_id long, size long, h1 long, h2 long, prefix int, grams binary")
+    segments = text.mapInArrow(trimmed(_segments(fragments, n)), "fragment int, slice long, form int, docs binary, grams binary")
+    returned = segments.groupBy("fragment").applyInArrow(trimmed_group(_frequent), "slice long, fragment int, form int, docs binary, grams binary, df binary")
+    alive = returned.groupBy("slice").applyInArrow(trimmed_group(_survivors(threshold)), "doc_id long, size long, h1 long, h2 long, prefix int, grams binary")
     alive = stored(alive, "survivors")
 
     w = Window.partitionBy("size", "h1", "h2")
     same = stored(alive.where("h1 is not null").select("doc_id", "size", F.min("doc_id").over(w).alias("first")).where("first < doc_id"), "same-sets")
     sole = alive.join(small(same.select("doc_id"), 16), "doc_id", "left_anti")
     buckets = max(1, math.ceil(chars / 6 / fragment_grams / 8))
-    postings = sole.select("doc_id", "size", "prefix", "grams").mapInArrow(_prefixes(buckets), "bucket int, gram long, doc_id long, size long")
-    candidates = stored(postings.groupBy("bucket").applyInArrow(_candidates(threshold), "a long, b long").distinct(), "candidates")
+    postings = sole.select("doc_id", "size", "prefix", "grams").mapInArrow(trimmed(_prefixes(buckets)), "bucket int, gram long, doc_id long, size long")
+    candidates = stored(postings.groupBy("bucket").applyInArrow(trimmed_group(_candidates(threshold)), "a long, b long").distinct(), "candidates")
 
     cells = stored(connected_components(candidates).select("node", F.pmod(F.xxhash64("component"), F.lit(fragments)).cast("int").alias("cell")), "cells")
     placed = sole.join(small(cells, 24), F.col("doc_id") == F.col("node")).select("cell", "doc_id", "size", "grams")
-    placed = placed.mapInArrow(_split(fragments, PARTS), "cell int, part int, doc_id long, size long, grams binary")
+    placed = placed.mapInArrow(trimmed(_split(fragments, PARTS)), "cell int, part int, doc_id long, size long, grams binary")
     wanted = candidates.join(small(cells, 24), F.col("a") == F.col("node")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
-    partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(_overlaps, "a long, b long, sizes long, overlap long")
+    partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(trimmed_group(_overlaps), "a long, b long, sizes long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
     union = F.col("sizes") - F.col("overlap")
     near = summed.where(F.col("overlap") >= threshold * union - 1e-9).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(F.col("overlap") / union, 6).alias("jaccard"))

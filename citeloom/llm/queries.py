@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": ngramjoin.oracle(), "op4_license_scan": licenses.oracle(), "op6_line_dedup": linededup.oracle()}
+    return {"op1_decontaminate": decontaminate.oracle(), "op3_ngram_jaccard": ngramjoin.oracle(), "op4_license_scan": licenses.oracle(), "op6_line_dedup": linededup.oracle(), "op8_repeated_passages": substrings.oracle()}

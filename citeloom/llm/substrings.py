@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import scratch_path, small, stored, text_column
+from citeloom.llm.common import arrow_rows, scratch_path, small, stored, text_column, trimmed, trimmed_group
 from citeloom.llm.words import gram_hashes, word_runs
 
 MIN_WORDS = 50
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
                 h = grams[at[text] + pos].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[i + text]), pa.array(pos.astype(np.int32))], names=["hash", "doc_id", "pos"])
 
-    return docs.mapInArrow(find, "hash long, doc_id long, pos int")
+    return docs.mapInArrow(trimmed(find), "hash long, doc_id long, pos int")
 
 
 @dataclass
@@ -192,7 +192,7 @@ def _verified(matches: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
         names = ["start_word", "end_word", "earlier_doc_id", "earlier_start"]
         return pa.Table.from_arrays([pa.array([y] * len(merged), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
 
-    return sources.unionByName(own).groupBy("y").applyInArrow(verify, "doc_id long, start_word int, end_word int, earlier_doc_id long, earlier_start int")
+    return sources.unionByName(own).groupBy("y").applyInArrow(trimmed_group(verify), "doc_id long, start_word int, end_word int, earlier_doc_id long, earlier_start int")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -203,6 +203,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     if not 0 < gram <= min_words:
         raise ValueError("gram must be from 1 to min_words")
     spark = docs.sparkSession
+    arrow_rows(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("c"), F.count(F.lit(1)).alias("n")).first() if batches > 1 else None
     bounds = [None, *sorted(set(cuts["c"] or [])), None] if cuts else [None, None]
@@ -223,3 +224,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         index.add(name, path)
     index.close()
     return found
+
+
+def oracle(min_words: int = MIN_WORDS) -> str:
+    """Runs of windows that an earlier document has, each referred to the earliest document with its first window."""
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, w, unnest(range(len(w) - {min_words - 1})) AS i FROM d WHERE len(w) >= {min_words}),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + {min_words}], ' ')) AS h FROM p),
+e AS (SELECT h, min({{'d': doc_id, 'i': i}}) AS e FROM h GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i, e.d AS x, e.i AS xi FROM h JOIN e USING (h) WHERE e.d < doc_id),
+g AS (SELECT *, sum(CASE WHEN i <= q + {min_words} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000000) AS q FROM r))
+SELECT doc_id, CAST(min(i) AS INT) AS start_word, CAST(max(i) + {min_words} AS INT) AS end_word, arg_min(x, i) AS earlier_doc_id, CAST(arg_min(xi, i) AS INT) AS earlier_start FROM g GROUP BY doc_id, g"""

@@ -29,10 +29,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored, text_column
+from citeloom.llm.common import arrow_rows, stored, text_column, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BATCH_ROWS = 10_000
 _SPAN = 1 << 31
 
 
@@ -70,6 +71,8 @@ def _spans(ids: np.ndarray) -> Iterator[np.ndarray]:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each doc_id."""
+    # the rows of a batch share the pre-tokens they send on, so larger batches shuffle less
+    arrow_rows(docs.sparkSession, BATCH_ROWS)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +134,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
         arrays = [pa.array(tokens, pa.string()), pa.array([base] * n, pa.int64()), offsets, fill(single), fill(every)]
         return pa.RecordBatch.from_arrays(arrays, names=["pretoken", "base", "offsets", "single", "every"])
 
-    pieces = stored(text.mapInArrow(distinct, "pretoken string").distinct().mapInArrow(count, "pretoken string, n int"), "pieces")
-    rows = text.mapInArrow(frequencies, "pretoken string, base long, offsets array<int>, single long, every long")
+    pieces = stored(text.mapInArrow(trimmed(distinct), "pretoken string").distinct().mapInArrow(trimmed(count), "pretoken string, n int"), "pieces")
+    rows = text.mapInArrow(trimmed(frequencies), "pretoken string, base long, offsets array<int>, single long, every long")
     joined = rows.join(pieces, "pretoken", "left")
     each = joined.select("base", F.explode("offsets").alias("o"), "n", "single", "every")
     doc = (F.col("base") + F.col("o")).alias("doc_id")

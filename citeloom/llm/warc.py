@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import scratch_path
+from citeloom.llm.common import arrow_rows, scratch_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -113,6 +113,7 @@ def bundle_pages(
     decompressed frame, frame_start and frame_size in the file, body_crc (CRC-32 of the body).
     Reading the result writes the bundles.
     """
+    arrow_rows(pages.sparkSession)
     folder = _local(path or scratch_path(pages.sparkSession, "warc"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), text("url").alias("url"), text("html").alias("html"))

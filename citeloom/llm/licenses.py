@@ -32,6 +32,7 @@ from citeloom.llm.license_templates import TEMPLATES
 from citeloom.llm.words import BASE, chunks, mix, text_bytes, word_runs
 
 THRESHOLD = 0.8
+_NIL = 1e-9  # what rounding may take from a bound that is met exactly
 _FIELDS = "doc_id long, unit string, unit_no int, license string, template_no int, shared int, dice double"
 
 
@@ -62,16 +63,16 @@ class _Templates:
         hits = np.unique(places[places >= 0])
         share = self.t / (2 - self.t)
         # a lower bound of the distinct bigrams refutes most long units before they are sorted
-        if len(hits) < share * len(np.unique(grams[:64])):
+        if len(hits) < share * len(np.unique(grams[:64])) - _NIL:
             return None
         na = len(np.unique(grams))
-        if len(hits) < share * na:
+        if len(hits) < share * na - _NIL:
             return None
-        bounded = (self.sizes > 0) & (na * (2 - self.t) >= self.sizes * self.t) & (self.sizes * (2 - self.t) >= na * self.t)
+        bounded = (self.sizes > 0) & (na * (2 - self.t) >= self.sizes * self.t - _NIL) & (self.sizes * (2 - self.t) >= na * self.t - _NIL)
         if not bounded.any():
             return None
         shared = self.within[:, hits].sum(axis=1)
-        dice = np.where(bounded & (2 * shared >= self.t * (na + self.sizes)), np.round(2 * shared / (na + self.sizes), 6), -1)
+        dice = np.where(bounded & (2 * shared >= self.t * (na + self.sizes) - _NIL), np.round(2 * shared / (na + self.sizes), 6), -1)
         k = int(dice.argmax())
         return (self.names[k], k, int(shared[k]), float(dice[k])) if dice[k] >= 0 else None
 

@@ -257,7 +257,7 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
-    """(doc_a, doc_b, overlap, jaccard), doc_a < doc_b, of all pairs of distinct n-gram sets at or above
+    """(doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b, of all pairs of distinct n-gram sets at or above
     the threshold, each set stood for by its least doc_id, and of that doc_id with the others of its set."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -284,7 +284,7 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragme
     partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(trimmed_group(_overlaps), "a long, b long, sizes long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
     union = F.col("sizes") - F.col("overlap")
-    near = summed.where(F.col("overlap") >= threshold * union - 1e-9).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "overlap", F.round(F.col("overlap") / union, 6).alias("jaccard"))
+    near = summed.where(F.col("overlap") >= threshold * union - 1e-9).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "overlap", F.round(F.col("overlap") / union, 6).alias("jaccard"))
     return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
 
 
@@ -312,5 +312,5 @@ g AS (SELECT doc_id, CASE WHEN len(w) >= {n} THEN list_sort(list_distinct(list_t
 r AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS f FROM g),
 x AS (SELECT doc_id, n, unnest(s) AS k FROM r WHERE f = doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS m, count(*) AS o FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a AS doc_a, b AS doc_b, o AS overlap, round(o / (m - o), 6) AS jaccard FROM p WHERE o >= {threshold} * (m - o)
+SELECT a AS doc_id_a, b AS doc_id_b, o AS overlap, round(o / (m - o), 6) AS jaccard FROM p WHERE o >= {threshold} * (m - o)
 UNION ALL SELECT f, doc_id, n, 1.0 FROM r WHERE f < doc_id"""

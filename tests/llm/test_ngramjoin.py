@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
     rows += [(9, ""), (10, None), (11, "One two"), (12, "one  TWO!"), (13, "solo"), (None, rows[3][1]), rows[3], rows[4], (rows[5][0], rows[6][1])]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, size int, grams int")
     for t, per in ((0.5, 4_000_000), (0.8, 60), (1.0, 300)):
-        got = {(r.doc_a, r.doc_b): (r.overlap, r.jaccard) for r in ngramjoin.near_pairs(docs, 2, t, per).collect()}
+        got = {(r.doc_id_a, r.doc_id_b): (r.overlap, r.jaccard) for r in ngramjoin.near_pairs(docs, 2, t, per).collect()}
         want = brute(rows, 2, t)
         assert got == want and len(want) > 10
 

@@ -24,10 +24,10 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +71,20 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", _SKIPPABLE, len(entries) + len(footer)) + entries + footer
 
 
+def _storage(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3, gs, abfs) and the path in it."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
+
+
 def read_seek_table(path: str) -> list[tuple[int, int, int]]:
-    """(start, compressed size, decompressed size) of each frame of a bundle."""
-    with open(path, "rb") as file:
-        file.seek(-9, os.SEEK_END)
-        n, descriptor, magic = struct.unpack("<IBI", file.read(9))
+    """(start, compressed size, decompressed size) of each frame of a bundle, from its last bytes alone."""
+    store, place = _storage(path)
+    with store.open_input_file(place) as file:
+        end = file.size()
+        n, descriptor, magic = struct.unpack("<IBI", file.read_at(9, end - 9))
         if magic != _SEEKABLE or descriptor & 0x80:
             raise ValueError(f"{path} has no seek table that this reads")
-        file.seek(-9 - 8 * n, os.SEEK_END)
-        sizes = struct.iter_unpack("<II", file.read(8 * n))
+        sizes = struct.iter_unpack("<II", file.read_at(8 * n, end - 9 - 8 * n))
     start, found = 0, []
     for packed, plain in sizes:
         found.append((start, packed, plain))
@@ -90,20 +95,12 @@ def read_seek_table(path: str) -> list[tuple[int, int, int]]:
 def read_record(path: str, frame: int, offset: int, length: int) -> bytes:
     """One record, by decompressing only its frame."""
     start, packed, plain = read_seek_table(path)[frame]
-    with open(path, "rb") as file:
-        file.seek(start)
-        data = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain)
+    store, place = _storage(path)
+    with store.open_input_file(place) as file:
+        data = zstandard.ZstdDecompressor().decompress(file.read_at(packed, start), max_output_size=plain)
     return data[offset : offset + length]
 
 
-def _local(uri: str) -> str:
-    """The path by which every executor sees a shared folder."""
-    parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"bundles are written to a mounted shared folder, not to {parts.scheme}:")
-    return unquote(parts.path) if parts.scheme else uri
-
-
 def bundle_pages(
     pages: DataFrame, path: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL
 ) -> DataFrame:
@@ -114,7 +111,7 @@ def bundle_pages(
     Reading the result writes the bundles.
     """
     arrow_rows(pages.sparkSession)
-    folder = _local(path or scratch_path(pages.sparkSession, "warc"))
+    folder = path or scratch_path(pages.sparkSession, "warc")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), text("url").alias("url"), text("html").alias("html"))
     total = pages.agg(F.sum(F.octet_length("html") + 300)).first()[0] or 0
@@ -124,7 +121,8 @@ def bundle_pages(
     schema = pa.schema([(a, types[b]) for a, b in (f.split() for f in _FIELDS.split(", "))])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        store, place = _storage(folder)
+        store.create_dir(place, recursive=True)
         state: dict = {"bundle": None}
         done: list[list] = []
 
@@ -148,7 +146,7 @@ def bundle_pages(
             flush()
             state["file"].write(seek_table(state["frames"]))
             state["file"].close()
-            os.replace(state["own"], os.path.join(folder, state["name"]))
+            store.move(state["own"], f"{place}/{state['name']}")
             state["bundle"] = None
 
         def out() -> pa.RecordBatch:
@@ -161,8 +159,8 @@ def bundle_pages(
                 if bundle != state["bundle"]:
                     close()
                     name = f"bundle-{bundle:08d}.warc.zst"
-                    own = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
-                    state.update(bundle=bundle, name=name, own=own, file=open(own, "wb"), held=[], size=0, frames=[], start=0)  # noqa: SIM115
+                    own = f"{place}/.{name}.{uuid.uuid4().hex}"
+                    state.update(bundle=bundle, name=name, own=own, file=store.open_output_stream(own), held=[], size=0, frames=[], start=0)
                 body = html.encode("utf-8", "surrogatepass")
                 data = record(page, ordinal, url, body)
                 if state["size"] and state["size"] + len(data) > frame_bytes:

@@ -17,7 +17,7 @@ from citeloom.functions.identifiers import and_others, authors, field_arxiv, pri
 from citeloom.functions.text import norm_col, squash_col
 from citeloom.operators import lines, style, triage
 from citeloom.operators.compare import bib_differences, year_differs, years_on_record
-from citeloom.operators.resolve import by_identifier, dead_identifiers, quorum
+from citeloom.operators.resolve import by_identifier, dead_identifiers, look_up, quorum
 from citeloom.operators.titlejoin import title_candidates
 from citeloom.plans import audit
 from citeloom.sources import registry as reg
@@ -339,6 +339,22 @@ def t8_split_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_references(_marked(spark, sf_dir)).drop("marker_no")
 
 
+_NUMERIC = "CASE WHEN pos % 3 = 1 THEN '3152527' WHEN pos % 3 = 0 AND doc_id % 2 = 0 THEN concat(line, ' doi:10.1000/ab.') ELSE line END"
+
+
+@query(f"SELECT doc_id, pos, {_NUMERIC} AS line FROM ({_LINES_SQL}) WHERE NOT (pos % 3 = 1 AND doc_id % 2 = 1)")
+def t3_numeric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of digits, which go, but for the tails of DOIs."""
+    return lines.drop_numeric_lines(_lines(spark, sf_dir).withColumn("line", F.expr(_NUMERIC)))
+
+
+@query("SELECT doc_id, 'A see doi:10.1000/s41597-026-07099-1 and graph ' || doc_id || ' end' AS ref FROM documents")
+def t6_dewrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines joined: an identifier closes up, a hyphen at a line's end goes."""
+    parts = F.array(F.lit("A see doi:10.1000/s41597-"), F.lit(" 026-07099-1 and gra-"), F.lit(""), F.concat(F.lit("ph "), F.col("doc_id").cast("string")), F.lit("end"))
+    return _read(spark, sf_dir, "documents").select("doc_id", lines.dewrap(parts).alias("ref"))
+
+
 # sources
 @query(f"SELECT p_brand AS bib, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, 'k' || p_partkey AS key, 'article' AS etype, p_name AS title, CAST(1990 + p_partkey % 30 AS VARCHAR) AS year, {_DOI_DUCK} AS doi FROM part")
 def s1_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,6 +471,39 @@ def e2_structured_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("bib", "verdict", F.col("f.priority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LADDER_SQL = """SELECT bib, verdict, priority, count(*) AS n FROM (SELECT *, CASE verdict WHEN 'NOT FOUND' THEN 1 WHEN 'CHECK' THEN 3 END AS priority FROM (
+SELECT p_brand AS bib, CASE WHEN p_partkey % 13 = 0 THEN 'LOOKUP FAILED' WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN 'NOT FOUND' WHEN p_partkey % 5 = 0 THEN 'CHECK' ELSE 'OK' END AS verdict FROM part)) GROUP BY ALL"""
+
+
+@query(_LADDER_SQL)
+def r1_search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured references without identifiers: found by title and author, not found, or not answered by enough sources."""
+    k = F.col("p_partkey")
+    none, text = F.lit(None).cast("string"), k.cast("string")
+    part = _part(spark, sf_dir)
+    words = F.concat(F.lit("aaaa bbbb cccc "), F.translate(F.concat(text, text, text), "0123456789", "abcdefghij"))
+    refs = part.select(
+        F.col("p_brand").alias("bib"), k.alias("pos"), text.alias("n"), words.alias("title"), F.array(F.when(k % 3 == 0, "Zorn, Z.").otherwise("Abel, A.")).alias("authors"),
+        F.when(k % 5 == 0, "1980").otherwise("2001").alias("year"), none.alias("doi"), none.alias("arxiv"), none.alias("venue"), none.alias("url"), none.alias("identifier_printed"),
+        F.lit("article").alias("kind"), F.lit(False).alias("authors_truncated"), F.lit(False).alias("anonymized"), none.alias("raw"),
+    )
+    records = part.where("p_partkey % 7 <> 0").select(
+        k.alias("registry_id"), F.lit("crossref").alias("source"), F.initcap(words).alias("title"), F.array(F.lit("Abel")).alias("families"), F.lit("2001").alias("year"), F.array(F.lit("2001")).alias("years"),
+        none.alias("doi"), none.alias("arxiv"), none.alias("ctype"), none.alias("venue"),
+    )
+    down = part.where("p_partkey % 13 = 0").select(F.concat_ws("#", "p_brand", text).alias("ref_id"), F.explode(F.array(*(F.lit(x) for x in ("s2", "crossref", "openalex")))).alias("source"))
+    found = audit.audit_structured(refs, records, down).select("bib", "verdict", F.explode_outer("findings").alias("f"))
+    return found.groupBy("bib", "verdict", F.col("f.priority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def e4_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What Crossref and arXiv have for single titles, without a gate."""
+    titles = _titles(spark, sf_dir)
+    registry = titles.select(F.col("ref_id").alias("registry_id"), F.when(F.col("ref_id") % 2 == 0, "crossref").otherwise("arxiv").alias("source"), "norm")
+    return look_up(titles.where("ref_id % 10 = 0").select("ref_id", F.col("norm").alias("title")), registry)
+
+
 @query()
 def e1_entry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BibTeX entries by title: documents' first lines against those of the others."""

@@ -118,26 +118,28 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
                 stated = base if known[rows[0]] else None
                 sizes = np.cumsum([0, *map(len, where.values())], dtype=np.int32)
                 flat = np.fromiter((x for v in where.values() for x in v), np.int32, sizes[-1])
-                yield _rows(list(where), stated, pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), None, None)
+                yield _rows(list(where), stated, sizes, flat, None, None)
                 offsets = (ids[rows] - base).astype(np.int32)
-                ones = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32)), pa.array(offsets))
                 # no pattern class holds both a control character and digits, so no pre-token looks like this
-                yield _rows([f"\0{i}" for i in ids[rows].tolist()], stated, ones, single, every)
+                yield _rows([f"\0{i}" for i in ids[rows].tolist()], stated, np.arange(len(rows) + 1, dtype=np.int32), offsets, single, every)
 
     def _spans_of(ids: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
         for group in _spans(ids[rows]):
             yield rows[group]
 
-    def _rows(tokens: list, base: int | None, offsets: pa.ListArray, single: list | None, every: list | None) -> pa.RecordBatch:
-        n = len(tokens)
+    def _rows(tokens: list, base: int | None, sizes: np.ndarray, offsets: np.ndarray, single: list | None, every: list | None) -> pa.RecordBatch:
+        # offsets take two bytes where the ids of the batch are that near to each other
+        n, near = len(tokens), not len(offsets) or offsets.max() < 1 << 15
         fill = lambda v: pa.array(v, pa.int64()) if v is not None else pa.nulls(n, pa.int64())
-        arrays = [pa.array(tokens, pa.string()), pa.array([base] * n, pa.int64()), offsets, fill(single), fill(every)]
-        return pa.RecordBatch.from_arrays(arrays, names=["pretoken", "base", "offsets", "single", "every"])
+        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(offsets.astype(np.int16 if near else np.int32)))
+        both = [lists, pa.nulls(n, pa.list_(pa.int32()))] if near else [pa.nulls(n, pa.list_(pa.int16())), lists]
+        arrays = [pa.array(tokens, pa.string()), pa.array([base] * n, pa.int64()), *both, fill(single), fill(every)]
+        return pa.RecordBatch.from_arrays(arrays, names=["pretoken", "base", "near", "far", "single", "every"])
 
     pieces = stored(text.mapInArrow(trimmed(distinct), "pretoken string").distinct().mapInArrow(trimmed(count), "pretoken string, n int"), "pieces")
-    rows = text.mapInArrow(trimmed(frequencies), "pretoken string, base long, offsets array<int>, single long, every long")
+    rows = text.mapInArrow(trimmed(frequencies), "pretoken string, base long, near array<short>, far array<int>, single long, every long")
     joined = rows.join(pieces, "pretoken", "left")
-    each = joined.select("base", F.explode("offsets").alias("o"), "n", "single", "every")
+    each = joined.select("base", F.explode(F.coalesce(F.col("near").cast("array<int>"), "far")).alias("o"), "n", "single", "every")
     doc = (F.col("base") + F.col("o")).alias("doc_id")
     return each.groupBy(doc).agg(
         F.sum("every").alias("n_pretokens"), (F.coalesce(F.sum("n"), F.lit(0)) + F.sum("single")).alias("n_tokens")

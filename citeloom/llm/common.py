@@ -102,5 +102,13 @@ def text_column(docs: DataFrame, name: str = "text"):
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column is called that."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, text_column, trimmed
+from citeloom.llm.common import arrow_rows, fresh, text_column, trimmed
 from citeloom.llm.words import gram_hashes, word_runs
 
 THRESHOLD = 0.5
@@ -260,10 +260,7 @@ def without_contaminated(
 ) -> DataFrame:
     """`docs`, all columns, without the rows in which any item is found."""
     parts, stride = _item_parts(items, passage_words, part_words)
-    lower = "__lower"
-    while lower in docs.columns:
-        lower += "_"
-    out = docs.withColumn(lower, F.lower(text_column(docs)))
+    out = docs.withColumn(fresh(docs, "__lower"), F.lower(text_column(docs)))
     for part in parts:
         index = Index.build(part)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, small, stored, text_column, trimmed
+from citeloom.llm.common import arrow_rows, fresh, small, stored, text_column, trimmed
 from citeloom.llm.words import BASE, INVERSE, _power, mix
 
 MIN_CHARS = 20
@@ -164,16 +164,16 @@ def without_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
 
     Columns stay as they are; n_chars, if there, is counted anew for the changed texts.
     """
-    gone = duplicate_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    gone = stored(gone.withColumnRenamed("doc_id", "__doc"), "gone")
-    joined = docs.join(small(gone, 100), F.col("doc_id") == F.col("__doc"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    joined = joined.where(F.col("__gone").isNull() | (F.trim("__text") != ""))
-    changed = {"text": F.col("__text")}
+    doc, gone_, text = (fresh(docs, n) for n in ("__doc", "__gone", "__text"))
+    gone = duplicate_lines(docs, min_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(gone_))
+    joined = docs.join(small(stored(gone, "gone"), 100), F.col("doc_id") == F.col(doc), "left")
+    whole = F.col(gone_).isNull()
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone_, i)), "\n")
+    joined = joined.withColumn(text, F.when(whole, F.col("text")).otherwise(left))
+    joined = joined.where(whole | (F.trim(text) != ""))
+    changed = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        kept = F.col("n_chars")
-        changed["n_chars"] = F.when(F.col("__gone").isNull(), kept).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return joined.withColumns(changed).select(*docs.columns)
 
 

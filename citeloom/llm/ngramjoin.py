@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, small, stored, text_column, trimmed, trimmed_group
+from citeloom.llm.common import arrow_rows, fresh, small, stored, text_column, trimmed, trimmed_group
 from citeloom.llm.components import connected_components
 from citeloom.llm.words import distinct_grams, gram_hashes, mix, word_runs
 
@@ -300,8 +300,9 @@ def _one_row_each(text: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with only the least doc_id of each group that near pairs connect. Rows of null doc_id stay."""
     groups = connected_components(near_pairs(docs, n, threshold))
-    gone = stored(groups.where("node > component").select(F.col("node").alias("__node")), "near-duplicates")
-    return docs.join(small(gone, 16), F.col("doc_id") == F.col("__node"), "left_anti")
+    node = fresh(docs, "__node")
+    gone = stored(groups.where("node > component").select(F.col("node").alias(node)), "near-duplicates")
+    return docs.join(small(gone, 16), F.col("doc_id") == F.col(node), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:

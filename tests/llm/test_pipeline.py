@@ -56,7 +56,7 @@ def test_run_equals_brute_force(spark):
     assert [(got[d].bin_no, got[d].position) for d in ids] == list(zip(*(p.tolist() for p in places), strict=True))
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, key string, __lower string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, key string, __lower string, __gone string, __doc long, __text string, __node long"
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
@@ -66,7 +66,7 @@ def test_stages_take_odd_tables(spark, name, stage):
     assert stage(spark, empty, sf).collect() == []
     long = " ".join(f"w{i * 7919 % 100_003}" for i in range(60_000))
     rows = [(1, None), (2, ""), (None, "a line of a document without an id, which is long enough"), (3, long), (4, "one fine line of text that is long enough"), (4, "one fine line of text that is long enough"), (5, "  \n ")]
-    docs = spark.createDataFrame([(d, t, None, None, None, 1, "k", None) for d, t in rows], SCHEMA)
+    docs = spark.createDataFrame([(d, t, None, None, None, 1, "k", None, "g", 2, "t", 3) for d, t in rows], SCHEMA)
     out = stage(spark, docs, sf)
     got = out.collect()
     if name == "packing":

@@ -61,7 +61,7 @@ def test_bins_hold_their_limits(spark):
     rng = np.random.default_rng(5)
     rows = [(i, int(t), int(t * f)) for i, (t, f) in enumerate(zip(rng.integers(0, 700, 900), rng.random(900), strict=True))]
     rows += [(1000, 5000, 1), (1001, 10, 4000), (1002, None, None), (1003, 0, 0), (1, *rows[1][1:]), (None, 5, 5)]
-    got = packing.pack_examples(spark.createDataFrame(rows, "id long, tokens long, loss_tokens long"), 2048, 8, 1500, shard_rows=200).collect()
+    got = packing.pack_examples(spark.createDataFrame([(*r, 7, 8) for r in rows], "id long, tokens long, loss_tokens long, shard int, bin_no int"), 2048, 8, 1500, shard_rows=200).collect()
     assert sorted(r.id for r in got) == sorted(i for i, *_ in rows if i is not None)
     bins = _check(got, (2048, 8, 1500))
     least = max(sum(min(r.tokens, 2048) for r in got) / 2048, len(got) / 8, sum(min(r.loss_tokens, 1500) for r in got) / 1500)

@@ -48,7 +48,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     examples = packing.conversation_examples(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return packing.pack_examples(examples)
+    return packing.pack_examples(examples).withColumnRenamed("id", "conv_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

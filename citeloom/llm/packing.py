@@ -23,14 +23,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import tokencount
+from citeloom.llm.common import arrow_rows, text_column
+
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 32
 MAX_LOSS_TOKENS = 3072
 SHARD_ROWS = 50_000
+#: Pre-tokens remembered by a counting task, and the longest remembered.
+_REMEMBERED = 200_000
+_LONG = 64
 _FIELDS = "id long, shard int, bin_no int, position int, tokens long, loss_tokens long, oversize boolean"
 
 
@@ -103,19 +111,45 @@ def pack_examples(
     return examples.withColumn("shard", shard).groupBy("shard").applyInArrow(place, _FIELDS)
 
 
-def conversation_examples(conversations: DataFrame) -> DataFrame:
-    """(id, tokens, loss_tokens) of each conversation: words and single marks count as tokens,
+def _counter(vocabulary: str, pattern: str):
+    """Tokens of each text, counted as in `tokencount`: by pre-tokens, each distinct one once while it is remembered."""
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one, whole, find = tokencount.encoding(vocabulary, pattern), tokencount._whole(vocabulary), regex.compile(pattern).findall
+        known: dict[str, int] = {}
+
+        def pieces(token: str) -> int:
+            if token in whole:
+                return 1
+            n = known.get(token)
+            if n is None:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                n = len(one.encode_ordinary(token))
+                if len(token) <= _LONG:
+                    known[token] = n
+            return n
+
+        for batch in texts:
+            yield pd.Series([sum(map(pieces, find(t))) for t in batch], dtype="int64")
+
+    return count
+
+
+def conversation_examples(conversations: DataFrame, vocabulary: str = tokencount.VOCABULARY, pattern: str = tokencount.PATTERN) -> DataFrame:
+    """(id, tokens, loss_tokens) of each conversation: the tokens of its texts by the vocabulary,
     with two more for the frame of a turn; the assistant's bear loss."""
-    n = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 2
-    n = F.when(F.col("text").isNull(), 2).otherwise(n)
-    return (
-        conversations.where("conv_id is not null")
-        .groupBy(F.col("conv_id").cast("long").alias("id"))
-        .agg(F.sum(n).alias("tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("loss_tokens"))
-    )
+    arrow_rows(conversations.sparkSession)
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("id"), "role", text_column(conversations).alias("text"))
+    turns = turns.select("id", "role", (_counter(vocabulary, pattern)("text") + 2).alias("n"))
+    return turns.groupBy("id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("loss_tokens"))
 
 
 def document_examples(docs: DataFrame) -> DataFrame:
-    """(id, tokens, loss_tokens) of each document: all tokens but the first bear loss."""
+    """(id, tokens, loss_tokens) of each document: words and single marks count as tokens, all but the first bear loss.
+
+    These are not the vocabulary's tokens, of which there are about twice as many.
+    """
     n = F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0))
     return docs.select(F.col("doc_id").alias("id"), n.alias("tokens"), F.greatest(n - 1, F.lit(0)).alias("loss_tokens"))

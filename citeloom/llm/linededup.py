@@ -159,6 +159,17 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.select("doc_id", "line_no", F.col("e.doc_id").alias("earlier_doc_id"), F.col("e.line_no").alias("earlier_line_no"))
 
 
+def duplicate_lines_of_any_length(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """As duplicate_lines, and the exact copies among lines of fewer than min_chars characters, for which one edit
+    would be too loose a bound. Lines of white space only stay."""
+    near = duplicate_lines(docs, min_chars)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    lines, place = _lines(docs, 1).where((F.length("line") < min_chars) & F.col("line").rlike(r"[^\s\x0B]")), F.struct("doc_id", "line_no")
+    back = lines.groupBy("h1", "h2").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    gone = lines.join(small(stored(back, "short-lines"), 60), ["h1", "h2"]).where(F.col("e") < place)
+    return near.unionByName(gone.select("doc_id", "line_no", F.col("e.doc_id").alias("earlier_doc_id"), F.col("e.line_no").alias("earlier_line_no")))
+
+
 def without_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` without the duplicate lines; documents of which nothing but blanks is left go.
 

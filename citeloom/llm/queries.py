@@ -34,6 +34,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.duplicate_lines(documents(spark, sf_dir))
 
 
+def op6_lines_of_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.duplicate_lines_of_any_length(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op4_license_scan, op5_html_templates, op6_line_dedup, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op4_license_scan, op5_html_templates, op6_line_dedup, op6_lines_of_any_length, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,21 @@
+from __future__ import annotations
+
+import random
+
+from citeloom.llm import linededup
+from tests.llm.test_linededup import brute
+
+
+def test_exact_copies_of_short_lines_go(spark):
+    rng = random.Random(4)
+    pool = ["Les.", "Les", "}", "é日", "Share this", " Les. ", "", "  ", "\t", "a line that is long enough to be compared", "a line that is long enough to be compared!"]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 6)))) for d in range(60)] + [(None, "Les."), (99, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, e int")
+    got = {(r.doc_id, r.line_no): (r.earlier_doc_id, r.earlier_line_no) for r in linededup.duplicate_lines_of_any_length(docs).collect()}
+    want, first = brute(rows, 20), {}
+    for d, text in rows:
+        for k, line in enumerate((text or "").split("\n") if d is not None else ()):
+            x = line.strip(" ")
+            if x.strip() and len(x) < 20 and first.setdefault(x, (d, k)) != (d, k):
+                want[d, k] = first[x]
+    assert got == want and len(want) > 60

@@ -259,6 +259,29 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
     """(doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b, of all pairs of distinct n-gram sets at or above
     the threshold, each set stood for by its least doc_id, and of that doc_id with the others of its set."""
+    near, same = _near_and_same(docs, n, threshold, fragment_grams)
+    return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
+
+
+def all_near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
+    """(doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b, of all pairs of documents at or above the threshold.
+
+    What near_pairs gives in compressed form, each set expanded to its documents; the rows grow as the square of the copies.
+    """
+    near, same = _near_and_same(docs, n, threshold, fragment_grams)
+    near = stored(near, "near-sets")
+    sets = same.select("first", "doc_id").union(same.select("first", F.col("first").alias("doc_id")).distinct())
+    for side in ("doc_id_a", "doc_id_b"):
+        members = sets.select(F.col("first").alias(side), F.col("doc_id").alias("member"))
+        near = near.join(members, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
+    a, b = F.col("doc_id_a"), F.col("doc_id_b")
+    near = near.select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "overlap", "jaccard")
+    inner = same.select("first", F.col("doc_id").alias("doc_id_b"), "size").join(sets.select("first", F.col("doc_id").alias("doc_id_a")), "first").where("doc_id_a < doc_id_b")
+    return near.union(inner.select("doc_id_a", "doc_id_b", "size", F.lit(1.0)))
+
+
+def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of distinct sets, each stood for by its least doc_id, and (doc_id, size, first) of the other documents of a set."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     arrow_rows(docs.sparkSession)
@@ -285,7 +308,7 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragme
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
     union = F.col("sizes") - F.col("overlap")
     near = summed.where(F.col("overlap") >= threshold * union - 1e-9).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "overlap", F.round(F.col("overlap") / union, 6).alias("jaccard"))
-    return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
+    return near, same
 
 
 def _one_row_each(text: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_pairs(documents(spark, sf_dir))
 
 
+def op3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.all_near_pairs(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ def op10_pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op4_license_scan, op5_html_templates, op6_line_dedup, op6_lines_of_any_length, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_repetition, op3_ngram_jaccard, op3_all_pairs, op4_license_scan, op5_html_templates, op6_line_dedup, op6_lines_of_any_length, op7_token_counts, op8_repeated_passages, op9_warc_bundles, op10_pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,23 @@
+from __future__ import annotations
+
+import random
+
+from citeloom.llm import ngramjoin
+from tests.llm.test_ngramjoin import grams
+
+
+def test_pairs_of_copies_are_all_given(spark):
+    rng = random.Random(2)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(80)], k=30)) for _ in range(6)]
+    rows = [(rng.randrange(10**6), rng.choice(base) + rng.choice(["", "", " one", " one two"])) for _ in range(60)] + [(10**7, ""), (10**7 + 1, None)]
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = sorted((d, grams(t, 3)) for d, t in rows)
+    want = {}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            o = len(x & y)
+            if x and y and o >= 0.5 * len(x | y):
+                want[a, b] = (o, round(o / len(x | y), 6))
+    got = [tuple(r) for r in ngramjoin.all_near_pairs(docs).collect()]
+    assert {(a, b): (o, j) for a, b, o, j in got} == want and len(got) == len(want) > 100

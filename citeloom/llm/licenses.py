@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, text_column, trimmed
+from citeloom.llm.common import text_column, trimmed
 from citeloom.llm.license_templates import TEMPLATES
 from citeloom.llm.words import BASE, chunks, mix, text_bytes, word_runs
 
@@ -125,7 +125,6 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[
     unit is 'line', 'paragraph' or 'document'; unit_no counts lines or paragraphs from 0.
     Of a unit's templates that reach the threshold, the one of highest Dice is given.
     """
-    arrow_rows(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.string()), ("unit_no", pa.int32()), ("license", pa.string()), ("template_no", pa.int32()), ("shared", pa.int32()), ("dice", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

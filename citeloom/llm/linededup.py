@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, fresh, small, stored, text_column, trimmed
+from citeloom.llm.common import fresh, small, stored, text_column, trimmed
 from citeloom.llm.words import BASE, INVERSE, _power, mix
 
 MIN_CHARS = 20
@@ -103,10 +103,10 @@ def _batch(keys: list, roles: list, docs: list, numbers: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "role", "doc_id", "line_no"])
 
 
-def _by_document(places: DataFrame, docs: DataFrame, row_bytes: int) -> DataFrame:
+def _by_document(places: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, t, candidates) for the documents that `places` (stored) names."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("t"))
-    return text.join(small(places, row_bytes), "doc_id").select("doc_id", "t", "candidates")
+    return text.join(small(places), "doc_id").select("doc_id", "t", "candidates")
 
 
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -116,7 +116,6 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     if min_chars < 2 * BLOCKS:
         raise ValueError(f"min_chars must be {2 * BLOCKS} at least, so that no block is empty")
-    arrow_rows(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     lines = _lines(docs, min_chars)
     firsts = lines.select("h1", "h2", "doc_id", "line_no", _block_keys().alias("keys")).groupBy("h1", "h2")
@@ -130,7 +129,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "blocks")).alias("candidates")), "candidates")
 
     # character deletions within those blocks, joined on equal keys
-    variants = _by_document(wanted, docs, 200).mapInArrow(trimmed(_emit), "key long, role byte, doc_id long, line_no int")
+    variants = _by_document(wanted, docs).mapInArrow(trimmed(_emit), "key long, role byte, doc_id long, line_no int")
     place = F.struct("doc_id", "line_no")
     w = Window.partitionBy("key")
     of = lambda role: F.min(F.when(F.col("role") == role, place)).over(w)
@@ -142,7 +141,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # verification on the texts
     ends = pairs.select("doc_id", "line_no").union(pairs.select("e_doc", "e_line")).distinct()
     ends = stored(ends.groupBy("doc_id").agg(F.collect_list(F.struct("line_no")).alias("candidates")), "line-ends")
-    texts = _by_document(ends, docs, 100)
+    texts = _by_document(ends, docs)
     texts = texts.select("doc_id", F.explode(F.transform("candidates", lambda c: F.struct(c["line_no"].alias("line_no"), F.trim(F.get(F.split("t", "\n"), c["line_no"])).alias("line")))).alias("x"))
     texts = stored(texts.select("doc_id", "x.*").where(F.length("line") >= min_chars), "line-texts")
     near = (
@@ -155,7 +154,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # what each distinct line that repeats another, or is repeated, goes back to
     firsts = firsts.select("h1", "h2", "n", "doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
     back = stored(firsts.where("n > 1 or near is not null").select("h1", "h2", F.coalesce("near", place).alias("e")), "lines-back")
-    gone = lines.select("h1", "h2", "doc_id", "line_no").join(small(back, 60), ["h1", "h2"]).where(F.col("e") < place)
+    gone = lines.select("h1", "h2", "doc_id", "line_no").join(small(back), ["h1", "h2"]).where(F.col("e") < place)
     return gone.select("doc_id", "line_no", F.col("e.doc_id").alias("earlier_doc_id"), F.col("e.line_no").alias("earlier_line_no"))
 
 
@@ -166,7 +165,7 @@ def duplicate_lines_of_any_length(docs: DataFrame, min_chars: int = MIN_CHARS) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     lines, place = _lines(docs, 1).where((F.length("line") < min_chars) & F.col("line").rlike(r"[^\s\x0B]")), F.struct("doc_id", "line_no")
     back = lines.groupBy("h1", "h2").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = lines.join(small(stored(back, "short-lines"), 60), ["h1", "h2"]).where(F.col("e") < place)
+    gone = lines.join(small(stored(back, "short-lines")), ["h1", "h2"]).where(F.col("e") < place)
     return near.unionByName(gone.select("doc_id", "line_no", F.col("e.doc_id").alias("earlier_doc_id"), F.col("e.line_no").alias("earlier_line_no")))
 
 
@@ -177,7 +176,7 @@ def without_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
     """
     doc, gone_, text = (fresh(docs, n) for n in ("__doc", "__gone", "__text"))
     gone = duplicate_lines(docs, min_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(gone_))
-    joined = docs.join(small(stored(gone, "gone"), 100), F.col("doc_id") == F.col(doc), "left")
+    joined = docs.join(small(stored(gone, "gone")), F.col("doc_id") == F.col(doc), "left")
     whole = F.col(gone_).isNull()
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone_, i)), "\n")
     joined = joined.withColumn(text, F.when(whole, F.col("text")).otherwise(left))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, fresh, small, stored, text_column, trimmed, trimmed_group
+from citeloom.llm.common import fresh, small, stored, text_column, trimmed, trimmed_group
 from citeloom.llm.components import connected_components
 from citeloom.llm.words import distinct_grams, gram_hashes, mix, word_runs
 
@@ -284,7 +284,6 @@ def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: in
     """Pairs of distinct sets, each stood for by its least doc_id, and (doc_id, size, first) of the other documents of a set."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    arrow_rows(docs.sparkSession)
     text = _one_row_each(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text")))
     chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(1, math.ceil(chars / 6 / fragment_grams))
@@ -295,15 +294,15 @@ def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: in
 
     w = Window.partitionBy("size", "h1", "h2")
     same = stored(alive.where("h1 is not null").select("doc_id", "size", F.min("doc_id").over(w).alias("first")).where("first < doc_id"), "same-sets")
-    sole = alive.join(small(same.select("doc_id"), 16), "doc_id", "left_anti")
+    sole = alive.join(small(same.select("doc_id")), "doc_id", "left_anti")
     buckets = max(1, math.ceil(chars / 6 / fragment_grams / 8))
     postings = sole.select("doc_id", "size", "prefix", "grams").mapInArrow(trimmed(_prefixes(buckets)), "bucket int, gram long, doc_id long, size long")
     candidates = stored(postings.groupBy("bucket").applyInArrow(trimmed_group(_candidates(threshold)), "a long, b long").distinct(), "candidates")
 
     cells = stored(connected_components(candidates).select("node", F.pmod(F.xxhash64("component"), F.lit(fragments)).cast("int").alias("cell")), "cells")
-    placed = sole.join(small(cells, 24), F.col("doc_id") == F.col("node")).select("cell", "doc_id", "size", "grams")
+    placed = sole.join(small(cells), F.col("doc_id") == F.col("node")).select("cell", "doc_id", "size", "grams")
     placed = placed.mapInArrow(trimmed(_split(fragments, PARTS)), "cell int, part int, doc_id long, size long, grams binary")
-    wanted = candidates.join(small(cells, 24), F.col("a") == F.col("node")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
+    wanted = candidates.join(small(cells), F.col("a") == F.col("node")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
     partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(trimmed_group(_overlaps), "a long, b long, sizes long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
     union = F.col("sizes") - F.col("overlap")
@@ -316,8 +315,8 @@ def _one_row_each(text: DataFrame) -> DataFrame:
     repeated = stored(text.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return text
-    merged = text.join(small(repeated, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text"))
-    return text.join(small(repeated, 16), "doc_id", "left_anti").unionByName(merged)
+    merged = text.join(small(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text"))
+    return text.join(small(repeated), "doc_id", "left_anti").unionByName(merged)
 
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -325,7 +324,7 @@ def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     groups = connected_components(near_pairs(docs, n, threshold))
     node = fresh(docs, "__node")
     gone = stored(groups.where("node > component").select(F.col("node").alias(node)), "near-duplicates")
-    return docs.join(small(gone, 16), F.col("doc_id") == F.col(node), "left_anti")
+    return docs.join(small(gone), F.col("doc_id") == F.col(node), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:

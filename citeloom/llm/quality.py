@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, trimmed
+from citeloom.llm.common import trimmed
 
 MIN_REPEAT = 40
 MAX_COVERED = 0.5
@@ -143,7 +143,6 @@ def repetition_rules(
             keep = (covered <= max_covered * n) & (longest <= max_repeat)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (n, covered, longest, intervals, keep))], schema=out)
 
-    arrow_rows(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_chars", "covered_chars", "longest_repeat", "n_intervals")), ("keep", pa.bool_())])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(measure), _FIELDS)
 
@@ -159,6 +158,5 @@ def without_repetitive(
             found = (repetition(t or "", min_repeat) for t in texts)
             yield batch.filter(pa.array([covered <= max_covered * n and longest <= max_repeat for n, covered, longest, _ in found], pa.bool_()))
 
-    arrow_rows(docs.sparkSession)
     at = docs.columns.index("text")
     return docs.mapInArrow(trimmed(keep), docs.schema)

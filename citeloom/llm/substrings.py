@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, scratch_path, small, stored, text_column, trimmed, trimmed_group
+from citeloom.llm.common import scratch_path, small, stored, text_column, trimmed, trimmed_group
 from citeloom.llm.words import gram_hashes, word_runs
 
 MIN_WORDS = 50
@@ -165,9 +165,9 @@ def _verified(matches: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, start_word, end_word, earlier_doc_id, earlier_start) of the maximal repeats of each document."""
     diagonals = matches.select("doc_id", "x_doc", (F.col("pos") - F.col("x_pos")).alias("diagonal")).distinct()
     pairs = stored(diagonals.groupBy("doc_id", "x_doc").agg(F.collect_list("diagonal").alias("diagonals")), "repeat-pairs")
-    wanted = small(pairs.withColumnsRenamed({"doc_id": "y", "x_doc": "x"}), 48)
+    wanted = small(pairs.withColumnsRenamed({"doc_id": "y", "x_doc": "x"}))
     sources = docs.join(wanted, F.col("doc_id") == F.col("x")).select("y", "x", "diagonals", "text")
-    own = docs.join(small(pairs.select(F.col("doc_id").alias("y")).distinct(), 16), F.col("doc_id") == F.col("y"))
+    own = docs.join(small(pairs.select(F.col("doc_id").alias("y")).distinct()), F.col("doc_id") == F.col("y"))
     empty = F.array().cast("array<int>")
     own = own.select("y", F.lit(None).cast("long").alias("x"), empty.alias("diagonals"), "text")
 
@@ -203,7 +203,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     if not 0 < gram <= min_words:
         raise ValueError("gram must be from 1 to min_words")
     spark = docs.sparkSession
-    arrow_rows(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("c"), F.count(F.lit(1)).alias("n")).first() if batches > 1 else None
     bounds = [None, *sorted(set(cuts["c"] or [])), None] if cuts else [None, None]

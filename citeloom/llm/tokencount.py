@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_rows, stored, text_column, trimmed
+from citeloom.llm.common import stored, text_column, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,7 +72,6 @@ def _spans(ids: np.ndarray) -> Iterator[np.ndarray]:
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each doc_id."""
     # the rows of a batch share the pre-tokens they send on, so larger batches shuffle less
-    arrow_rows(docs.sparkSession, BATCH_ROWS)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

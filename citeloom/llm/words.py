@@ -27,19 +27,21 @@ _FOLD[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
-_powers: dict[str, np.ndarray] = {}
+#: Powers are kept for so many bytes at most; longer runs, which single words of that length make, compute their own.
+KEPT_POWERS = 4 * CHUNK_BYTES
+
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """``base**i`` modulo 2**64 for i below n, grown by doubling and kept per process."""
-    key = f"{base}"
-    have = _powers.get(key)
+    """``base**i`` modulo 2**64 for i below n, grown by doubling and kept per process up to KEPT_POWERS."""
+    have = _powers.get(base)
     if have is None:
         have = np.ones(1, dtype=_U)
     while len(have) < n:
         step = _U(pow(base, len(have), 1 << 64))
         have = np.concatenate([have, have * step])
-    _powers[key] = have
+    _powers[base] = have[:KEPT_POWERS]
     return have[:n]
 
 
@@ -96,14 +98,33 @@ def chunks(at: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def word_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _long_words(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_words of one long text, a piece of about `size` bytes at a time, cut where no word is."""
+    parts, low = [], 0
+    while low < len(data):
+        high = low + size
+        while high < len(data):
+            gap = np.flatnonzero(~_WORD[_FOLD[data[high : high + size]]])
+            high += int(gap[0]) if len(gap) else size
+            if len(gap):
+                break
+        high = min(high, len(data))
+        h, _, start, end = _words(data[low:high], np.array([0, high - low]))
+        parts.append((h, start + low, end + low))
+        low = high
+    h, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, np.array([0, len(h)]), start, end
+
+
+def word_runs(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts [i, j): (i, j, word hashes, j - i + 1 word offsets, byte starts, byte ends).
 
     Starts and ends count from the first byte of text i.
     """
     data, at = text_bytes(column)
-    for i, j in chunks(at):
-        yield (i, j, *_words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
+    for i, j in chunks(at, size):
+        part = data[at[i] : at[j]]
+        yield (i, j, *(_long_words(part, size) if j == i + 1 and len(part) > 2 * size else _words(part, at[i : j + 1] - at[i])))
 
 
 def gram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +137,18 @@ def gram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     grams = np.where(counts > 0, np.maximum(full, 1), 0)
     out = np.zeros(len(grams) + 1, dtype=np.int64)
     np.cumsum(grams, out=out[1:])
-    base = np.repeat(offsets[:-1] - out[:-1], grams) + np.arange(out[-1])
-    padded = np.concatenate([words, np.zeros(n, dtype=_U)])
-    h = np.zeros(len(base), dtype=_U)
-    short = np.repeat((counts < n) & (counts > 0), grams)
-    for k in range(n):
-        part = padded[base + k] if len(base) else padded[:0]
-        if short.any():
-            part = np.where(short & (k >= np.repeat(counts, grams)), _U(0), part)
-        h += part * _U(pow(BASE, k + 1, 1 << 64))
+    first = np.repeat(offsets[:-1] - out[:-1], grams) + np.arange(out[-1])
+    last = np.minimum(first + n, np.repeat(offsets[1:], grams))
+    # sums of word * BASE**place, cut into stretches so that powers stay few: a gram is a difference of sums within one
+    h = np.zeros(len(first), dtype=_U)
+    step = max(CHUNK_BYTES, 4 * n)
+    for low in range(0, len(words), step):
+        a, b = np.searchsorted(first, [low, low + step])
+        if b > a:
+            high = int(last[a:b].max())
+            total = np.zeros(high - low + 1, dtype=_U)
+            np.cumsum(words[low:high] * _power(BASE, high - low), out=total[1:])
+            h[a:b] = (total[last[a:b] - low] - total[first[a:b] - low]) * _power(INVERSE, high - low)[first[a:b] - low] * _U(BASE)
     return mix(h), out
 
 

@@ -4,47 +4,57 @@ Fingerprints are winnowed: of the hashes of all windows of GRAM words, those tha
 of some min_words - GRAM + 1 in a row are kept. Two documents that share a run of min_words
 words then share a fingerprint of it, wherever the run lies in either.
 
-The index is a set of sorted immutable runs, each a table of (hash, doc_id, pos), bucketed and
-sorted by hash in the shared folder. A batch of new documents is written as a run; since all
-runs are bucketed alike, batch and history meet in merge joins without another shuffle. Each
-fingerprint is referred to its earliest holder, so one that thousands of documents share costs
-each of them one row. After a batch, runs of one level are compacted, FANOUT of them into one
-of the next, which keeps the earliest holder of each hash; so each fingerprint is rewritten
-once a level, and the number of runs grows as the logarithm of the number of batches.
-
-Matches are verified on the words themselves: along every diagonal on which documents share a
-fingerprint, runs of min_words equal words or more are the repeats.
-
-A passage is referred to the earliest document with its fingerprint; where that document has
-the fingerprint but not the whole run, a later holder of the run can be overlooked. Tests
-hold the recall against brute force.
-
-Defined results: words are as in `words`; order is by doc_id; the earliest occurrence stays
-and is not given; repeats within one document are not looked for; texts of fewer than
-min_words words, null and empty ones have none; rows of null doc_id are left out; rows that
-repeat a doc_id count as one document. Other columns are ignored.
+The index is a folder with a manifest, a list of sorted immutable runs. A run holds the
+fingerprints (hash, doc_id, pos, last) of a batch, bucketed and sorted by hash. A new batch is
+written as a run; since all runs are bucketed alike, batch and history meet in merge joins
+without another shuffle. What they share is verified: around each shared fingerprint, the
+windows of min_words words that hold it are hashed whole, in the new documents and in the old
+ones that share it, to 128 bits made of the words' bytes. A window that an earlier document has is
+a repeat, referred to the earliest. So every repeat is found; only texts with shared fingerprints
+are looked at again, and no two documents are paired, so a passage that thousands of documents
+share costs each of them its own windows.
+
+After a batch, runs of one level are compacted, FANOUT of them into one of the next, so each row
+is rewritten once a level, and the number of runs grows as the logarithm of the number of batches.
+A fingerprint of which all windows are repeats adds nothing to those of the earlier documents and
+is left out there: a compacted run holds each passage once, by its earliest holder. The manifest is
+replaced when all else is written: a batch that fails leaves the index as it was, and a later
+session opens it and goes on.
+
+Defined results: words are as in `words`; within a batch order is by doc_id, and what the index
+holds is earlier than any batch; the earliest occurrence stays and is not given; repeats within
+one document are not looked for; texts of fewer than min_words words, null and empty ones have
+none; rows of null doc_id are left out; rows that repeat a doc_id count as one document, and so does
+a doc_id that the index has; an empty batch gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import scratch_path, small, stored, text_column, trimmed, trimmed_group
-from citeloom.llm.words import gram_hashes, word_runs
+from citeloom.llm.common import TEXT_ROWS, arrow_rows, delete, files, forget, scratch_path, small, stored, text_column, trimmed
+from citeloom.llm.words import BASE, INVERSE, _power, gram_hashes, mix, word_runs
 
 MIN_WORDS = 50
 GRAM = 34
 BATCHES = 4
 FANOUT = 3
-#: Words that one bucket of a run is meant to hold at most; buckets are set by the first batch.
+#: Fingerprints that one bucket of a run is meant to hold at most; buckets are set when an index is made.
 BUCKET_ROWS = 2_000_000
+#: The tables of a run: fingerprints, repeats of its documents, and their texts where the index keeps them.
+_TABLES = {
+    "f": ("hash BIGINT, doc_id BIGINT, pos INT, last INT", "hash"),
+    "r": ("doc_id BIGINT, whole ARRAY<STRUCT<a: INT, b: INT>>", "doc_id"),
+    "t": ("doc_id BIGINT, text STRING", "doc_id"),
+}
 
 
 def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -73,156 +83,258 @@ def winnow(grams: np.ndarray, offsets: np.ndarray, w: int) -> tuple[np.ndarray,
 
 
 def fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(hash, doc_id, pos) of the winnowed windows of each document; docs has doc_id and lower-cased text."""
+    """(hash, doc_id, pos, last) of the winnowed windows of each document; docs has doc_id and lower-cased text.
+
+    last is where the last window of min_words words begins.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, _, words, offsets, *_ in word_runs(batch.column(1)):
                 grams, at = gram_hashes(words, offsets, gram)
-                long = np.diff(offsets) >= min_words
+                n = np.diff(offsets)
                 text, pos = winnow(grams, at, min_words - gram + 1)
-                ok = long[text]
+                ok = (n >= min_words)[text]
                 text, pos = text[ok], pos[ok]
-                h = grams[at[text] + pos].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[i + text]), pa.array(pos.astype(np.int32))], names=["hash", "doc_id", "pos"])
+                columns = [grams[at[text] + pos].view(np.int64), ids[i + text], pos.astype(np.int32), (n - min_words)[text].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "doc_id", "pos", "last"])
+
+    return docs.mapInArrow(trimmed(find), "hash long, doc_id long, pos int, last int")
+
 
-    return docs.mapInArrow(trimmed(find), "hash long, doc_id long, pos int")
+def _window_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the n words from each start on."""
+    out = []
+    for salt in (0, 0xD6E8FEB86659FD93):
+        w = mix(words + np.uint64(salt)) if salt else words
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(w * _power(BASE, len(words)), out=total[1:])
+        out.append(mix((total[starts + n] - total[starts]) * _power(INVERSE, len(words) + 1)[starts] + np.uint64(salt)).view(np.int64))
+    return out[0], out[1]
+
+
+def _windows(min_words: int, gram: int):
+    """The windows of min_words words around the fingerprints of (doc_id, fresh, text, places)."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, new = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            places = batch.column(3).to_pylist()
+            for i, j, words, offsets, *_ in word_runs(batch.column(2)):
+                out = []
+                for k in range(i, j):
+                    own = words[offsets[k - i] : offsets[k - i + 1]]
+                    if len(own) < min_words:
+                        continue
+                    pos = np.array(places[k], np.int64)
+                    pos = pos[pos + gram <= len(own)]
+                    near = np.zeros(len(own) + 2, np.int32)
+                    np.add.at(near, np.maximum(pos - (min_words - gram), 0), 1)
+                    np.add.at(near, pos + 1, -1)
+                    starts = np.flatnonzero(np.cumsum(near)[: len(own) - min_words + 1] > 0)
+                    out.append((*_window_hashes(own, starts, min_words), np.full(len(starts), ids[k]), starts.astype(np.int32), np.full(len(starts), new[k])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h1", "h2", "doc_id", "start", "fresh"])
+
+    return expand
 
 
 @dataclass
 class FingerprintIndex:
-    """The runs, oldest first, as (level, table name, path)."""
+    """An index in a folder; runs are (level, name, whether it keeps texts), oldest first."""
 
     spark: SparkSession
+    path: str
     buckets: int
+    min_words: int = MIN_WORDS
+    gram: int = GRAM
     fanout: int = FANOUT
-    runs: list[tuple[int, str, str]] = field(default_factory=list)
-
-    def write(self, rows: DataFrame) -> tuple[str, str]:
-        name = f"fingerprints_{uuid.uuid4().hex}"
-        path = scratch_path(self.spark, "run")
-        rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
-        return name, path
-
-    def matches(self, name: str) -> DataFrame:
-        """(doc_id, pos, x_doc, x_pos): each row of the run `name` whose hash an earlier document has."""
-        new = self.spark.table(name)
-        found, earliest = new, []
-        for k, source in enumerate([*(t for _, t, _ in self.runs), name]):
-            first = self.spark.table(source).groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias(f"e{k}"))
-            found = found.join(first, "hash", "left")
-            earliest.append(F.col(f"e{k}"))
-        e = F.least(*earliest) if len(earliest) > 1 else earliest[0]
-        found = found.withColumn("e", e).where("e.doc_id < doc_id")
-        return found.select("doc_id", "pos", F.col("e.doc_id").alias("x_doc"), F.col("e.pos").alias("x_pos"))
-
-    def add(self, name: str, path: str) -> None:
-        """Takes a written run into the index, and compacts."""
-        self.runs.append((0, name, path))
+    runs: list[tuple[int, str, bool]] = field(default_factory=list)
+
+    @staticmethod
+    def create(spark: SparkSession, path: str, documents: int, min_words: int = MIN_WORDS, gram: int = GRAM, fanout: int = FANOUT) -> FingerprintIndex:
+        """A new index for batches of about so many documents, at a hundred fingerprints each."""
+        if not 0 < gram <= min_words:
+            raise ValueError("gram must be from 1 to min_words")
+        index = FingerprintIndex(spark, path, max(4, min(-(-documents * 100 // BUCKET_ROWS), 100_000)), min_words, gram, fanout)
+        index._save()
+        return index
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that a folder holds, as its manifest says."""
+        store, place = files(spark, f"{path}/manifest.json")
+        if not store.exists(place):  # the one before, if a driver was lost while the manifest was replaced
+            store, place = files(spark, f"{path}/manifest.old.json")
+        stream = store.open(place)
+        try:
+            known = json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+        index = FingerprintIndex(spark, path, known["buckets"], known["min_words"], known["gram"], known["fanout"], [tuple(r) for r in known["runs"]])
+        for _, name, texts in index.runs:
+            for kind in "frt" if texts else "fr":
+                columns, key = _TABLES[kind]
+                if not spark.catalog.tableExists(f"{name}_{kind}"):
+                    spark.sql(f"CREATE TABLE {name}_{kind} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{path}/{name}_{kind}'")
+        return index
+
+    def _save(self) -> None:
+        text = json.dumps({"buckets": self.buckets, "min_words": self.min_words, "gram": self.gram, "fanout": self.fanout, "runs": self.runs})
+        store, place = files(self.spark, f"{self.path}/manifest.json")
+        _, old = files(self.spark, f"{self.path}/manifest.old.json")
+        _, new = files(self.spark, f"{self.path}/manifest.{uuid.uuid4().hex}.json")
+        stream = store.create(new, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if store.exists(place):
+            store.delete(old, False)
+            store.rename(place, old)
+        if not store.rename(new, place):
+            raise OSError(f"the manifest of {self.path} could not be replaced")
+
+    def _write(self, name: str, kind: str, rows: DataFrame) -> DataFrame:
+        table, key = f"{name}_{kind}", _TABLES[kind][1]
+        rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{table}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def _tables(self, kind: str) -> list[DataFrame]:
+        return [self.spark.table(f"{name}_{kind}") for _, name, texts in self.runs if texts or kind != "t"]
+
+    def append(self, docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """Takes a batch (doc_id, text) into the index; (doc_id, start_word, end_word, earlier_doc_id, earlier_start) of its repeats.
+
+        The passage of each row begins earlier_start words into the earlier document. `texts` is where texts
+        of documents in the index can be read again, if there is such a table; else the index keeps them.
+        """
+        with arrow_rows(self.spark, TEXT_ROWS):
+            return self._append(_keyed(docs), None if texts is None else _keyed(texts))
+
+    def _append(self, docs: DataFrame, texts: DataFrame | None) -> DataFrame:
+        name = f"run_{uuid.uuid4().hex}"
+        batch = self._write(name, "f", fingerprints(docs, self.min_words, self.gram))
+
+        # fingerprints that documents of the batch share with each other or with history
+        ours = batch.groupBy("hash").agg((F.min("doc_id") < F.max("doc_id")).alias("within"))
+        met = [run.join(ours.select("hash"), "hash") for run in self._tables("f")]
+        if met:
+            old = stored(_union(met), "shared-history")
+            seen = old.select("hash").distinct().withColumn("met", F.lit(True))
+            shared = ours.join(seen, "hash", "left").where("within or met")
+        else:
+            shared = ours.where("within")
+        mine = stored(batch.join(shared.select("hash"), "hash", "left_semi"), "shared-batch")
+
+        # verification: the windows around those fingerprints, in their documents' own words
+        windows = self._around(mine, docs, True)
+        if met:
+            history = [texts] if texts is not None else self._tables("t")
+            windows = windows.unionByName(self._around(old, _union(history), False)) if history else windows
+        windows = stored(windows, "windows")
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("fresh", "doc_id", "start")).alias("e"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        first = stored(first.where("low < high").select("h1", "h2", "e.doc_id", "e.start").withColumnsRenamed({"doc_id": "x", "start": "at"}), "first-windows")
+        repeats = windows.where("fresh").join(small(first), ["h1", "h2"]).where("x <> doc_id").select("doc_id", "start", F.struct("x", "at").alias("e"))
+        pieces = stored(self._pieces(repeats), "repeat-pieces")
+        self._write(name, "r", pieces.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("f.start").alias("a"), "b")).alias("whole")))
+        if texts is None:
+            self._write(name, "t", docs)
+        spans = pieces.groupBy("doc_id", "g").agg(F.min("f").alias("f"), F.max("b").alias("high"))
+        found = spans.select("doc_id", F.col("f.start").alias("start_word"), (F.col("high") + self.min_words).alias("end_word"), F.col("f.e.x").alias("earlier_doc_id"), F.col("f.e.at").alias("earlier_start"))
+        found = stored(found, "repeats")
+        forget(mine, windows, first, pieces, *([old] if met else []))
+
+        self.runs.append((0, name, texts is None))
+        stale = self._compact()
+        self._save()
+        for run in stale:
+            self._drop(run)
+        return found
+
+    def _around(self, shared: DataFrame, texts: DataFrame, fresh: bool) -> DataFrame:
+        """Windows of the documents of `texts` that have shared fingerprints: only those texts go to Python."""
+        places = stored(shared.groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "places")
+        wanted = texts.join(small(places), "doc_id").select("doc_id", F.lit(fresh).alias("fresh"), "text", "places")
+        return wanted.mapInArrow(trimmed(_windows(self.min_words, self.gram)), "h1 long, h2 long, doc_id long, start int, fresh boolean")
+
+    def _pieces(self, repeats: DataFrame) -> DataFrame:
+        """(doc_id, g, c, f, b): windows one after another, from f.start to b, and the passage g that they belong to.
+
+        Windows that overlap or touch are one passage. All of it takes one shuffle, by doc_id.
+        """
+        w = Window.partitionBy("doc_id").orderBy("start")
+        one = repeats.repartition("doc_id").groupBy("doc_id", "start").agg(F.min("e").alias("e")).withColumn("p", F.lag("start").over(w))
+        one = one.withColumns({"opens": F.when(F.col("start") <= F.col("p") + self.min_words, 0).otherwise(1), "breaks": F.when(F.col("start") == F.col("p") + 1, 0).otherwise(1)})
+        one = one.withColumns({"g": F.sum("opens").over(w), "c": F.sum("breaks").over(w)})
+        return one.groupBy("doc_id", "g", "c").agg(F.min(F.struct("start", "e")).alias("f"), F.max("start").alias("b"))
+
+    def _compact(self) -> list[str]:
+        """Merges the last runs while `fanout` of them are of one level; the names of those that are no longer needed."""
+        stale: list[str] = []
         while len(self.runs) >= self.fanout and len({level for level, *_ in self.runs[-self.fanout :]}) == 1:
             merged, self.runs = self.runs[-self.fanout :], self.runs[: -self.fanout]
-            rows = self.spark.table(merged[0][1])
-            for _, t, _ in merged[1:]:
-                rows = rows.unionByName(self.spark.table(t))
-            rows = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("e")).select("hash", "e.doc_id", "e.pos")
-            self.runs.append((merged[0][0] + 1, *self.write(rows)))
-            for _, t, p in merged:
-                self._drop(t, p)
+            name, table = f"run_{uuid.uuid4().hex}", lambda run, kind: self.spark.table(f"{run}_{kind}")
+            # every window of a fingerprint that goes is one that an earlier document has
+            low, high = F.greatest(F.col("pos") - (self.min_words - self.gram), F.lit(0)), F.least("pos", "last")
+            inside = F.exists("whole", lambda r: (r["a"] <= low) & (r["b"] >= high))
+            repeats = _union([table(run, "r") for _, run, _ in merged]).groupBy("doc_id").agg(F.flatten(F.collect_list("whole")).alias("whole"))
+            rows = _union([table(run, "f") for _, run, _ in merged]).join(small(repeats), "doc_id", "left")
+            self._write(name, "f", rows.where(F.col("whole").isNull() | ~inside).select("hash", "doc_id", "pos", "last"))
+            self._write(name, "r", repeats.limit(0))
+            kept = [table(run, "t") for _, run, texts in merged if texts]
+            if kept:
+                self._write(name, "t", _union(kept))
+            self.runs.append((merged[0][0] + 1, name, bool(kept)))
+            stale += [run for _, run, _ in merged]
+        return stale
+
+    def _drop(self, name: str) -> None:
+        for kind in _TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}_{kind}")
+            delete(self.spark, f"{self.path}/{name}_{kind}")
 
     def close(self) -> None:
-        for _, t, p in self.runs:
-            self._drop(t, p)
-        self.runs = []
-
-    def _drop(self, name: str, path: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def equal_runs(y: np.ndarray, x: np.ndarray, diagonal: int, least: int) -> list[tuple[int, int, int]]:
-    """(start in y, length, start in x) of runs of `least` equal words or more where y[i] = x[i - diagonal]."""
-    low, high = max(0, diagonal), min(len(y), len(x) + diagonal)
-    if high - low < least:
-        return []
-    same = np.zeros(high - low + 2, np.int8)
-    same[1:-1] = y[low:high] == x[low - diagonal : high - diagonal]
-    step = np.diff(same)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    ok = end - start >= least
-    return [(low + s, e - s, low + s - diagonal) for s, e in zip(start[ok].tolist(), end[ok].tolist(), strict=True)]
-
-
-def _hashes(texts: list[str]) -> list[np.ndarray]:
-    found: list[np.ndarray] = []
-    for _, _, words, offsets, *_ in word_runs(pa.array(texts, pa.string())):
-        found += [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return found
-
-
-def _verified(matches: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, start_word, end_word, earlier_doc_id, earlier_start) of the maximal repeats of each document."""
-    diagonals = matches.select("doc_id", "x_doc", (F.col("pos") - F.col("x_pos")).alias("diagonal")).distinct()
-    pairs = stored(diagonals.groupBy("doc_id", "x_doc").agg(F.collect_list("diagonal").alias("diagonals")), "repeat-pairs")
-    wanted = small(pairs.withColumnsRenamed({"doc_id": "y", "x_doc": "x"}))
-    sources = docs.join(wanted, F.col("doc_id") == F.col("x")).select("y", "x", "diagonals", "text")
-    own = docs.join(small(pairs.select(F.col("doc_id").alias("y")).distinct()), F.col("doc_id") == F.col("y"))
-    empty = F.array().cast("array<int>")
-    own = own.select("y", F.lit(None).cast("long").alias("x"), empty.alias("diagonals"), "text")
-
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
-        y = key[0].as_py()
-        xs = table["x"].to_pylist()
-        words = _hashes(table["text"].to_pylist())
-        mine = [w for w, x in zip(words, xs, strict=True) if x is None]
-        spans = []
-        for w, x, ds in zip(words, xs, table["diagonals"].to_pylist(), strict=True):
-            for d in ds if x is not None else ():
-                for m in mine:
-                    spans += [(s, s + n, x, xs_) for s, n, xs_ in equal_runs(m, w, d, min_words)]
-        merged: list[list] = []
-        for s, e, x, at in sorted(spans):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e, x, at])
-        columns = list(zip(*merged, strict=True)) if merged else [()] * 4
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        names = ["start_word", "end_word", "earlier_doc_id", "earlier_start"]
-        return pa.Table.from_arrays([pa.array([y] * len(merged), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
-
-    return sources.unionByName(own).groupBy("y").applyInArrow(trimmed_group(verify), "doc_id long, start_word int, end_word int, earlier_doc_id long, earlier_start int")
+        """Takes the tables out of this session; the folder stays as it is."""
+        for _, name, _ in self.runs:
+            for kind in _TABLES:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}_{kind}")
+
+    def destroy(self) -> None:
+        self.close()
+        delete(self.spark, self.path)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, start_word, end_word, earlier_doc_id, earlier_start) of passages that an earlier document has.
 
-    Documents come in `batches` ranges of doc_id, as they would arrive over time.
+    Documents come in `batches` ranges of doc_id, as they would arrive over time, into an index that goes at the end.
     """
-    if not 0 < gram <= min_words:
-        raise ValueError("gram must be from 1 to min_words")
-    spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000).alias("c"), F.count(F.lit(1)).alias("n")).first() if batches > 1 else None
-    bounds = [None, *sorted(set(cuts["c"] or [])), None] if cuts else [None, None]
-    found: DataFrame | None = None
-    index: FingerprintIndex | None = None
+    spark, known = docs.sparkSession, docs.where("doc_id is not null")
+    # the scale of a batch is known before it is read: from the number of its documents
+    cuts = known.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)] or [0.5], 10_000).alias("c"), F.count(F.lit(1)).alias("n")).first()
+    bounds = [None, *(sorted(set(cuts["c"] or [])) if batches > 1 else []), None]
+    index = FingerprintIndex.create(spark, scratch_path(spark, "fingerprints"), cuts["n"], min_words, gram, fanout)
+    found = []
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = docs
-        part = part if low is None else part.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        rows = fingerprints(part, min_words, gram)
-        if index is None:
-            # the scale of a batch is known before it is read: from the number of its documents, at a hundred fingerprints each
-            n = cuts["n"] if cuts else docs.count()
-            index = FingerprintIndex(spark, max(4, min(-(-n * 100 // BUCKET_ROWS), 100_000)), fanout)
-        name, path = index.write(rows)
-        here = stored(_verified(index.matches(name), docs if high is None else docs.where(F.col("doc_id") <= high), min_words), "repeats")
-        found = here if found is None else found.unionByName(here)
-        index.add(name, path)
-    index.close()
-    return found
+        before, part = known, known
+        if low is not None:
+            before, part = before.where(F.col("doc_id") <= low), part.where(F.col("doc_id") > low)
+        if high is not None:
+            part = part.where(F.col("doc_id") <= high)
+        found.append(index.append(part, before))
+    index.destroy()
+    return _union(found)
 
 
 def oracle(min_words: int = MIN_WORDS) -> str:

@@ -2,17 +2,21 @@
 
 A suffix array of the characters is built by prefix doubling: suffixes are sorted by their
 first 8 characters packed into one integer, then by pairs of ranks, and only suffixes still
-tied are sorted again. The longest common prefixes of neighbours in the array come from the
-ranks kept of each doubling. A run of neighbours whose LCP is at least min_repeat is an LCP
-interval; the maximal repeated substring of a suffix is its greater LCP with a neighbour,
-and the union of the spans of all of them is the part of the text that is repeated.
+tied are sorted again. The longest common prefix of a suffix and its neighbour in the array is one
+less than that of the suffix before it in the text, unless the characters before the two differ;
+so it is measured at those places only, whose prefixes sum to n log n at most, and follows
+elsewhere: memory is a few integers a character however repetitive the text. A run of
+neighbours whose LCP is at least min_repeat is an LCP interval; the maximal repeated substring of a
+suffix is its greater LCP with a neighbour, and the union of the spans of all of them is the
+part of the text that is repeated.
 
 A text is rejected if that part is more than max_covered of it or if the longest repeat
 exceeds max_repeat characters. It is row-local: one scan, no shuffle.
 
 Defined results: a null or empty text has 0 characters, covered fraction 0 and is kept;
-each input row gives one row, repeated rows too; other columns are ignored. Overlapping
-occurrences count, so that a run of one character is its own repeat. Whole texts are used.
+each input row gives one row, repeated rows too, and a null doc_id stays null; an empty table gives no
+rows; other columns are ignored. Overlapping occurrences count, so that a run of one character is
+its own repeat. Suffixes are never tied: a shorter one precedes. Whole texts are used.
 """
 
 from __future__ import annotations
@@ -60,6 +64,60 @@ def _packed(codes: np.ndarray) -> tuple[np.ndarray, int]:
     return key[:n], width
 
 
+def _neighbours(codes: np.ndarray, key: np.ndarray, width: int, order: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The longest common prefixes of the suffixes at places `near` of the array with the next ones."""
+    n = len(codes)
+    ahead = np.full(n, -1, order.dtype)  # the suffix before each in the array, where its LCP is asked for
+    ahead[order[near + 1]] = order[near]
+    left = np.flatnonzero(ahead >= 0)
+    right = ahead[left]
+    before = (left == 0) | (right == 0)
+    before |= ahead[left - 1] < 0
+    some = ~before
+    before[some] = (ahead[left[some] - 1] != right[some] - 1) | (codes[left[some] - 1] != codes[right[some] - 1])
+    start = np.flatnonzero(before)  # the others are one less than the one before
+    length = np.zeros(len(start), np.int64)
+    open_ = np.arange(len(start))
+    i, j, done = left[start].astype(np.int64), right[start].astype(np.int64), 0
+    while len(open_) > 64:
+        a, b = i[open_] + done, j[open_] + done
+        ok = np.maximum(a, b) < n
+        ok[ok] = key[a[ok]] == key[b[ok]]
+        stop = open_[~ok]
+        length[stop] = done + _within(codes, i[stop] + done, j[stop] + done, width)
+        open_, done = open_[ok], done + width
+    for k in open_.tolist():
+        length[k] = done + _common(codes, int(i[k]) + done, int(j[k]) + done)
+    whole = np.full(n, -1, np.int64)
+    whole[left[start]] = left[start] + length
+    reach = np.maximum.accumulate(whole) - np.arange(n)
+    return np.maximum(reach[order[near + 1]], 0)
+
+
+def _within(codes: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """How many of the next `width` characters at a and b are equal, from the first."""
+    n, out, same = len(codes), np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for k in range(width):
+        ok = same & (np.maximum(a, b) + k < n)
+        ok[ok] = codes[a[ok] + k] == codes[b[ok] + k]
+        same = ok
+        out += same
+    return out
+
+
+def _common(codes: np.ndarray, a: int, b: int) -> int:
+    """The length of the common prefix of two suffixes, in steps that grow."""
+    n, have, step = len(codes), 0, 256
+    while True:
+        size = min(step, n - max(a, b) - have)
+        if size <= 0:
+            return have
+        differ = np.flatnonzero(codes[a + have : a + have + size] != codes[b + have : b + have + size])
+        if len(differ):
+            return have + int(differ[0])
+        have, step = have + size, step * 2
+
+
 def repetition(text: str, min_repeat: int = MIN_REPEAT) -> tuple[int, int, int, int]:
     """(characters, characters covered by repeats, longest repeat, LCP intervals) of a text."""
     codes = _codes(text)
@@ -67,13 +125,14 @@ def repetition(text: str, min_repeat: int = MIN_REPEAT) -> tuple[int, int, int,
     if n <= min_repeat:
         return n, 0, 0, 0
     key, width = _packed(codes)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32 if n < 1 << 31 else np.int64)
     head = np.empty(n, bool)
     head[0] = True
     np.not_equal(key[order[1:]], key[order[:-1]], out=head[1:])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    ranks, depth = [(width, rank)], width
+    tied_first = ~head
+    rank = np.empty(n, order.dtype)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=order.dtype), 0))
+    depth = width
     while True:
         follow = np.empty(n, bool)
         follow[:-1], follow[-1] = head[1:], True
@@ -81,43 +140,20 @@ def repetition(text: str, min_repeat: int = MIN_REPEAT) -> tuple[int, int, int,
         if not len(at):
             break
         tied = order[at]
-        nxt = tied + depth
+        nxt = tied.astype(np.int64) + depth
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        pair = rank[tied] * (n + 1) + second
+        pair = rank[tied].astype(np.int64) * (n + 1) + second
         by = np.argsort(pair, kind="stable")
         order[at] = tied[by]
         pair = pair[by]
-        head = head.copy()
         head[at[1:]] |= pair[1:] != pair[:-1]
         # a tied run's ranks start at its first place
-        first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank = rank.copy()
+        first = np.maximum.accumulate(np.where(head, np.arange(n, dtype=order.dtype), 0))
         rank[order[at]] = first[at]
         depth *= 2
-        ranks.append((depth, rank))
     # only neighbours that share the packed characters can reach min_repeat, unless it is less than those
-    base = ranks[0][1]
-    left, right = order[:-1], order[1:]
-    near = np.flatnonzero((base[left] == base[right]) | (min_repeat < width))
-    i, j = left[near].copy(), right[near].copy()
-    lcp = np.zeros(len(near), np.int64)
-    for d, r in reversed(ranks):
-        ok = (i < n) & (j < n)
-        same = np.zeros(len(i), bool)
-        same[ok] = r[i[ok]] == r[j[ok]]
-        i[same] += d
-        j[same] += d
-        lcp[same] += d
-    for _ in range(width):
-        ok = (i < n) & (j < n)
-        same = np.zeros(len(i), bool)
-        same[ok] = codes[i[ok]] == codes[j[ok]]
-        i[same] += 1
-        j[same] += 1
-        lcp[same] += 1
-        if not same.any():
-            break
-    lcp = np.minimum(lcp, n - np.maximum(left[near], right[near]))
+    near = np.flatnonzero(tied_first[1:] | (min_repeat < width))
+    lcp = _neighbours(codes, key, width, order, near)
     deep = lcp >= min_repeat
     if not deep.any():
         return n, 0, 0, 0

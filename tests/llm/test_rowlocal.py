@@ -76,6 +76,21 @@ def test_suffix_array_by_brute_force():
                 assert quality.repetition(t, m)[:3] == brute_repetition(t, m)
 
 
+def test_long_repetitive_texts():
+    line = "one and the same line, over and over\n"
+    n = 60_000 * len(line)
+    assert quality.repetition(line * 60_000)[:3] == (n, n, n - len(line))
+    rng = random.Random(6)
+    half = "".join(rng.choice("abcdefgh ") for _ in range(150_000))
+    assert quality.repetition(half + "|" + half)[:3] == (300_001, 300_000, 150_000)
+
+
+def test_words_of_a_long_text_are_hashed_in_pieces():
+    text = " ".join(f"w{i % 997}é" for i in range(40_000)) + " " + "q" * 30_000 + "  end"
+    whole, pieces = (next(iter(word_runs(pa.array([text]), size)))[2:] for size in (1 << 30, 1 << 10))
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+
+
 def test_rules(spark):
     rng = random.Random(2)
     clean = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(4000))

@@ -9,18 +9,21 @@ file from the start; with the seek table one record costs one frame.
 Pages are dealt to bundles by a hash of their id, the number of bundles following the bytes
 of the input. A task writes each bundle by itself under a name made of its number, first to a
 name of its own and then by rename, so a repeated or lost task leaves the same one file. The
-index, which maps each record id to bundle, frame and offset within the frame, is what the
-operator returns.
+index, which maps each record id to bundle, frame and offset within the frame, is written beside
+the bundles; the operator writes once, when it is called, and returns the stored index. What
+tasks that were lost left behind is removed then.
 
 Defined results: a null page_id gives no record, since nothing could ask for it; a null html
-is an empty body and a null url an empty target; each of several rows of one page_id has a
-record of its own, told apart by ordinal; other columns are ignored. An empty table gives no
-bundle.
+is an empty body and a null url an empty target; control characters of a url, which would end
+its header, are percent-encoded; each of several rows of one page_id has a record of its own,
+told apart by ordinal; a page longer than a frame is a frame by itself; other columns are
+ignored. An empty table gives no bundle and an empty index.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -31,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import scratch_path
+from citeloom.llm.common import files, scratch_path
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -41,6 +44,14 @@ _DATE = "1970-01-01T00:00:00Z"
 _FIELDS = "page_id long, ordinal int, record_id string, bundle string, frame int, offset int, length int, frame_start long, frame_size int, body_crc long"
 
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]")
+
+
+def header_url(url: str) -> str:
+    """The url with control characters and line breaks percent-encoded, so that it stays one header."""
+    return _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), url)
+
+
 def record_id(page_id: int, ordinal: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{ordinal}')}>"
 
@@ -48,15 +59,15 @@ def record_id(page_id: int, ordinal: int) -> str:
 def record(page_id: int, ordinal: int, url: str, body: bytes) -> bytes:
     head = (
         f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {record_id(page_id, ordinal)}\r\nWARC-Date: {_DATE}\r\n"
-        f"WARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+        f"WARC-Target-URI: {header_url(url)}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     )
-    return head.encode() + body + b"\r\n\r\n"
+    return head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """The headers and the body of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     headers = dict(line.split(": ", 1) for line in lines)
     length = int(headers["Content-Length"])
     if not first.startswith("WARC/") or rest[length:] != b"\r\n\r\n":
@@ -108,9 +119,10 @@ def bundle_pages(
 
     Columns: page_id, ordinal, record_id, bundle (file name), frame, offset and length within the
     decompressed frame, frame_start and frame_size in the file, body_crc (CRC-32 of the body).
-    Reading the result writes the bundles.
+    All is written when this returns; the index is the Parquet table `index` of the folder.
     """
-    folder = path or scratch_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    folder = path or scratch_path(spark, "warc")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), text("url").alias("url"), text("html").alias("html"))
     total = pages.agg(F.sum(F.octet_length("html") + 300)).first()[0] or 0
@@ -175,4 +187,8 @@ def bundle_pages(
     ordinal = F.row_number().over(Window.partitionBy("bundle", "page_id").orderBy("url", "html")) - 1
     dealt = pages.select(bundle.alias("bundle"), "page_id", "url", "html").repartition("bundle")
     dealt = dealt.withColumn("ordinal", ordinal).withColumn("crc", F.crc32(F.encode("html", "utf-8"))).sortWithinPartitions("bundle", "page_id", "ordinal")
-    return dealt.mapInArrow(write, _FIELDS)
+    dealt.mapInArrow(write, _FIELDS).write.mode("overwrite").parquet(f"{folder}/index")
+    store, place = files(spark, f"{folder}/.bundle-*")
+    for left in store.globStatus(place) or ():
+        store.delete(left.getPath(), False)
+    return spark.read.schema(_FIELDS).parquet(f"{folder}/index")

@@ -1,18 +1,20 @@
 """Operator 7: exact token counts without token ids.
 
 A byte-level BPE never merges across pre-tokens, so a document has as many tokens as its
-pre-tokens have pieces. Pieces are counted once per distinct pre-token of the corpus, that
-table is joined to the pre-token frequencies of the documents, and the products are summed.
+pre-tokens have pieces. Pieces are counted once per distinct pre-token of the corpus, joined
+to the pre-token frequencies of the documents, and the products are summed.
 
 A pre-token that is itself an entry of the vocabulary is one piece; that needs no counting
 and no join, so those, which are the hot keys, are summed where they are read. What travels is,
 for each other pre-token of a batch of documents, one row with the list of documents it
-occurs in, as offsets from the batch's first doc_id. Skewed keys are left to AQE, which
-splits them in a sort-merge join.
+occurs in, as offsets from the batch's first doc_id: the corpus is cut into pre-tokens once. These rows
+are shuffled and sorted by pre-token, so that all of one lie together: its pieces are counted at the
+first and joined to the rest as they pass. A pre-token makes one row a batch however often
+it occurs, so no key is hot there.
 
 Defined results: one row for each distinct doc_id; rows that repeat a doc_id, or have none,
-are summed together; a null or empty text has 0 tokens. Other columns are ignored. Whole
-texts are counted, special tokens' strings as ordinary text.
+are summed together; a null or empty text has 0 tokens; an empty table gives no rows. Other columns
+are ignored. Whole texts are counted, special tokens' strings as ordinary text.
 """
 
 from __future__ import annotations
@@ -29,11 +31,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored, text_column, trimmed
+from citeloom.llm.common import text_column, trimmed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BATCH_ROWS = 10_000
 _SPAN = 1 << 31
 
 
@@ -71,24 +72,18 @@ def _spans(ids: np.ndarray) -> Iterator[np.ndarray]:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each doc_id."""
-    # the rows of a batch share the pre-tokens they send on, so larger batches shuffle less
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, find, seen = _whole(vocabulary), regex.compile(pattern).findall, set()
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
-                seen.update(find(t))
-            if len(seen) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen - whole), pa.string())], names=["pretoken"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen - whole), pa.string())], names=["pretoken"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(vocabulary, pattern)
+        """The rows with the pieces of their pre-token; rows come sorted, so each distinct one is counted once."""
+        one, last, pieces = encoding(vocabulary, pattern), None, 0
         for batch in batches:
-            n = [len(one.encode_ordinary(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["pretoken", "n"])
+            n = []
+            for token in batch.column(0).to_pylist():
+                if token != last:
+                    last, pieces = token, 0 if token[:1] == "\0" and token[1:].lstrip("-").isdigit() else len(one.encode_ordinary(token))
+                n.append(pieces)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int32())], names=[*batch.schema.names[1:], "n"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (pretoken, base, offsets), a document as often as it has the pre-token; and for each document, under a name that spreads them, what it has of whole entries and of pre-tokens."""
@@ -135,11 +130,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
         arrays = [pa.array(tokens, pa.string()), pa.array([base] * n, pa.int64()), *both, fill(single), fill(every)]
         return pa.RecordBatch.from_arrays(arrays, names=["pretoken", "base", "near", "far", "single", "every"])
 
-    pieces = stored(text.mapInArrow(trimmed(distinct), "pretoken string").distinct().mapInArrow(trimmed(count), "pretoken string, n int"), "pieces")
     rows = text.mapInArrow(trimmed(frequencies), "pretoken string, base long, near array<short>, far array<int>, single long, every long")
-    joined = rows.join(pieces, "pretoken", "left")
-    each = joined.select("base", F.explode(F.coalesce(F.col("near").cast("array<int>"), "far")).alias("o"), "n", "single", "every")
+    met = rows.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(trimmed(count), "base long, near array<short>, far array<int>, single long, every long, n int")
+    each = met.select("base", F.explode(F.coalesce(F.col("near").cast("array<int>"), "far")).alias("o"), "n", "single", "every")
     doc = (F.col("base") + F.col("o")).alias("doc_id")
-    return each.groupBy(doc).agg(
-        F.sum("every").alias("n_pretokens"), (F.coalesce(F.sum("n"), F.lit(0)) + F.sum("single")).alias("n_tokens")
-    )
+    return each.groupBy(doc).agg(F.sum("every").alias("n_pretokens"), (F.sum("n") + F.sum("single")).alias("n_tokens"))

@@ -1,16 +1,61 @@
-"""Connected components of pairs, by alternating large-star and small-star.
+"""Connected components of pairs: forests of the parts, then one task or alternating stars.
 
-Each round is one aggregation by node and is written to shared storage, so the lineage stays
-short and a lost executor costs at most one round. Stars of dense groups settle in two or
-three rounds.
+Each partition first reduces its edges to a forest, which connects the same nodes with fewer edges
+than it has nodes, however dense the pairs are. Where all forests together are small, by count, one
+task finishes. Else large-star and small-star alternate; each round is one aggregation by node and
+is written to shared storage, so the lineage stays short and a lost executor costs at most one round.
+Both ways give each node its component's least node.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import stored
+from citeloom.llm.common import forget, stored
+
+#: Edges that one task takes: 64 MB.
+ONE_TASK = 4_000_000
+_CHUNK = 1_000_000
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the least of its component, and that one."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        low = np.minimum(ra, rb)[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    us, vs, held, kept = [], [], 0, 0
+    for batch in batches:
+        us.append(batch.column(0).to_numpy())
+        vs.append(batch.column(1).to_numpy())
+        held += batch.num_rows
+        if held > _CHUNK + 2 * kept:
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held, kept = [u], [v], len(u), len(u)
+    if held:
+        u, v = _forest(np.concatenate(us), np.concatenate(vs))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,12 +78,16 @@ def connected_components(pairs: DataFrame) -> DataFrame:
 
     Null ends and loops are left out; repeated and reversed pairs don't matter.
     """
-    a, b = pairs.columns[:2]
-    edges = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("p"), F.col(b).isNotNull().alias("q"))
-    edges = stored(edges.where("p and q and u > v").select("u", "v").distinct(), "edges")
+    a, b = (F.col(c).cast("long") for c in pairs.columns[:2])
+    edges = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("whole")).where("whole and u > v")
+    edges = stored(edges.select("u", "v").mapInArrow(_contract, "u long, v long"), "forests")
+    if edges.count() <= ONE_TASK:
+        edges = stored(edges.repartition(1).mapInArrow(_contract, "u long, v long"), "stars")
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
     before = None
     while True:
-        edges = stored(_star(_star(edges, True), False), "stars")
+        last, edges = edges, stored(_star(_star(edges, True), False), "stars")
+        forget(last)
         # a round that changes nothing leaves the same edges: compare an order-free digest
         digest = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(digest) == before:

@@ -11,12 +11,15 @@ many n-grams of a document occur elsewhere at all, later the overlaps of pairs.
    only can be in no overlap and stop here; they still count in the sizes.
 2. The segments return to their documents. Since overlap >= t * size is needed, a document with
    fewer n-grams that occur elsewhere has no partner and stops here: most do.
-3. Documents of one and the same set are one for the join; each is paired with the first of them.
+3. Documents of one and the same set are one for the join, and are expanded again at its end.
 4. Prefix filter, rarest n-gram first: a pair must share one of each side's first
    size - ceil(t * size) + 1. N-grams that are in one document only come first in that order.
-   Pairs also need sizes within t of each other.
-5. Candidate pairs and segments meet by (component of the candidate graph, fragment), so every
-   segment travels once; partial overlaps are counted there and summed per pair.
+   Pairs also need sizes within t of each other. Documents with an n-gram of many are dealt to
+   blocks, and each two blocks meet by themselves, so no n-gram is one task's.
+5. Candidate pairs and segments meet by cell and range of fragments, so that a segment travels
+   once to each cell; partial overlaps are counted there and summed per pair. A component of the
+   candidate graph is one cell, or, if it has many pairs, one for each two blocks of its
+   documents: the pairs of a cell stay about CELL_PAIRS, also where most documents are one group.
 
 No step is approximate but for the hashes: an n-gram is known by its fragment and 32 bits in
 it while a fragment has about FRAGMENT_GRAMS, so that a pair's count is off with a probability
@@ -35,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import fresh, small, stored, text_column, trimmed, trimmed_group
+from citeloom.llm.common import TEXT_ROWS, fresh, small, stored, text_column, trimmed, trimmed_group
 from citeloom.llm.components import connected_components
 from citeloom.llm.words import distinct_grams, gram_hashes, mix, word_runs
 
@@ -46,7 +49,11 @@ N = 3
 THRESHOLD = 0.5
 FRAGMENT_GRAMS = 2_000_000
 SLICE_RUNS = 8
-PARTS = 2
+#: Ranges of fragments whose overlaps are counted apart.
+PARTS = 4
+#: Documents that one n-gram brings together in one place, and pairs counted in one cell, about.
+HOT = 4096
+CELL_PAIRS = 100_000
 
 
 def _pack(a: np.ndarray, dtype) -> bytes:
@@ -154,42 +161,57 @@ def _survivors(threshold: float):
         on = alive[doc]
         doc, grams, df = doc[on], grams[on], df[on]
         order = np.lexsort((grams, df, doc))
-        grams = grams[order]
+        grams, df = grams[order], df[order]
         at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(ids)))]).astype(np.int64)
         mixed = mix(grams)
         out = []
         for k in np.flatnonzero(alive).tolist():
             g, m = grams[at[k] : at[k + 1]], mixed[at[k] : at[k + 1]]
             same = (int(m.sum(dtype=np.uint64)) - (1 << 63), int(np.bitwise_xor.reduce(m)) - (1 << 63)) if have[k] == size[k] else (None, None)
-            out.append((int(ids[k]), int(size[k]), *same, int(have[k] - least[k] + 1), g.tobytes()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.Table.from_batches([_arrays(out, types, "doc_id size h1 h2 prefix grams")])
+            prefix = int(have[k] - least[k] + 1)
+            out.append((int(ids[k]), int(size[k]), *same, df[at[k] : at[k + 1]][:prefix].tobytes(), g.tobytes()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.Table.from_batches([_arrays(out, types, "doc_id size h1 h2 ranks grams")])
 
     return assemble
 
 
-def _prefixes(buckets: int):
+def _prefixes(buckets: int, hot: int):
+    """The n-grams of documents' prefixes; those of many documents once for each two blocks of these.
+
+    side is 0 where all documents of a bucket meet, else 1 or 2, which only meet each other.
+    """
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, size, prefix = (batch.column(k).to_numpy() for k in range(3))
-            grams = [np.frombuffer(g, np.uint64)[:p] for g, p in zip(batch.column(3).to_pylist(), prefix.tolist(), strict=True)]
+            ids, size = (batch.column(k).to_numpy() for k in range(2))
+            ranks = [np.frombuffer(r, np.uint8) for r in batch.column(2).to_pylist()]
+            grams = [np.frombuffer(g, np.uint64)[: len(r)] for g, r in zip(batch.column(3).to_pylist(), ranks, strict=True)]
             n = np.array([len(g) for g in grams], np.int64)
-            g = np.concatenate([np.zeros(0, np.uint64), *grams])
+            g, rank = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros(0, np.uint8), *ranks])
+            doc = np.repeat(np.arange(len(ids)), n)
+            blocks = np.maximum(1, np.ceil(2.0 ** ((rank + 1.0) / 8) / hot)).astype(np.int64)
+            own = (mix(ids.astype(np.uint64))[doc] % blocks.astype(np.uint64)).astype(np.int64)
+            row, other = np.repeat(np.arange(len(g)), blocks), _runs(blocks)
+            low, high = np.minimum(own[row], other), np.maximum(own[row], other)
+            side = np.where(low == high, 0, np.where(own[row] == low, 1, 2)).astype(np.int8)
+            cell = (low * blocks[row] + high).astype(np.uint64)
+            g = np.where(blocks[row] > 1, mix(g[row] + mix(cell + np.uint64(1))), g[row])
             bucket = (mix(g) % np.uint64(buckets)).astype(np.int32)
-            columns = [bucket, g.view(np.int64), np.repeat(ids, n), np.repeat(size, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size"])
+            columns = [bucket, g.view(np.int64), ids[doc[row]], size[doc[row]], side]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size", "side"])
 
     return emit
 
 
 def _candidates(threshold: float):
     def pair(key: tuple, table: pa.Table) -> pa.Table:
-        gram, doc, size = (table[c].to_numpy() for c in ("gram", "doc_id", "size"))
+        gram, doc, size, side = (table[c].to_numpy() for c in ("gram", "doc_id", "size", "side"))
         ids, doc = np.unique(doc, return_inverse=True)
         sizes = np.zeros(len(ids), np.int64)
         sizes[doc] = size
         order = np.lexsort((doc, gram))
-        gram, doc = gram[order], doc[order]
+        gram, doc, side = gram[order], doc[order], side[order]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate([start, [len(gram)]]))
         found, held = [], 0
@@ -197,9 +219,10 @@ def _candidates(threshold: float):
             at = start[length == n]
             # lists of one length go together, and a row of the triangle at a time, so that memory stays bounded
             for i in range(n - 1):
-                a = np.repeat(doc[at + i], n - 1 - i)
-                b = doc[(at[:, None] + np.arange(i + 1, n)).reshape(-1)]
-                ok = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+                others = (at[:, None] + np.arange(i + 1, n)).reshape(-1)
+                a, b = np.repeat(doc[at + i], n - 1 - i), doc[others]
+                meet = np.repeat(side[at + i], n - 1 - i)
+                ok = (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9) & ((meet == 0) | (meet != side[others]))
                 found.append((a * len(ids) + b)[ok])
                 held += len(found[-1])
                 if held > 4_000_000 + 2 * len(found[0]):
@@ -212,18 +235,34 @@ def _candidates(threshold: float):
     return pair
 
 
+def _cells(candidates: DataFrame, fragments: int, cell_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cells) of every document of a pair, and (cell, a, b) of every pair; both ends of a pair are in its cell."""
+    nodes = stored(connected_components(candidates), "components")
+    sizes = candidates.join(small(nodes), F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    sizes = stored(sizes.select("component", F.ceil(F.sqrt(F.col("pairs") / cell_pairs)).cast("int").alias("blocks"), "pairs"), "component-sizes")
+    total = sizes.agg(F.sum("pairs")).first()[0] or 0
+    cells = max(fragments, 2 * -(-total // cell_pairs))
+    block = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.col("blocks")).cast("int")
+    cell = lambda x, y: F.pmod(F.xxhash64("component", F.least(x, y), F.greatest(x, y)), F.lit(cells)).cast("int")
+    nodes = stored(nodes.join(small(sizes.select("component", "blocks")), "component").withColumn("block", block(F.col("node"))), "blocks")
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: cell(F.col("block"), j))
+    placed = nodes.select(F.col("node").alias("doc_id"), F.array_distinct(every).alias("cells"))
+    wanted = candidates.join(small(nodes), F.col("a") == F.col("node")).select(cell(F.col("block"), block(F.col("b"))).alias("cell"), "a", "b")
+    return placed, wanted
+
+
 def _split(fragments: int, parts: int):
     """Each document's n-grams by part: a range of fragments."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for cell, doc, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cells, doc, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 g = np.sort(np.frombuffer(raw, np.uint64))
                 ends = np.searchsorted(g >> np.uint64(32), [-(-fragments * (k + 1) // parts) for k in range(parts)])
                 for k, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
                     if y > x or k == 0:  # the first part tells the size in any case
-                        rows.append((cell, k, doc, size, g[x:y].tobytes()))
+                        rows += [(cell, k, doc, size, g[x:y].tobytes()) for cell in cells]
             yield _arrays(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), "cell part doc_id size grams")
 
     return split
@@ -257,29 +296,29 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
-    """(doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b, of all pairs of distinct n-gram sets at or above
-    the threshold, each set stood for by its least doc_id, and of that doc_id with the others of its set."""
-    near, same = _near_and_same(docs, n, threshold, fragment_grams)
-    return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
-
-
-def all_near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
     """(doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b, of all pairs of documents at or above the threshold.
 
-    What near_pairs gives in compressed form, each set expanded to its documents; the rows grow as the square of the copies.
+    The rows grow as the square of the copies; near_sets has them in compressed form.
     """
     near, same = _near_and_same(docs, n, threshold, fragment_grams)
     near = stored(near, "near-sets")
-    sets = same.select("first", "doc_id").union(same.select("first", F.col("first").alias("doc_id")).distinct())
+    first = same.select("first").distinct()
+    sets = stored(same.select("first", "doc_id").union(first.select("first", F.col("first").alias("doc_id"))), "sets")
     for side in ("doc_id_a", "doc_id_b"):
-        members = sets.select(F.col("first").alias(side), F.col("doc_id").alias("member"))
+        members = small(sets).select(F.col("first").alias(side), F.col("doc_id").alias("member"))
         near = near.join(members, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
     a, b = F.col("doc_id_a"), F.col("doc_id_b")
     near = near.select(F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "overlap", "jaccard")
-    inner = same.select("first", F.col("doc_id").alias("doc_id_b"), "size").join(sets.select("first", F.col("doc_id").alias("doc_id_a")), "first").where("doc_id_a < doc_id_b")
+    inner = same.select("first", F.col("doc_id").alias("doc_id_b"), "size").join(small(sets).select("first", F.col("doc_id").alias("doc_id_a")), "first").where("doc_id_a < doc_id_b")
     return near.union(inner.select("doc_id_a", "doc_id_b", "size", F.lit(1.0)))
 
 
+def near_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
+    """As near_pairs, but documents of one set are stood for by the least doc_id, which is paired with each of the others."""
+    near, same = _near_and_same(docs, n, threshold, fragment_grams)
+    return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
+
+
 def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of distinct sets, each stood for by its least doc_id, and (doc_id, size, first) of the other documents of a set."""
     if not 0 < threshold <= 1:
@@ -289,20 +328,22 @@ def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: in
     fragments = max(1, math.ceil(chars / 6 / fragment_grams))
     segments = text.mapInArrow(trimmed(_segments(fragments, n)), "fragment int, slice long, form int, docs binary, grams binary")
     returned = segments.groupBy("fragment").applyInArrow(trimmed_group(_frequent), "slice long, fragment int, form int, docs binary, grams binary, df binary")
-    alive = returned.groupBy("slice").applyInArrow(trimmed_group(_survivors(threshold)), "doc_id long, size long, h1 long, h2 long, prefix int, grams binary")
-    alive = stored(alive, "survivors")
+    alive = returned.groupBy("slice").applyInArrow(trimmed_group(_survivors(threshold)), "doc_id long, size long, h1 long, h2 long, ranks binary, grams binary")
+    alive = stored(alive, "survivors", TEXT_ROWS)
 
-    w = Window.partitionBy("size", "h1", "h2")
-    same = stored(alive.where("h1 is not null").select("doc_id", "size", F.min("doc_id").over(w).alias("first")).where("first < doc_id"), "same-sets")
+    sets = alive.where("h1 is not null").groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = alive.where("h1 is not null").select("doc_id", "size", "h1", "h2").join(small(stored(sets, "sets")), ["size", "h1", "h2"]).where("first < doc_id")
+    same = stored(same.select("doc_id", "size", "first"), "same-sets")
     sole = alive.join(small(same.select("doc_id")), "doc_id", "left_anti")
-    buckets = max(1, math.ceil(chars / 6 / fragment_grams / 8))
-    postings = sole.select("doc_id", "size", "prefix", "grams").mapInArrow(trimmed(_prefixes(buckets)), "bucket int, gram long, doc_id long, size long")
-    candidates = stored(postings.groupBy("bucket").applyInArrow(trimmed_group(_candidates(threshold)), "a long, b long").distinct(), "candidates")
+    buckets = max(1, math.ceil(chars / 6 / fragment_grams / 2))
+    postings = sole.select("doc_id", "size", "ranks", "grams").mapInArrow(trimmed(_prefixes(buckets, HOT)), "bucket int, gram long, doc_id long, size long, side byte")
+    candidates = postings.groupBy("bucket").applyInArrow(trimmed_group(_candidates(threshold)), "a long, b long").distinct()
+    candidates = stored(candidates, "candidates", TEXT_ROWS)
 
-    cells = stored(connected_components(candidates).select("node", F.pmod(F.xxhash64("component"), F.lit(fragments)).cast("int").alias("cell")), "cells")
-    placed = sole.join(small(cells), F.col("doc_id") == F.col("node")).select("cell", "doc_id", "size", "grams")
+    cells, wanted = _cells(candidates, fragments, CELL_PAIRS)
+    placed = sole.join(small(cells), "doc_id").select("cells", "doc_id", "size", "grams")
     placed = placed.mapInArrow(trimmed(_split(fragments, PARTS)), "cell int, part int, doc_id long, size long, grams binary")
-    wanted = candidates.join(small(cells), F.col("a") == F.col("node")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
+    wanted = wanted.select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
     partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(trimmed_group(_overlaps), "a long, b long, sizes long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
     union = F.col("sizes") - F.col("overlap")
@@ -321,7 +362,7 @@ def _one_row_each(text: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with only the least doc_id of each group that near pairs connect. Rows of null doc_id stay."""
-    groups = connected_components(near_pairs(docs, n, threshold))
+    groups = connected_components(near_sets(docs, n, threshold))
     node = fresh(docs, "__node")
     gone = stored(groups.where("node > component").select(F.col("node").alias(node)), "near-duplicates")
     return docs.join(small(gone), F.col("doc_id") == F.col(node), "left_anti")
@@ -335,5 +376,5 @@ g AS (SELECT doc_id, CASE WHEN len(w) >= {n} THEN list_sort(list_distinct(list_t
 r AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS f FROM g),
 x AS (SELECT doc_id, n, unnest(s) AS k FROM r WHERE f = doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS m, count(*) AS o FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a AS doc_id_a, b AS doc_id_b, o AS overlap, round(o / (m - o), 6) AS jaccard FROM p WHERE o >= {threshold} * (m - o)
-UNION ALL SELECT f, doc_id, n, 1.0 FROM r WHERE f < doc_id"""
+SELECT least(u.doc_id, v.doc_id) AS doc_id_a, greatest(u.doc_id, v.doc_id) AS doc_id_b, o AS overlap, round(o / (m - o), 6) AS jaccard FROM p JOIN r u ON u.f = a JOIN r v ON v.f = b WHERE o >= {threshold} * (m - o)
+UNION ALL SELECT u.doc_id, v.doc_id, u.n, 1.0 FROM r u JOIN r v ON u.f = v.f AND u.doc_id < v.doc_id"""

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from citeloom.llm import ngramjoin
+from citeloom.llm import components, ngramjoin
 from citeloom.llm.components import connected_components
 
 
@@ -21,24 +21,23 @@ def brute(rows, n, t):
     for d, text in rows:
         if d is not None:
             texts.setdefault(d, set()).add((text or "").lower())
-    sets = {d: grams("\n".join(sorted(t)), n) for d, t in texts.items()}
-    first: dict[frozenset, int] = {}
+    sets = sorted((d, grams("\n".join(sorted(t)), n)) for d, t in texts.items())
     out = {}
-    for d in sorted(sets):
-        if sets[d]:
-            f = first.setdefault(frozenset(sets[d]), d)
-            if f != d:
-                out[f, d] = (len(sets[d]), 1.0)
-    reps = sorted(first.values())
-    for k, a in enumerate(reps):
-        for b in reps[k + 1 :]:
-            o = len(sets[a] & sets[b])
-            j = o / len(sets[a] | sets[b])
-            if j >= t - 1e-12:
-                out[a, b] = (o, round(j, 6))
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
+            o = len(x & y)
+            if o and o / len(x | y) >= t - 1e-12:
+                out[a, b] = (o, round(o / len(x | y), 6))
     return out
 
 
+def found(rows):
+    rows = [tuple(r) for r in rows]
+    pairs = {(a, b): (o, j) for a, b, o, j in rows}
+    assert len(pairs) == len(rows)
+    return pairs
+
+
 def test_against_brute_force(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(60)]
@@ -54,11 +53,43 @@ def test_against_brute_force(spark):
     rows += [(9, ""), (10, None), (11, "One two"), (12, "one  TWO!"), (13, "solo"), (None, rows[3][1]), rows[3], rows[4], (rows[5][0], rows[6][1])]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, size int, grams int")
     for t, per in ((0.5, 4_000_000), (0.8, 60), (1.0, 300)):
-        got = {(r.doc_id_a, r.doc_id_b): (r.overlap, r.jaccard) for r in ngramjoin.near_pairs(docs, 2, t, per).collect()}
+        got = found(ngramjoin.near_pairs(docs, 2, t, per).collect())
         want = brute(rows, 2, t)
         assert got == want and len(want) > 10
 
 
+def test_one_group_of_most_documents(spark, monkeypatch):
+    """Near copies of one text, and copies of those: they meet in blocks of bounded size, with the same pairs."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(160):
+        w = list(base)
+        w[rng.randrange(20)] = f"u{d % 120}"
+        rows.append((d, " ".join(w)))
+    rows += [(d, " ".join(rng.choices([f"z{i}" for i in range(400)], k=40))) for d in range(200, 240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 0.6)
+    assert found(ngramjoin.near_pairs(docs, 3, 0.6).collect()) == want and len(want) > 10_000
+    monkeypatch.setattr(ngramjoin, "HOT", 9)
+    monkeypatch.setattr(ngramjoin, "CELL_PAIRS", 500)
+    assert found(ngramjoin.near_pairs(docs, 3, 0.6, 1000).collect()) == want
+    pairs = spark.createDataFrame([(a, b) for a in range(200) for b in range(a + 1, 200)], "a long, b long")
+    placed, wanted = ngramjoin._cells(pairs, 1, 500)
+    cells = {r.doc_id: set(r.cells) for r in placed.collect()}
+    sizes: dict = {}
+    for r in wanted.collect():
+        assert r.cell in cells[r.a] & cells[r.b]
+        sizes[r.cell] = sizes.get(r.cell, 0) + 1
+    assert sum(sizes.values()) == 19900 and max(sizes.values()) < 6 * 500
+
+
+def test_compressed_form_stands_for_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole, sets = found(ngramjoin.near_pairs(docs).collect()), found(ngramjoin.near_sets(docs).collect())
+    assert sets.items() <= whole.items()
+
+
 def test_one_of_each_group(spark):
     a = " ".join(f"x{i}" for i in range(60))
     rows = [(5, a, "en"), (2, a + " more", "en"), (7, a.upper(), "de"), (9, "quite another text", "en"), (None, a, "en"), (11, None, "en"), (12, "", "en")]
@@ -72,7 +103,7 @@ def test_no_pairs(spark, rows):
     assert ngramjoin.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(None, 1), (2, None)]
     label = {}
@@ -87,5 +118,7 @@ def test_components(spark):
         x, y = find(a), find(b)
         label[max(x, y)] = min(x, y)
     want = {x: find(x) for p in real for x in p}
-    got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
-    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    for limit in (components.ONE_TASK, 0):
+        monkeypatch.setattr(components, "ONE_TASK", limit)
+        got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)

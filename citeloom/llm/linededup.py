@@ -12,15 +12,18 @@ the characters of that block, then emit the deletions of single characters. No p
 
 Lines are first reduced to distinct ones, each at its earliest place, so copies cost nothing
 more, and within a key only the earliest line is of interest, so each key is one minimum rather
-than all pairs of its lines: the join is linear however many lines share a key.
+than all pairs of its lines. Minima and counts combine map-side and keys of one line go at once;
+the others are joined back to their lines, which a broadcast or AQE's splitting of skewed
+partitions spreads, so a key that most lines share is no task's alone.
 
 Candidate pairs are verified by edit distance on their texts. 128 bits of hash tell lines apart.
 
-Defined results: lines are compared without blanks at their ends; those of fewer than min_chars
-characters are never compared nor dropped; a null text has no lines; rows of null doc_id are
-not compared; a line goes if any earlier line, by (doc_id, line_no), is within the bound, whether
-or not that one goes too; rows that repeat a doc_id share their places, and a line is never
-earlier than its own place. Other columns are ignored.
+Defined results: lines are compared without blanks at their ends. One edit is too loose a bound for
+lines of fewer than min_chars characters: those are dropped only where an earlier line is equal,
+and lines of white space only stay. A null text has no lines; rows of null doc_id are not compared; a
+line goes if any earlier line, by (doc_id, line_no), is within the bound, whether or not that one
+goes too; rows that repeat a doc_id share their places, and a line is never earlier than its own
+place. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,20 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import fresh, small, stored, text_column, trimmed
+from citeloom.llm.common import TEXT_ROWS, forget, fresh, small, stored, text_column, trimmed
 from citeloom.llm.words import BASE, INVERSE, _power, mix
 
 MIN_CHARS = 20
 BLOCKS = 3
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     text = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_column(docs).alias("t"))
     lines = text.select("doc_id", F.posexplode(F.transform(F.split("t", "\n"), lambda x: F.trim(x))).alias("line_no", "line"))
-    lines = lines.where(F.length("line") >= min_chars)
+    lines = lines.where(F.col("line").rlike(r"[^\s\x0B]"))
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -112,28 +115,30 @@ def _by_document(places: DataFrame, docs: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, earlier_doc_id, earlier_line_no) of each line to drop.
 
-    The earlier place is that of the earliest line within one edit.
+    The earlier place is that of the earliest line within one edit, or, for lines of fewer than min_chars characters, equal to it.
     """
     if min_chars < 2 * BLOCKS:
         raise ValueError(f"min_chars must be {2 * BLOCKS} at least, so that no block is empty")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    lines = _lines(docs, min_chars)
-    firsts = lines.select("h1", "h2", "doc_id", "line_no", _block_keys().alias("keys")).groupBy("h1", "h2")
+    lines = _lines(docs)
+    keys = F.when(F.length("line") >= min_chars, _block_keys())
+    firsts = lines.select("h1", "h2", "doc_id", "line_no", keys.alias("keys")).groupBy("h1", "h2")
     firsts = firsts.agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("f"), F.count(F.lit(1)).alias("n")).select("h1", "h2", "n", "f.*")
     firsts = stored(firsts, "lines")
 
     # block deletions: lines that share a key, and for which blocks
-    keyed = firsts.select("doc_id", "line_no", F.posexplode("keys").alias("block", "key"))
-    shared = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
-    wanted = shared.groupBy("doc_id", "line_no").agg(F.collect_set("block").alias("blocks"))
+    keyed = firsts.where("keys is not null").select("doc_id", "line_no", F.posexplode("keys").alias("block", "key"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared-keys")
+    wanted = keyed.join(small(shared), "key").groupBy("doc_id", "line_no").agg(F.collect_set("block").alias("blocks"))
     wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "blocks")).alias("candidates")), "candidates")
 
     # character deletions within those blocks, joined on equal keys
-    variants = _by_document(wanted, docs).mapInArrow(trimmed(_emit), "key long, role byte, doc_id long, line_no int")
+    variants = stored(_by_document(wanted, docs).mapInArrow(trimmed(_emit), "key long, role byte, doc_id long, line_no int"), "variants", TEXT_ROWS)
     place = F.struct("doc_id", "line_no")
-    w = Window.partitionBy("key")
-    of = lambda role: F.min(F.when(F.col("role") == role, place)).over(w)
-    met = variants.withColumns({"same": of(0), "whole": of(1), "cut": of(2)})
+    least = lambda role: F.min(F.when(F.col("role") == role, place))
+    met = variants.groupBy("key").agg(least(0).alias("same"), least(1).alias("whole"), least(2).alias("cut"), F.min(place).alias("low"), F.max(place).alias("high"))
+    met = stored(met.where("low < high").select("key", "same", "whole", "cut"), "shared-variants")
+    met = variants.join(small(met), "key")
     met = met.withColumn("e", F.when(F.col("role") == 0, F.col("same")).when(F.col("role") == 1, F.col("cut")).otherwise(F.col("whole")))
     pairs = met.where(F.col("e") < place).select("doc_id", "line_no", F.col("e.doc_id").alias("e_doc"), F.col("e.line_no").alias("e_line")).distinct()
     pairs = stored(pairs, "line-pairs")
@@ -154,21 +159,11 @@ def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # what each distinct line that repeats another, or is repeated, goes back to
     firsts = firsts.select("h1", "h2", "n", "doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
     back = stored(firsts.where("n > 1 or near is not null").select("h1", "h2", F.coalesce("near", place).alias("e")), "lines-back")
+    forget(variants, wanted, shared)
     gone = lines.select("h1", "h2", "doc_id", "line_no").join(small(back), ["h1", "h2"]).where(F.col("e") < place)
     return gone.select("doc_id", "line_no", F.col("e.doc_id").alias("earlier_doc_id"), F.col("e.line_no").alias("earlier_line_no"))
 
 
-def duplicate_lines_of_any_length(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """As duplicate_lines, and the exact copies among lines of fewer than min_chars characters, for which one edit
-    would be too loose a bound. Lines of white space only stay."""
-    near = duplicate_lines(docs, min_chars)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    lines, place = _lines(docs, 1).where((F.length("line") < min_chars) & F.col("line").rlike(r"[^\s\x0B]")), F.struct("doc_id", "line_no")
-    back = lines.groupBy("h1", "h2").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = lines.join(small(stored(back, "short-lines")), ["h1", "h2"]).where(F.col("e") < place)
-    return near.unionByName(gone.select("doc_id", "line_no", F.col("e.doc_id").alias("earlier_doc_id"), F.col("e.line_no").alias("earlier_line_no")))
-
-
 def without_duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` without the duplicate lines; documents of which nothing but blanks is left go.
 
@@ -191,13 +186,13 @@ def oracle(min_chars: int = MIN_CHARS) -> str:
     return f"""
 WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, trim(unnest(ls), ' ') AS line
            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-k AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, line, length(line) AS n FROM l WHERE length(line) >= {min_chars}),
+k AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, line, length(line) AS n FROM l WHERE regexp_matches(line, '[^\\s\\x0B]')),
 f AS (SELECT line, n, min({{'d': doc_id, 'l': line_no}}) AS p FROM k GROUP BY line, n),
 e AS (SELECT a.line, min(b.p) AS q FROM f a JOIN f b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.p <= a.p
-      WHERE a.line = b.line OR (levenshtein(a.line, b.line) <= 4 AND list_min([
+      WHERE a.line = b.line OR (a.n >= {min_chars} AND b.n >= {min_chars} AND levenshtein(a.line, b.line) <= 4 AND list_min([
         CASE WHEN left(a.line, i) = left(b.line, i) AND right(a.line, greatest(a.n, b.n) - i - 1 - (greatest(a.n, b.n) - a.n)) = right(b.line, greatest(a.n, b.n) - i - 1 - (greatest(a.n, b.n) - b.n)) THEN 0 ELSE 1 END
         FOR i IN range(greatest(a.n, b.n))]) = 0 AND a.n = b.n)
-         OR (a.n <> b.n AND levenshtein(a.line, b.line) <= 4 AND list_contains([
+         OR (a.n <> b.n AND a.n >= {min_chars} AND b.n >= {min_chars} AND levenshtein(a.line, b.line) <= 4 AND list_contains([
             left(CASE WHEN a.n > b.n THEN a.line ELSE b.line END, i) || substr(CASE WHEN a.n > b.n THEN a.line ELSE b.line END, i + 2)
             FOR i IN range(greatest(a.n, b.n))], CASE WHEN a.n > b.n THEN b.line ELSE a.line END))
       GROUP BY a.line)

@@ -18,10 +18,13 @@ def near(a, b):
 
 
 def brute(rows, least):
-    """{(doc_id, line_no): earliest place within one edit} of the lines that have an earlier one."""
+    """{(doc_id, line_no): earliest place within one edit, or equal if the line is short} of the lines that have an earlier one."""
     lines = [((d, k), line.strip(" ")) for d, t in rows if d is not None and t is not None for k, line in enumerate(t.split("\n"))]
-    lines = sorted((p, x) for p, x in lines if len(x) >= least)
-    out = {}
+    lines, out, first = sorted(lines), {}, {}
+    for p, x in lines:
+        if x.strip() and len(x) < least and first.setdefault(x, p) != p:
+            out[p] = first[x]
+    lines = [(p, x) for p, x in lines if len(x) >= least]
     seen: list[tuple[str, tuple]] = []
     exact: dict[str, tuple] = {}
     for p, x in lines:
@@ -56,6 +59,28 @@ def test_against_brute_force(spark):
     assert sum(1 for p, q in want.items() if q != p) > 50
 
 
+def test_exact_copies_of_short_lines_go(spark):
+    rng = random.Random(4)
+    pool = ["Les.", "Les", "}", "é日", "Share this", " Les. ", "", "  ", "\t", "a line that is long enough to be compared", "a line that is long enough to be compared!"]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 6)))) for d in range(60)] + [(None, "Les."), (99, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, e int")
+    got = {(r.doc_id, r.line_no): (r.earlier_doc_id, r.earlier_line_no) for r in linededup.duplicate_lines(docs).collect()}
+    want = brute(rows, 20)
+    assert got == want and len(want) > 60
+
+
+def test_a_key_that_all_lines_share(spark):
+    """Templated lines, all within one edit of another and sharing a block: no window holds them."""
+    line = "a template of some length that all of these lines share, number "
+    rows = [(d, f"{line}{d:06d}\nown text of document {d * 7919:09d} and no other") for d in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = linededup.duplicate_lines(docs)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    got = {r.doc_id for r in found.where("line_no = 0").collect()}
+    one = lambda a, b: sum(x != y for x, y in zip(f"{a:06d}", f"{b:06d}")) == 1
+    assert got == {d for d in range(3000) if any(one(d, d - s * p) for p in (1, 10, 100, 1000) for s in range(1, 10) if d - s * p >= 0)}
+
+
 def test_without_broadcasts(spark, monkeypatch):
     """Tables too large to broadcast are joined by shuffle, with the same result."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -69,7 +94,7 @@ def test_texts_are_rebuilt(spark):
     rows = [(1, f"{a}\nx\n{b}", 99), (2, f"{b}\nkept\n\n{a}!", 99), (3, f"{a}\n  ", 99), (4, "short\nshort", 99), (5, None, None)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in linededup.without_duplicate_lines(docs).collect()}
-    assert got == {1: (f"{a}\nx\n{b}", 99), 2: ("kept\n", 5), 4: ("short\nshort", 99), 5: (None, None)}
+    assert got == {1: (f"{a}\nx\n{b}", 99), 2: ("kept\n", 5), 4: ("short", 5), 5: (None, None)}
 
 
 def test_bounds(spark):

@@ -69,5 +69,46 @@ def test_classes_by_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, exact.values()))
 
 
+def test_layouts_of_one_host(spark):
+    """Four layouts of a quarter of the pages each, and one of a twentieth: each has its labels taken out."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(100):
+        kind = 4 if k >= 94 else k % 4
+        a, b = text(6), text(6)
+        t = f"h{kind + 1}"
+        rows.append((k, "http://many.example/", f"<html><body><div><{t}>Label{kind} of this</{t}> {a} <{t}>Other{kind} label</{t}> {b} <{t}>Foot{kind}</{t}></div></body></html>"))
+        want[k] = sorted([a, b])
+    got: dict[int, list[str]] = {}
+    for r in h.extract_slots(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def old_pieces(page):
+    import re
+
+    form = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[A-Za-z/!?][^>]*>", re.S | re.I)
+    return [(m.start(), m.end(), (m.group(1) or "").lower()) for m in form.finditer(page)]
+
+
+def test_markup_is_cut_as_by_the_plain_pattern():
+    rng = random.Random(4)
+    parts = ["<b>", "</b>", "<!--", "-->", "<script>", "<SCRIPT x='>'>", "</script >", "</script x>", "<style>", "</style>", "<", ">", "a", " ", "<!doctype html>", "<br/>", "<p class=x", "--", "<scripty>"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert list(h.pieces(page)) == old_pieces(page), page
+
+
+def test_long_deep_and_broken_pages(spark):
+    """What nothing closes takes one pass: 200,000 open tags, comments, scripts and angles, and a text of 20 MB."""
+    broken = ["<b>" * 200_000 + "x", "<b>" * 100_000 + "</i>" * 100_000, "<!--" * 200_000, "<script>" * 200_000, "<a" * 200_000, "<script></script x>" * 50_000, "<p>" * 100_000 + "<div>" * 100_000, "</p>" * 200_000]
+    rows = [(k, "http://broken.example", page) for k, page in enumerate(broken)] + [(99, "http://long.example", "<p>" + "some text " * 2_100_000)]
+    got = h.extract_slots(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert by[0] == "x" and len(by[99]) > 20_000_000 and 1 not in by
+
+
 def test_no_pages(spark):
     assert h.extract_slots(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -25,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +35,6 @@ MAX_TOKENS = 4096
 MAX_SEGMENTS = 32
 MAX_LOSS_TOKENS = 3072
 SHARD_ROWS = 50_000
-#: Pre-tokens remembered by a counting task, and the longest remembered.
-_REMEMBERED = 200_000
-_LONG = 64
 _FIELDS = "id long, shard int, bin_no int, position int, tokens long, loss_tokens long, oversize boolean"
 
 
@@ -112,27 +108,13 @@ def pack_examples(
 
 
 def _counter(vocabulary: str, pattern: str):
-    """Tokens of each text, counted as in `tokencount`: by pre-tokens, each distinct one once while it is remembered."""
+    """Tokens of each text in the vocabulary of `tokencount`; special tokens' strings count as ordinary text."""
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one, whole, find = tokencount.encoding(vocabulary, pattern), tokencount._whole(vocabulary), regex.compile(pattern).findall
-        known: dict[str, int] = {}
-
-        def pieces(token: str) -> int:
-            if token in whole:
-                return 1
-            n = known.get(token)
-            if n is None:
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                n = len(one.encode_ordinary(token))
-                if len(token) <= _LONG:
-                    known[token] = n
-            return n
-
+        one = tokencount.encoding(vocabulary, pattern)
         for batch in texts:
-            yield pd.Series([sum(map(pieces, find(t))) for t in batch], dtype="int64")
+            yield pd.Series([len(one.encode_ordinary(t)) for t in batch], dtype="int64")
 
     return count
 
@@ -145,10 +127,10 @@ def conversation_examples(conversations: DataFrame, vocabulary: str = tokencount
     return turns.groupBy("id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("loss_tokens"))
 
 
-def document_examples(docs: DataFrame) -> DataFrame:
-    """(id, tokens, loss_tokens) of each document: words and single marks count as tokens, all but the first bear loss.
+def document_examples(docs: DataFrame, vocabulary: str = tokencount.VOCABULARY, pattern: str = tokencount.PATTERN) -> DataFrame:
+    """(id, tokens, loss_tokens) of each row: the tokens of its text by the vocabulary, of which all but the first bear loss.
 
-    These are not the vocabulary's tokens, of which there are about twice as many.
+    A null or empty text has none.
     """
-    n = F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0))
-    return docs.select(F.col("doc_id").alias("id"), n.alias("tokens"), F.greatest(n - 1, F.lit(0)).alias("loss_tokens"))
+    n = _counter(vocabulary, pattern)(text_column(docs))
+    return docs.select(F.col("doc_id").alias("id"), n.alias("tokens")).withColumn("loss_tokens", F.greatest(F.col("tokens") - 1, F.lit(0)))

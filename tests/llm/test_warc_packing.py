@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import zstandard
@@ -98,10 +99,10 @@ def greedy(examples, limits):
         places[e] = (b, 0)
         b += 1
     left = {e for e in range(len(examples)) if e not in places}
+    share = lambda e: [Fraction(x, m) for x, m in zip((examples[e][0], 1, examples[e][1]), limits, strict=True)]
     while left:
-        room, position = [1.0, 1.0, 1.0], 0
+        room, position = [Fraction(1)] * 3, 0
         while True:
-            share = lambda e: (examples[e][0] / limits[0], 1 / limits[1], examples[e][1] / limits[2])
             fit = [e for e in left if all(s <= r for s, r in zip(share(e), room, strict=True))]
             if not fit:
                 break

@@ -9,10 +9,11 @@ fingerprints (hash, doc_id, pos, last) of a batch, bucketed and sorted by hash.
 written as a run; since all runs are bucketed alike, batch and history meet in merge joins
 without another shuffle. What they share is verified: around each shared fingerprint, the
 windows of min_words words that hold it are hashed whole, in the new documents and in the old
-ones that share it, to 128 bits made of the words' bytes. A window that an earlier document has is
-a repeat, referred to the earliest. So every repeat is found; only texts with shared fingerprints
-are looked at again, and no two documents are paired, so a passage that thousands of documents
-share costs each of them its own windows.
+ones that share it; hashes of 47 bits are compared among windows with one fingerprint of 64 bits
+at one place. A window that an earlier document has is a repeat, referred to the earliest. So every
+repeat is found: all holders of a window have its least fingerprint. Only texts with shared
+fingerprints are looked at again, and no two documents are paired, so a passage that thousands of
+documents share costs each of them its own windows.
 
 After a batch, runs of one level are compacted, FANOUT of them into one of the next, so each row
 is rewritten once a level, and the number of runs grows as the logarithm of the number of batches.
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import TEXT_ROWS, arrow_rows, delete, files, forget, scratch_path, small, stored, text_column, trimmed
-from citeloom.llm.words import BASE, INVERSE, _power, gram_hashes, mix, word_runs
+from citeloom.llm.words import gram_hashes, mix, word_runs
 
 MIN_WORDS = 50
 GRAM = 34
@@ -103,43 +104,85 @@ def fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     return docs.mapInArrow(trimmed(find), "hash long, doc_id long, pos int, last int")
 
 
-def _window_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the n words from each start on."""
-    out = []
-    for salt in (0, 0xD6E8FEB86659FD93):
-        w = mix(words + np.uint64(salt)) if salt else words
-        total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(w * _power(BASE, len(words)), out=total[1:])
-        out.append(mix((total[starts + n] - total[starts]) * _power(INVERSE, len(words) + 1)[starts] + np.uint64(salt)).view(np.int64))
-    return out[0], out[1]
+#: Bytes of a window's hash beside the 64 bits of the fingerprint in it.
+_BYTES = 6
 
 
-def _windows(min_words: int, gram: int):
-    """The windows of min_words words around the fingerprints of (doc_id, fresh, text, places)."""
+def _contexts(min_words: int, gram: int):
+    """(hash, fresh, doc_id, pos, windows) of the fingerprints of (doc_id, fresh, text, places).
+
+    windows holds, for o from 0 to min_words - gram, the hash of the window that begins o words before the fingerprint; 0 for none.
+    """
+    slots = min_words - gram + 1
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, new = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             places = batch.column(3).to_pylist()
             for i, j, words, offsets, *_ in word_runs(batch.column(2)):
-                out = []
-                for k in range(i, j):
-                    own = words[offsets[k - i] : offsets[k - i + 1]]
-                    if len(own) < min_words:
-                        continue
-                    pos = np.array(places[k], np.int64)
-                    pos = pos[pos + gram <= len(own)]
-                    near = np.zeros(len(own) + 2, np.int32)
-                    np.add.at(near, np.maximum(pos - (min_words - gram), 0), 1)
-                    np.add.at(near, pos + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(near)[: len(own) - min_words + 1] > 0)
-                    out.append((*_window_hashes(own, starts, min_words), np.full(len(starts), ids[k]), starts.astype(np.int32), np.full(len(starts), new[k])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h1", "h2", "doc_id", "start", "fresh"])
+                grams, at = gram_hashes(words, offsets, gram)
+                windows, first = gram_hashes(words, offsets, min_words)
+                long = np.flatnonzero(np.diff(offsets) >= min_words)
+                doc = np.repeat(long, [len(places[i + k]) for k in long])
+                pos = np.array([p for k in long for p in places[i + k]], np.int64)
+                inside = pos + gram <= (offsets[1:] - offsets[:-1])[doc]  # another row of this doc_id may be longer
+                doc, pos = doc[inside], pos[inside]
+                start = pos[:, None] - np.arange(slots)
+                ok = (start >= 0) & (start < (first[1:] - first[:-1])[doc][:, None])
+                mine = np.where(ok, windows[np.where(ok, first[doc][:, None] + start, 0)] | np.uint64(1), np.uint64(0)) if len(doc) else np.zeros((0, slots), np.uint64)
+                raw = np.ascontiguousarray(mine.astype("<u8")).view(np.uint8).reshape(len(doc), slots, 8)[:, :, :_BYTES]
+                held = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((np.arange(len(doc) + 1) * slots * _BYTES).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+                columns = [grams[at[doc] + pos].view(np.int64), new[i + doc], ids[i + doc], pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), held], names=["hash", "fresh", "doc_id", "pos", "windows"])
 
     return expand
 
 
+def _referred(min_words: int, gram: int):
+    """(doc_id, a, b, x, at): windows of a document from a to b that document x has from `at` on, from contexts
+    sorted by (hash, fresh, doc_id, pos): the first row with a window is its earliest holder."""
+    slots = min_words - gram + 1
+
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: list[np.ndarray] | None = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            raw = np.zeros((n, slots, 8), np.uint8)
+            raw[:, :, :_BYTES] = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, slots, _BYTES)
+            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), raw.view("<u8").reshape(n, slots)]
+            begun = 0
+            if carried is not None and carried[0][-1] == rows[0][0]:
+                begun = len(carried[0])
+                rows = [np.concatenate(c) for c in zip(carried, rows, strict=True)]
+            hashes, fresh, doc, pos, windows = rows
+            n = len(hashes)
+            key = mix(hashes.view(np.uint64)[:, None] + mix(windows + (np.arange(slots, dtype=np.uint64) << np.uint64(48)))).reshape(-1)
+            some = np.flatnonzero(windows.reshape(-1))
+            _, first, inverse = np.unique(key[some], return_index=True, return_inverse=True)
+            holder = np.full(n * slots, -1, np.int64)
+            holder[some] = some[first][inverse] // slots
+            # rows that are first with some window speak for the windows of the last hash in the next batch
+            last = hashes == hashes[-1]
+            last[last] = (holder.reshape(n, slots)[last] == np.flatnonzero(last)[:, None]).any(axis=1)
+            last[-1] = True
+            carried = [c[last] for c in rows]
+            holder = holder.reshape(n, slots)
+            hit = (holder >= 0) & fresh[:, None] & (doc[holder] != doc[:, None])
+            hit[:begun] = False
+            holder = np.where(hit, holder, -1)[:, ::-1]  # in order of where windows begin
+            flat = np.concatenate([holder, np.full((n, 1), -1)], axis=1).reshape(-1)
+            opens = np.flatnonzero((flat >= 0) & (flat != np.concatenate([[-1], flat[:-1]])))
+            closes = np.flatnonzero((flat >= 0) & (flat != np.concatenate([flat[1:], [-1]])))
+            row, x = opens // (slots + 1), flat[opens]
+            low = pos[row] - (slots - 1) + opens % (slots + 1)
+            columns = [doc[row], low.astype(np.int32), (low + closes - opens).astype(np.int32), doc[x], (low - pos[row] + pos[x]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "a", "b", "x", "at"])
+
+    return refer
+
+
 @dataclass
 class FingerprintIndex:
     """An index in a folder; runs are (level, name, whether it keeps texts), oldest first."""
@@ -227,22 +270,20 @@ class FingerprintIndex:
         mine = stored(batch.join(shared.select("hash"), "hash", "left_semi"), "shared-batch")
 
         # verification: the windows around those fingerprints, in their documents' own words
-        windows = self._around(mine, docs, True)
+        contexts = self._around(mine, docs, True)
         if met:
             history = [texts] if texts is not None else self._tables("t")
-            windows = windows.unionByName(self._around(old, _union(history), False)) if history else windows
-        windows = stored(windows, "windows")
-        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("fresh", "doc_id", "start")).alias("e"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        first = stored(first.where("low < high").select("h1", "h2", "e.doc_id", "e.start").withColumnsRenamed({"doc_id": "x", "start": "at"}), "first-windows")
-        repeats = windows.where("fresh").join(small(first), ["h1", "h2"]).where("x <> doc_id").select("doc_id", "start", F.struct("x", "at").alias("e"))
-        pieces = stored(self._pieces(repeats), "repeat-pieces")
-        self._write(name, "r", pieces.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("f.start").alias("a"), "b")).alias("whole")))
+            contexts = contexts.unionByName(self._around(old, _union(history), False)) if history else contexts
+        contexts = contexts.repartition("hash").sortWithinPartitions("hash", "fresh", "doc_id", "pos")
+        ranges = contexts.mapInArrow(trimmed(_referred(self.min_words, self.gram)), "doc_id long, a int, b int, x long, at int")
+        pieces = stored(self._pieces(ranges), "repeat-pieces")
+        self._write(name, "r", pieces.groupBy("doc_id").agg(F.collect_list(F.struct("f.a", "b")).alias("whole")))
         if texts is None:
             self._write(name, "t", docs)
         spans = pieces.groupBy("doc_id", "g").agg(F.min("f").alias("f"), F.max("b").alias("high"))
-        found = spans.select("doc_id", F.col("f.start").alias("start_word"), (F.col("high") + self.min_words).alias("end_word"), F.col("f.e.x").alias("earlier_doc_id"), F.col("f.e.at").alias("earlier_start"))
+        found = spans.select("doc_id", F.col("f.a").alias("start_word"), (F.col("high") + self.min_words).alias("end_word"), F.col("f.x").alias("earlier_doc_id"), F.col("f.at").alias("earlier_start"))
         found = stored(found, "repeats")
-        forget(mine, windows, first, pieces, *([old] if met else []))
+        forget(mine, pieces, *([old] if met else []))
 
         self.runs.append((0, name, texts is None))
         stale = self._compact()
@@ -252,21 +293,23 @@ class FingerprintIndex:
         return found
 
     def _around(self, shared: DataFrame, texts: DataFrame, fresh: bool) -> DataFrame:
-        """Windows of the documents of `texts` that have shared fingerprints: only those texts go to Python."""
+        """Contexts of the shared fingerprints: only texts of their documents go to Python."""
         places = stored(shared.groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "places")
         wanted = texts.join(small(places), "doc_id").select("doc_id", F.lit(fresh).alias("fresh"), "text", "places")
-        return wanted.mapInArrow(trimmed(_windows(self.min_words, self.gram)), "h1 long, h2 long, doc_id long, start int, fresh boolean")
+        return wanted.mapInArrow(trimmed(_contexts(self.min_words, self.gram)), "hash long, fresh boolean, doc_id long, pos int, windows binary")
 
-    def _pieces(self, repeats: DataFrame) -> DataFrame:
-        """(doc_id, g, c, f, b): windows one after another, from f.start to b, and the passage g that they belong to.
+    def _pieces(self, ranges: DataFrame) -> DataFrame:
+        """(doc_id, g, c, f, b): windows one after another, from f.a to b, and the passage g that they belong to.
 
-        Windows that overlap or touch are one passage. All of it takes one shuffle, by doc_id.
+        Windows that overlap or touch are one passage, referred to the earliest holder of its first window. All of it
+        takes one shuffle, by doc_id.
         """
-        w = Window.partitionBy("doc_id").orderBy("start")
-        one = repeats.repartition("doc_id").groupBy("doc_id", "start").agg(F.min("e").alias("e")).withColumn("p", F.lag("start").over(w))
-        one = one.withColumns({"opens": F.when(F.col("start") <= F.col("p") + self.min_words, 0).otherwise(1), "breaks": F.when(F.col("start") == F.col("p") + 1, 0).otherwise(1)})
+        w = Window.partitionBy("doc_id").orderBy("a", "b", "x", "at")
+        one = ranges.repartition("doc_id").withColumn("p", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        one = one.withColumns({"opens": F.when(F.col("a") <= F.col("p") + self.min_words, 0).otherwise(1), "breaks": F.when(F.col("a") <= F.col("p") + 1, 0).otherwise(1)})
+        w = w.rowsBetween(Window.unboundedPreceding, 0)
         one = one.withColumns({"g": F.sum("opens").over(w), "c": F.sum("breaks").over(w)})
-        return one.groupBy("doc_id", "g", "c").agg(F.min(F.struct("start", "e")).alias("f"), F.max("start").alias("b"))
+        return one.groupBy("doc_id", "g", "c").agg(F.min(F.struct("a", "x", "at")).alias("f"), F.max("b").alias("b"))
 
     def _compact(self) -> list[str]:
         """Merges the last runs while `fanout` of them are of one level; the names of those that are no longer needed."""

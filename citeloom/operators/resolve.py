@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.classify import type_is_plausible
 from citeloom.functions.identifiers import ARXIV_SHAPE, blank_to_null, doi_key, drop_version
 from citeloom.functions.similarity import ACCEPT_RATIO, COVERAGE, coverage_col, ratio_col
-from citeloom.functions.text import key_sets, norm_col, squash_col
+from citeloom.functions.text import family_keys_col, key_sets, norm_col, squash_col
 from citeloom.operators.titlejoin import title_candidates
 
 OUT = ["ref_id", "registry_id", "dead", "how", "status"]
@@ -198,10 +198,25 @@ def look_up(titles: DataFrame, registry: DataFrame, rows: int = 3) -> DataFrame:
     return title_candidates(titles.select("ref_id", norm_col(F.col("title")).alias("norm")), registry.where("source in ('crossref', 'arxiv')").select("registry_id", "source", "norm"), rows)
 
 
+def look_up_by_author(titles: DataFrame, registry: DataFrame, rows: int = 3) -> DataFrame:
+    """The same among records that name the author of (ref_id, title, author), met by the keys an author may go by."""
+    asked = titles.select("ref_id", norm_col(F.col("title")).alias("norm"), F.explode(family_keys_col(F.col("author"))).alias("key"))
+    known = registry.where("source in ('crossref', 'arxiv')").select("registry_id", "source", F.col("norm").alias("rec_norm"), F.explode(F.array_distinct(_flat_keys(F.col("families")))).alias("key"))
+    a, b = (F.array_distinct(F.split(c, " ")) for c in ("norm", "rec_norm"))
+    pairs = asked.join(known, "key").where("norm <> '' and rec_norm <> ''").drop("key").distinct().withColumn("n", F.size(F.array_intersect(a, b))).where("n > 0")
+    order = [(F.col("norm") == F.col("rec_norm")).desc(), (F.col("n") / (F.size(a) + F.size(b))).desc(), F.col("rec_norm"), F.col("registry_id")]
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("ref_id", "source").orderBy(*order)))
+    return ranked.where(F.col("rank") <= rows).select("ref_id", "registry_id", "source", "rank")
+
+
+def verify_arxiv(ids: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, status, title, year, first_author, authors) of arXiv ids, each looked up by itself."""
+    asked = ids.select("id").distinct().select(F.col("id").alias("ref_id"), F.col("id").alias("arxiv"), F.lit(None).cast("string").alias("doi"), F.array().cast("array<string>").alias("down"))
+    records = registry.select("registry_id", "title", "year", F.get("families", F.lit(0)).alias("first_author"), F.size("families").alias("authors"))
+    found = by_identifier(asked, registry).join(records, "registry_id", "left")
+    return found.select(F.col("ref_id").alias("id"), "status", "title", "year", "first_author", F.when(F.col("registry_id").isNotNull(), F.col("authors")).alias("authors"))
+
+
 def dead_identifiers(outcomes: DataFrame) -> DataFrame:
     """Printed identifiers that a registry which answered doesn't have."""
     return outcomes.where((F.col("status") == "miss") & F.col("dead").isNotNull()).select("ref_id", "dead")
-
-
-def best_per_reference(candidates: DataFrame, *order: Column) -> DataFrame:
-    return candidates.withColumn("__r", F.row_number().over(Window.partitionBy("ref_id").orderBy(*order))).where("__r = 1").drop("__r")

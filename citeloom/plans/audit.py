@@ -18,13 +18,14 @@ from citeloom.operators import triage
 from citeloom.operators.compare import authors_apart, bib_differences, raw_agreement, title_apart, year_differs, years_on_record
 from citeloom.operators.resolve import resolve_entries, resolve_printed, resolve_structured
 from citeloom.operators.style import author_list_tells, collected, finding, generation_signal, style_findings
-from citeloom.sources.registry import prepared, rekeyed_bibtex
+from citeloom.sources.registry import kept, rekeyed_bibtex
 
 VERDICT = ["bib", "pos", "ref", "verdict", "how", "dead", "registry_id", "findings"]
 
 
 def _ids(refs: DataFrame) -> DataFrame:
-    return refs.withColumn("ref_id", F.concat_ws("#", F.col("bib"), F.col("pos").cast("string")))
+    """A name for each reference; one without a bibliography is told apart by its place all the same."""
+    return refs.withColumn("ref_id", F.concat(F.coalesce(F.col("bib").cast("string"), F.lit("\0")), F.lit("#"), F.coalesce(F.col("pos").cast("string"), F.lit("\0"))))
 
 
 def _records(registry: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def _text(value: Column) -> Column:
 
 def audit_structured(refs: DataFrame, registry: DataFrame, down: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Structured references (bib, pos and the columns of sources.structured)."""
-    registry = prepared(registry)
+    registry = kept(registry)
     refs = _ids(refs)
     columns = ["ref_id", "title", "authors", "doi", "arxiv", "kind", "anonymized", "venue", "raw"]
     met = _with_records(refs, resolve_structured(refs.select(*columns), registry, down, compat), registry)
@@ -86,7 +87,7 @@ def audit_structured(refs: DataFrame, registry: DataFrame, down: DataFrame | Non
 
 def audit_entries(entries: DataFrame, registry: DataFrame, down: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """BibTeX entries (bib, pos, key, etype, fields, raw); only those of one key if given."""
-    registry = prepared(registry)
+    registry = kept(registry)
     entries = entries if key is None else entries.where(F.col("key") == key)
     get = lambda name: F.element_at("fields", F.lit(name))
     refs = _ids(entries).withColumns({"title": get("title"), "doi": unescape_identifier(get("doi")), "arxiv": field_arxiv(F.col("fields"))})
@@ -117,7 +118,7 @@ def audit_entries(entries: DataFrame, registry: DataFrame, down: DataFrame | Non
 
 def audit_printed(refs: DataFrame, registry: DataFrame, down: DataFrame | None = None) -> DataFrame:
     """References split out of text (bib, pos, ref). They were parsed by heuristics, so no finding is above tier 3."""
-    registry = prepared(registry)
+    registry = kept(registry)
     text = F.col("raw_ref")
     refs = _ids(refs.withColumnRenamed("ref", "raw_ref"))
     refs = refs.withColumns({"arxiv": printed_arxiv(text), "doi": printed_doi(text), "title_guess": guess_title_col(text), "norm": norm_col(text), "anonymized": is_anonymized(text), "grey": is_grey(text)})

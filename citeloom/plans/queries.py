@@ -17,8 +17,7 @@ from citeloom.functions.identifiers import and_others, authors, field_arxiv, pri
 from citeloom.functions.text import norm_col, squash_col
 from citeloom.operators import lines, style, triage
 from citeloom.operators.compare import bib_differences, year_differs, years_on_record
-from citeloom.operators.resolve import by_identifier, dead_identifiers, look_up, quorum
-from citeloom.operators.titlejoin import title_candidates
+from citeloom.operators.resolve import by_identifier, dead_identifiers, quorum
 from citeloom.plans import audit
 from citeloom.sources import registry as reg
 from citeloom.sources.bibtex import bib_entries
@@ -334,11 +333,6 @@ def t7_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_furniture(lines.join_groups(grouped)).select("doc_id", "gid", "ref")
 
 
-@query()
-def t8_split_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.split_references(_marked(spark, sf_dir)).drop("marker_no")
-
-
 _NUMERIC = "CASE WHEN pos % 3 = 1 THEN '3152527' WHEN pos % 3 = 0 AND doc_id % 2 = 0 THEN concat(line, ' doi:10.1000/ab.') ELSE line END"
 
 
@@ -430,20 +424,7 @@ def s18_canonical_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select(F.col("p_partkey").alias("k"), made.alias("bibtex"), reg.recovered_key(F.array(F.lit("Abel")), F.lit("2001")).alias("recovered"))
 
 
-# title search and whole audits
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.left(F.substring_index("text", "\n", 1), F.lit(80))
-    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), norm_col(title).alias("norm"))
-
-
-@query()
-def j4_title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best three titles of the other documents' for each."""
-    titles = _titles(spark, sf_dir)
-    registry = titles.where("ref_id % 2 = 0").select(F.col("ref_id").alias("registry_id"), F.lit("crossref").alias("source"), "norm")
-    return title_candidates(titles.where("ref_id % 2 = 1"), registry)
-
-
+# whole audits; ladders and title search are in ladder_queries
 _AUDIT_SQL = """WITH o AS (SELECT p_partkey AS k, p_brand AS bib, p_partkey % 13 = 0 AS off, p_partkey % 7 = 0 AS gone, p_partkey % 11 = 0 AS other, p_partkey % 5 = 0 AS late, p_partkey % 3 = 0 AS strange FROM part)
 SELECT bib, verdict, priority, count(*) AS n FROM (SELECT bib, verdict, unnest(CASE verdict WHEN 'FABRICATED' THEN [2] WHEN 'CHECK' THEN CASE WHEN strange AND late THEN [2, 3] WHEN strange THEN [2] ELSE [3] END ELSE [NULL] END) AS priority
 FROM (SELECT *, CASE WHEN off THEN 'LOOKUP FAILED' WHEN gone OR other THEN 'FABRICATED' WHEN late OR strange THEN 'CHECK' ELSE 'OK' END AS verdict FROM o)) GROUP BY ALL"""
@@ -496,31 +477,7 @@ def r1_search_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("bib", "verdict", F.col("f.priority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def e4_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What Crossref and arXiv have for single titles, without a gate."""
-    titles = _titles(spark, sf_dir)
-    registry = titles.select(F.col("ref_id").alias("registry_id"), F.when(F.col("ref_id") % 2 == 0, "crossref").otherwise("arxiv").alias("source"), "norm")
-    return look_up(titles.where("ref_id % 10 = 0").select("ref_id", F.col("norm").alias("title")), registry)
-
-
-@query()
-def e1_entry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BibTeX entries by title: documents' first lines against those of the others."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.left(F.substring_index("text", "\n", 1), F.lit(80)).alias("t"))
-    entries = docs.select(F.col("lang").alias("bib"), F.col("doc_id").alias("pos"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.lit("article").alias("etype"), F.create_map(F.lit("title"), F.col("t"), F.lit("year"), F.lit("2001")).alias("fields"), F.lit("").alias("raw"))
-    none = F.lit(None).cast("string")
-    records = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("registry_id"), F.lit("crossref").alias("source"), F.col("t").alias("title"), F.array().cast("array<string>").alias("families"), F.lit("2001").alias("year"), F.array(F.lit("2001")).alias("years"), none.alias("doi"), none.alias("arxiv"), none.alias("ctype"), none.alias("venue"))
-    verdicts = audit.audit_entries(entries, records)
-    return verdicts.select("bib", "pos", "ref", "verdict", "how", "registry_id", F.size("findings").alias("n_findings"))
-
-
-@query()
-def e3_printed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References as printed, by DOI, arXiv id or title."""
-    part = _part(spark, sf_dir)
-    refs = part.select(F.col("p_brand").alias("bib"), F.col("p_partkey").alias("pos"), F.expr(_PRINTED).alias("ref"))
-    return audit.audit_printed(refs, _doi_registry(spark, sf_dir).select("registry_id", "source", "title", "families", "year", "years", "doi", "arxiv", "ctype", "venue")).select("bib", "pos", "verdict", "how", "dead", F.array_max(F.transform("findings", lambda f: f["priority"])).alias("tier"))
+from citeloom.plans import ladder_queries, scalar_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,7 @@ import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +30,16 @@ def _open(url: str, timeout: float, headers: dict[str, str]) -> str:
         return answer.read().decode("utf-8", "replace")
 
 
-def get(url: str, timeout: float = 12, attempts: int = 2, longest_wait: float = 3, fetch: Callable = _open, sleep: Callable = time.sleep, headers: dict[str, str] | None = None) -> tuple[str, int | None, str | None]:
+#: The patience of audits, and that of looking one title up: seconds, attempts, and how long to wait after the n-th.
+AUDIT = {"timeout": 12, "attempts": 2, "longest_wait": 3, "step": 1}
+LOOK_UP = {"timeout": 60, "attempts": 4, "longest_wait": 60, "step": 3}
+
+
+def get(url: str, timeout: float = 12, attempts: int = 2, longest_wait: float = 3, step: float = 1, fetch: Callable = _open, sleep: Callable = time.sleep, headers: dict[str, str] | None = None) -> tuple[str, int | None, str | None]:
     """(status, code, body). 404 and other refusals that repeating won't change are answers: a miss or 'refused'."""
     code = None
     for attempt in range(attempts):
-        wait = min(longest_wait, attempt + 1)
+        wait = min(longest_wait, step * (attempt + 1))
         try:
             return "hit", 200, fetch(url, timeout, headers or {})
         except urllib.error.HTTPError as e:
@@ -50,16 +55,20 @@ def get(url: str, timeout: float = 12, attempts: int = 2, longest_wait: float =
     return "unavailable", code, None
 
 
-def fetch_all(requests: DataFrame, pause: float = 0.2, timeout: float = 12, attempts: int = 2, fetch: Callable = _open, headers: dict[str, str] | None = None) -> DataFrame:
-    """Answers to (host, url), each distinct url once."""
+def fetch_all(requests: DataFrame, pause: float = 0.2, patience: dict = AUDIT, fetch: Callable = _open, headers: Callable[[str], dict[str, str]] | None = None) -> DataFrame:
+    """Answers to (host, url), each distinct url once; headers(host) are those a host is sent.
+
+    A host is one task's, in which answers are handed on as they come. Store the result: what is read twice is asked twice.
+    """
 
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        rows = []
-        for k, url in enumerate(sorted(table["url"].to_pylist())):
-            if k:
-                time.sleep(pause)
-            rows.append((url, *get(url, timeout, attempts, fetch=fetch, headers=headers)))
-        columns = zip(*rows, strict=True)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["url", "status", "code", "body"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            for host, url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if host == last:
+                    time.sleep(pause)
+                last = host
+                row = (url, *get(url, **patience, fetch=fetch, headers=headers(host) if headers else None))
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["url", "status", "code", "body"])
 
-    return requests.select("host", "url").distinct().groupBy("host").applyInArrow(ask, OUT)
+    return requests.select("host", "url").distinct().repartition("host").sortWithinPartitions("host", "url").mapInArrow(ask, OUT)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import doi_key, drop_version
 from citeloom.functions.text import norm_col, squash_col
+from citeloom.storage import stored
 
 RECORD = "source string, title string, families array<string>, year string, years array<string>, doi string, arxiv string, ctype string, venue string"
 _STRINGS = "array<string>"
@@ -110,8 +111,23 @@ def display(json: Column) -> Column:
     )
 
 
+def display_atom(xml: Column) -> Column:
+    """What a look-up prints of the first entry of an Atom feed; null if it has none."""
+    r = arxiv_atom(xml)
+    shown = F.struct(r["title"].alias("title"), r["year"].alias("year"), F.get(r["families"], F.lit(0)).alias("first_author"), F.size(r["families"]).alias("authors"), r["arxiv"].alias("arxiv"))
+    return F.when(r.isNotNull(), shown)
+
+
+def kept(registry: DataFrame) -> DataFrame:
+    """`prepared`, written to shared storage, for what looks a registry up in many ways: names and titles are put in
+    normal form once. A registry that is prepared already, as a long-lived one should be stored, is taken as it is."""
+    return registry if "squash" in registry.columns else stored(prepared(registry), "registry")
+
+
 def prepared(registry: DataFrame) -> DataFrame:
     """The registry with what lookups and comparisons need, computed once per record."""
+    if "squash" in registry.columns:
+        return registry
     norm = norm_col(F.coalesce("title", F.lit("")))
     with_norm = registry.withColumns({"doi_key": doi_key(F.col("doi")), "arxiv_key": F.lower(drop_version(F.trim("arxiv"))), "norm": norm})
     return with_norm.withColumn("squash", squash_col(F.col("norm")))
@@ -137,6 +153,21 @@ def recovered_key(families: Column, year: Column) -> Column:
     return F.concat(F.coalesce(F.get(families, F.lit(0)), F.lit("ref")), F.coalesce(year, F.lit("")))
 
 
+def recovered_bibtex(resolved: DataFrame, registry: DataFrame) -> DataFrame:
+    """(ref_id, bibtex) for references (ref_id, registry_id) that were resolved; registry has a column bibtex.
+
+    The publisher's under a key made of first family and year, or one made of an arXiv record, or none.
+    """
+    met = resolved.where("registry_id is not null").join(registry, "registry_id")
+    made = canonical_bibtex(recovered_key(F.col("families"), F.col("year")), F.col("source"), F.col("doi"), F.col("bibtex"), F.col("title"), F.array_join("families", " and "), F.col("year"), F.col("arxiv"))
+    return met.select("ref_id", made.alias("bibtex")).where("bibtex is not null")
+
+
+def missing(ids: DataFrame, registry: DataFrame) -> DataFrame:
+    """Prefixed ids that name no paper, by anti-join on the key: answers in bulk come unordered and leave them out."""
+    return batch_lookup(ids, registry).where("registry_id is null").select("id")
+
+
 def batch_lookup(ids: DataFrame, registry: DataFrame) -> DataFrame:
     """(id, registry_id) of prefixed ids, DOI:... or ARXIV:...; null for those that name no paper. Duplicates of an id are one."""
     kind, value = F.upper(F.substring_index("id", ":", 1)), F.lower(F.expr("substring(id, instr(id, ':') + 1)"))

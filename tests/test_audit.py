@@ -267,8 +267,8 @@ def test_http(spark):
     ask = lambda *codes: http.get("u", fetch=failing(*codes), sleep=waits.append)[:2]
     assert [ask(200), ask(404), ask(429, 200), ask(503, 503), ask(0, 0), ask(403), ask(400)] == [("hit", 200), ("miss", 404), ("hit", 200), ("unavailable", 503), ("unavailable", None), ("unavailable", 403), ("malformed", 400)]
     assert max(waits) <= 3
-    out = http.fetch_all(spark.createDataFrame([("h", "a"), ("h", "a"), ("g", "b")], "host string, url string"), 0, fetch=lambda u, t, h: u.upper()).collect()
-    assert sorted((r.url, r.body) for r in out) == [("a", "A"), ("b", "B")]
+    out = http.fetch_all(spark.createDataFrame([("h", "a"), ("h", "a"), ("g", "b")], "host string, url string"), 0, fetch=lambda u, t, h: u.upper() + h.get("k", ""), headers=lambda host: {"k": "!"} if host == "g" else {}).collect()
+    assert sorted((r.url, r.body) for r in out) == [("a", "A"), ("b", "B!")]
 
 
 def test_stream(spark, tmp_path):

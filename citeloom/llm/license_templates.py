@@ -1,9 +1,11 @@
 """Texts of public licences and of the notices that refer to them.
 
 Each entry is (licence id, template text). Placeholders for years and holders are left
-out, since the comparison is over word bigrams.
+out, since the comparison is over word bigrams. Full texts are those of the folder licence_texts.
 """
 
+from pathlib import Path
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
 and associated documentation files (the "Software"), to deal in the Software without restriction, including
 without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -96,3 +98,16 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("cc0-1.0", "Released into the public domain under CC0 1.0."),
 ]
+
+_FULL = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+TEMPLATES += [(f.stem, f.read_text("utf-8")) for f in _FULL]
+TEMPLATES += [
+    ("bsd-3-clause", _BSD_HEAD),
+    ("bsd-3-clause", _BSD_THIRD),
+    ("bsd-3-clause", _BSD_AS_IS),
+    ("gpl-2.0", _GPL3_HEADER.replace("version 3 of the License", "version 2 of the License").replace("either version 3", "either version 2")),
+    ("agpl-3.0", _GPL3_HEADER.replace("GNU\nGeneral", "GNU General").replace("GNU General", "GNU Affero General")),
+    ("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("lgpl-2.1", _GPL3_HEADER.replace("GNU\nGeneral", "GNU General").replace("GNU General", "GNU Lesser General").replace("either version 3", "either version 2.1")),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+]

@@ -129,10 +129,28 @@ def brute_licences(rows, t):
             found = [(round(2 * len(a & b) / (len(a) + len(b)), 6), -k, name, len(a & b)) for k, name, b in known if a and b and 2 * len(a & b) >= t * (len(a) + len(b)) - 1e-9]
             if found:
                 dice, k, name, shared = max(found)
-                out.append((d, kind, n, name, -k, shared, dice))
+                out.append((d, kind, n, n, name, -k, shared, dice))
+        filled = [n for n, b in enumerate(blocks) if words("\n".join(b))]
+        best = {}
+        for x, i in enumerate(filled):
+            for y, j in enumerate(filled):
+                if x < y and y - x < len(filled) - 1:
+                    a = grams("\n".join("\n".join(blocks[n]) for n in filled[x : y + 1]))
+                    for k, name, b in known:
+                        shared = len(a & b)
+                        if len(b) >= 40 and 2 * shared >= t * (len(a) + len(b)) - 1e-9:
+                            one = (round(2 * shared / (len(a) + len(b)), 6), x - y, -i, -k, shared, j)
+                            best[name] = max(best.get(name, one), one)
+        out += [(d, "span", -i, j, name, -k, shared, dice) for name, (dice, _, i, k, shared, j) in best.items()]
     return out
 
 
+def in_paragraphs(text, n):
+    """The words of a text in paragraphs of n."""
+    w = text.split()
+    return "\n\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
 def test_licences_by_brute_force(spark):
     rng = random.Random(6)
     filler = "some ordinary words of no licence at all"
@@ -149,11 +167,23 @@ def test_licences_by_brute_force(spark):
             body = " ".join(w).upper()
         rows.append((d, rng.choice([body, f"{filler}\n\n{body}\n\n{filler}", f"{body}\n{filler}", f"Copyright 2020\n***\n{body}", f"{filler} {body}"])))
     rows += [(100, None), (101, ""), (102, "\n\n\n"), (103, "a"), (None, "Released under the MIT License."), (104, "the of " * 20_000), (0, rows[0][1])]
+    for d in range(200, 230):
+        name, body = rng.choice([x for x in TEMPLATES if 60 < len(x[1].split()) < 400])
+        rows.append((d, f"{filler}\n\n{in_paragraphs(body, rng.choice([25, 50]))}\n#\n{filler} {d}\n{filler}" + rng.choice(["", f"\n\n{in_paragraphs(rng.choice(TEMPLATES)[1], 40)}"])))
     docs = spark.createDataFrame([(*r, "l", 2) for r in rows], "doc_id long, text string, license string, unit int")
     for t in (0.8, 0.6):
         got = sorted((tuple(r) for r in licenses.license_scan(docs, t).collect()), key=str)
         want = sorted(brute_licences(rows, t), key=str)
-        assert got == want and len(want) > 60
+        assert got == want and len(want) > 60 and sum(w[1] == "span" for w in want) > 20
+
+
+def test_full_licences_above_code(spark):
+    """Texts of the licences in their own layout, and headers in paragraphs, with code below."""
+    code = "\n\n".join(f"def f{k}(x):\n    return x + {k}" for k in range(60))
+    full = [x for x in TEMPLATES if len(x[1]) > 5000]
+    rows = [(k, body + "\n\n" + code) for k, (_, body) in enumerate(full)] + [(50, "# " + in_paragraphs(dict(TEMPLATES[8:12])["gpl-3.0"], 45).replace("\n", "\n# ") + "\n\n" + code), (51, code)]
+    got = {(r.doc_id, r.license) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.unit in ("span", "document")}
+    assert len(full) == 8 and {(k, name) for k, (name, _) in enumerate(full)} <= got and (50, "gpl-3.0") in got and not any(d == 51 for d, _ in got)
 
 
 def test_empty_tables(spark):

@@ -218,11 +218,15 @@ ub AS (SELECT doc_id, unit, unit_no, {bigrams("w")} AS a FROM uw WHERE len(w) >
 s AS (SELECT doc_id, unit, unit_no, license, template_no, len(list_intersect(a, b)) AS shared, len(a) + len(b) AS n
       FROM ub JOIN tb ON len(a) * {2 - threshold} >= len(b) * {threshold} AND len(b) * {2 - threshold} >= len(a) * {threshold}),
 r AS (SELECT *, round(2 * shared / n, 6) AS dice FROM s WHERE 2 * shared >= {threshold} * n),
-dw AS (SELECT doc_id, {words("t")} AS w, {bigrams(words("t"))} AS a FROM d),
-lt AS (SELECT doc_id, w, template_no, license, b FROM dw JOIN tb ON len(b) >= {SPAN_BIGRAMS} AND len(w) > 1 WHERE len(list_intersect(a, b)) >= {threshold / (2 - threshold)} * len(b) - 1e-9),
+dw AS (SELECT doc_id, {words("t")} AS w FROM d),
+da AS (SELECT doc_id, unnest(a) AS g FROM (SELECT doc_id, {bigrams("w")} AS a FROM dw)),
+tg AS (SELECT template_no, len(b) AS n, unnest(b) AS g FROM tb WHERE len(b) >= {SPAN_BIGRAMS}),
+lh AS (SELECT doc_id, template_no FROM da JOIN tg USING (g) GROUP BY doc_id, template_no, n HAVING count(*) >= {threshold / (2 - threshold)} * n - 1e-9),
+lt AS (SELECT doc_id, w, template_no, license, b FROM lh JOIN dw USING (doc_id) JOIN tb USING (template_no)),
 pn AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS e, count(*) OVER (PARTITION BY doc_id) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
   FROM (SELECT doc_id, i, len({words("body")}) AS n FROM (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS body FROM p WHERE doc_id IN (SELECT doc_id FROM lt))) WHERE n > 0),
-sw AS (SELECT lt.doc_id, x.i, y.i AS j, y.k - x.k AS gap, template_no, license, b, {bigrams("w[CAST(x.e - x.n + 1 AS BIGINT) : CAST(y.e AS BIGINT)]")} AS a FROM lt JOIN pn x ON x.doc_id = lt.doc_id JOIN pn y ON y.doc_id = lt.doc_id AND y.k > x.k AND y.k - x.k < x.c - 1),
+sl AS (SELECT lt.doc_id, x.i, y.i AS j, y.k - x.k AS gap, template_no, license, b, w[CAST(x.e - x.n + 1 AS BIGINT) : CAST(y.e AS BIGINT)] AS w FROM lt JOIN pn x ON x.doc_id = lt.doc_id JOIN pn y ON y.doc_id = lt.doc_id AND y.k > x.k AND y.k - x.k < x.c - 1),
+sw AS (SELECT * EXCLUDE (w), {bigrams("w")} AS a FROM sl),
 sp AS (SELECT doc_id, i, j, gap, template_no, license, len(list_intersect(a, b)) AS shared, len(a) + len(b) AS n FROM sw),
 sb AS (SELECT *, round(2 * shared / n, 6) AS dice FROM sp WHERE 2 * shared >= {threshold} * n QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY round(2 * shared / n, 6) DESC, gap, i, template_no) = 1)
 SELECT doc_id, 'span' AS unit, CAST(i AS INT) AS unit_no, CAST(j AS INT) AS last_no, license, CAST(template_no AS INT) AS template_no, CAST(shared AS INT) AS shared, dice FROM sb UNION ALL

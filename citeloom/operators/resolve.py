@@ -18,6 +18,7 @@ from citeloom.functions.identifiers import ARXIV_SHAPE, blank_to_null, doi_key,
 from citeloom.functions.similarity import ACCEPT_RATIO, COVERAGE, coverage_col, ratio_col
 from citeloom.functions.text import family_keys_col, key_sets, norm_col, squash_col
 from citeloom.operators.titlejoin import title_candidates
+from citeloom.storage import stored
 
 OUT = ["ref_id", "registry_id", "dead", "how", "status"]
 SOURCES = ("s2", "crossref", "arxiv", "openalex")
@@ -82,9 +83,12 @@ def _flat_keys(names: Column) -> Column:
 
 
 def search_pairs(refs: DataFrame, registry: DataFrame, top: int = 3) -> DataFrame:
-    """Title candidates of refs with all that `credible` asks for."""
-    found = title_candidates(refs.select("ref_id", "norm"), registry.select("registry_id", "source", "norm"), top)
+    """Title candidates of refs (stored) with all that `credible` asks for; they are searched once and stored, however often they are used."""
     records = registry.select("registry_id", F.col("norm").alias("rec_norm"), F.col("squash").alias("rec_squash"), "ctype", "doi_key", "arxiv_key", F.col("families").alias("rec_families"))
+    if refs.isEmpty():  # all had identifiers, as most references should
+        found = refs.select("ref_id", F.lit(None).cast(records.schema["registry_id"].dataType).alias("registry_id"), F.lit("").alias("source"), F.lit(0).alias("rank"))
+    else:
+        found = stored(title_candidates(refs.select("ref_id", "norm"), registry.select("registry_id", "source", "norm"), top), "title-candidates")
     return found.join(records, "registry_id").join(refs, "ref_id")
 
 
@@ -108,7 +112,7 @@ def resolve_structured(refs: DataFrame, registry: DataFrame, down: DataFrame | N
 
     described = norm_col(F.concat_ws(" ", "venue", "kind", "raw"))
     asked = open_.where(title.isNotNull() & ~grey).withColumns({"norm": norm_col(title), "described": described, "keys": _flat_keys(F.col("authors"))})
-    asked = asked.withColumn("squash", squash_col(F.col("norm"))).select("ref_id", "norm", "squash", "described", "keys", "down")
+    asked = stored(asked.withColumn("squash", squash_col(F.col("norm"))).select("ref_id", "norm", "squash", "described", "keys", "down"), "asked")
     pairs = search_pairs(asked, registry).where(~F.array_contains("down", F.col("source")))
 
     # s2 leads to identifiers, which are then looked up where they are registered
@@ -149,7 +153,7 @@ def resolve_entries(entries: DataFrame, registry: DataFrame, down: DataFrame | N
     entries = _down(entries, down)
     title = blank_to_null(F.col("title"))
     open_ = entries.where(blank_to_null(F.col("arxiv")).isNull() & blank_to_null(F.col("doi")).isNull())
-    asked = open_.select("ref_id", norm_col(F.coalesce(title, F.lit(""))).alias("norm"), "down")
+    asked = stored(open_.select("ref_id", norm_col(F.coalesce(title, F.lit(""))).alias("norm"), "down"), "asked")
     pairs = search_pairs(asked, registry, top=1).where("source in ('crossref', 'arxiv', 'openalex')").where(~F.array_contains("down", F.col("source")))
     pairs = pairs.withColumn("ratio", ratio_col(F.col("norm"), F.col("rec_norm"), ACCEPT_RATIO)).where(F.col("ratio") >= ACCEPT_RATIO)
     rung = F.when(F.col("source") == "crossref", 1).when(F.col("source") == "arxiv", 2).otherwise(3)
@@ -172,7 +176,7 @@ def resolve_printed(refs: DataFrame, registry: DataFrame, down: DataFrame | None
     refs = _down(refs, down)
     open_ = refs.where(F.col("arxiv").isNull() & F.col("doi").isNull())
     whole = norm_col(F.col("ref"))
-    asked = open_.select("ref_id", norm_col(F.coalesce("title_guess", F.lit(""))).alias("norm"), whole.alias("ref_norm"), "down")
+    asked = stored(open_.select("ref_id", norm_col(F.coalesce("title_guess", F.lit(""))).alias("norm"), whole.alias("ref_norm"), "down"), "asked")
     pairs = search_pairs(asked, registry, top=1).where("source in ('crossref', 'arxiv', 'openalex')").withColumn("rung", F.when(F.col("source") == "crossref", 1).when(F.col("source") == "arxiv", 3).otherwise(4))
     text = asked.select("ref_id", F.left("ref_norm", F.lit(300)).alias("norm"), "ref_norm", "down")
     raw = search_pairs(text, registry.where("source = 'crossref'"), top=1).withColumn("rung", F.lit(2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INVENTED, FABRICATED, METADATA, STYLE = 1, 2, 3, 4
@@ -80,9 +80,14 @@ def gate(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
     return bad.join(worst, "bib", "left").select("bib", F.greatest("v", F.coalesce((F.col("w") <= FABRICATED).cast("int"), F.lit(0))).alias("gate"))
 
 
+def placed(findings: DataFrame) -> DataFrame:
+    """Findings with place, their rank within a bibliography: by tier, then label as text, then place of emission."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("bib").orderBy("priority", "ref", "pos")))
+
+
 def ranked(findings: DataFrame) -> DataFrame:
-    """Findings in order of tier, then label as text, then place."""
-    return findings.orderBy("bib", "priority", "ref", "pos")
+    """Findings of all bibliographies in that order."""
+    return placed(findings).orderBy("bib", "place").drop("place")
 
 
 def report(findings: DataFrame, totals: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.classify import is_anonymized, is_grey, type_is_plausible
+from citeloom.functions.classify import UNLIKELY_TYPES, is_anonymized, is_grey, type_is_plausible
 from citeloom.functions.identifiers import and_others, authors, field_arxiv, printed_arxiv, printed_doi, unescape_identifier, years
 from citeloom.functions.text import norm_col, squash_col
 from citeloom.operators import lines, style, triage
@@ -126,9 +126,8 @@ def s22_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT bib, ref, priority, row_number() OVER (PARTITION BY bib ORDER BY priority, ref) AS place FROM (SELECT *, 'ref ' || k AS ref FROM ({_FINDINGS})) QUALIFY place <= 10")
 def o1_ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten findings of each bibliography, by tier and then by label as text."""
-    found = _found(spark, sf_dir).withColumn("ref", F.concat(F.lit("ref "), F.col("ref_id").cast("string")))
-    place = F.row_number().over(Window.partitionBy("bib").orderBy("priority", "ref"))
-    return found.select("bib", "ref", "priority", place.alias("place")).where("place <= 10")
+    found = _found(spark, sf_dir).select("bib", F.concat(F.lit("ref "), F.col("ref_id").cast("string")).alias("ref"), F.col("ref_id").alias("pos"), "priority")
+    return triage.placed(found).where("place <= 10").select("bib", "ref", "priority", "place")
 
 
 @query(
@@ -257,11 +256,17 @@ def n4_norm_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("SELECT p_partkey AS k, NOT (p_partkey % 3 = 0 AND p_partkey % 4 <> 0) AS plausible FROM part")
+_TYPES = [*UNLIKELY_TYPES, "journal-article", "proceedings-article", "posted-content", None]
+_CTYPE = f"CASE p_partkey % {len(_TYPES)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TYPES) if t) + " END"
+_DESCRIBED = "CASE p_size % 6 WHEN 0 THEN concat(p_name, ' phd') WHEN 1 THEN concat('masters of ', p_name) WHEN 2 THEN concat(p_name, ' handbook') WHEN 3 THEN p_name WHEN 4 THEN '' END"
+
+
+@query(f"""SELECT k, NOT (coalesce(ctype IN ('book', 'dissertation', 'monograph', 'edited-book', 'reference-book') OR starts_with(ctype, 'book-'), false) AND
+NOT (contains(d, 'thesis') OR contains(d, 'dissertation') OR contains(d, 'phd') OR contains(d, 'msc') OR contains(d, 'master') OR contains(d, 'book') OR contains(d, 'chapter') OR contains(d, 'monograph'))) AS plausible
+FROM (SELECT p_partkey AS k, {_CTYPE} AS ctype, coalesce({_DESCRIBED}, '') AS d FROM part)""")
 def i12_type_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctype = F.when(F.col("p_partkey") % 3 == 0, "dissertation").otherwise("journal-article")
-    described = F.when(F.col("p_partkey") % 4 == 0, "phd thesis").otherwise("proceedings")
-    return _part(spark, sf_dir).select(F.col("p_partkey").alias("k"), type_is_plausible(ctype, described).alias("plausible"))
+    """Every type against descriptions that do or don't say book or thesis."""
+    return _part(spark, sf_dir).select(F.col("p_partkey").alias("k"), type_is_plausible(F.expr(_CTYPE), F.expr(_DESCRIBED)).alias("plausible"))
 
 
 _NAMES = ("ARRAY('abel', CONCAT('b', CAST(p_size AS STRING)), CONCAT('c', CAST(p_partkey % 3 AS STRING)))", "ARRAY('abel', CONCAT('b', CAST(p_size % 7 AS STRING)), CONCAT('c', CAST(p_partkey % 2 AS STRING)))")
@@ -342,11 +347,19 @@ def t3_numeric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_numeric_lines(_lines(spark, sf_dir).withColumn("line", F.expr(_NUMERIC)))
 
 
-@query("SELECT doc_id, 'A see doi:10.1000/s41597-026-07099-1 and graph ' || doc_id || ' end' AS ref FROM documents")
+#: Beginnings of documents cut at every 30 characters, with hyphens at some cuts, and identifiers that the cut breaks.
+_CUT = "concat(substr(t, {a}, 30), CASE WHEN doc_id % {m} = 0 THEN '-' WHEN doc_id % {m} = 1 THEN ' see doi:10.1000/s41597-' WHEN doc_id % {m} = 2 THEN ' https://example.org/a/' ELSE '' END)"
+_PIECES = "array(" + ", ".join(_CUT.format(a=1 + 30 * k, m=m) for k, m in enumerate((3, 4, 5))) + ", '026-07099-1 end', '', '  Last ')"
+_PIECES_DUCK = _PIECES.replace("array(", "[", 1)[:-1] + "]"
+_OPEN = "(?i)(10\\.\\d{4,9}/|arxiv[:\\s]*|https?://)\\S*$"
+
+
+@query(f"""SELECT doc_id, list_reduce(list_filter(list_transform({_PIECES_DUCK}, lambda p: trim(p)), lambda p: p <> ''), lambda o, p: CASE WHEN regexp_matches(o, '{_OPEN}') THEN o || CASE WHEN regexp_matches(p, '^[a-z0-9]') THEN '' ELSE ' ' END || p
+  WHEN regexp_matches(o, '[\\p{{L}}\\p{{N}}_]-$') THEN left(o, length(o) - 1) || p ELSE o || ' ' || p END) AS ref FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)""")
 def t6_dewrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines joined: an identifier closes up, a hyphen at a line's end goes."""
-    parts = F.array(F.lit("A see doi:10.1000/s41597-"), F.lit(" 026-07099-1 and gra-"), F.lit(""), F.concat(F.lit("ph "), F.col("doc_id").cast("string")), F.lit("end"))
-    return _read(spark, sf_dir, "documents").select("doc_id", lines.dewrap(parts).alias("ref"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("t"))
+    return docs.select("doc_id", lines.dewrap(F.expr(_PIECES)).alias("ref"))
 
 
 # sources

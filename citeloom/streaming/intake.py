@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from citeloom.plans.audit import audit_entries
 from citeloom.sources.bibtex import bib_entries
+from citeloom.sources.registry import kept
 
 
 def audit_stream(spark: SparkSession, folder: str, registry: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -19,6 +20,8 @@ def audit_stream(spark: SparkSession, folder: str, registry: DataFrame, out: str
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.bib").schema("value string").load(folder)
     named = files.select(F.col("_metadata.file_path").alias("bib"), F.col("value").alias("text"))
 
+    registry = kept(registry)  # once for all batches
+
     def write(batch: DataFrame, number: int) -> None:
         audit_entries(bib_entries(batch), registry).write.mode("overwrite").parquet(f"{out}/batch={number}")
 

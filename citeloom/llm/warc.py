@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import files, scratch_path
+from citeloom.llm.common import files, shared_dir
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -115,14 +115,14 @@ def read_record(path: str, frame: int, offset: int, length: int) -> bytes:
 def bundle_pages(
     pages: DataFrame, path: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL
 ) -> DataFrame:
-    """Writes bundles to `path`, a new folder in the shared one by default, and returns their index.
+    """Writes bundles to `path`, a new folder in the shared one by default, where they stay, and returns their index.
 
     Columns: page_id, ordinal, record_id, bundle (file name), frame, offset and length within the
     decompressed frame, frame_start and frame_size in the file, body_crc (CRC-32 of the body).
     All is written when this returns; the index is the Parquet table `index` of the folder.
     """
     spark = pages.sparkSession
-    folder = path or scratch_path(spark, "warc")
+    folder = path or f"{shared_dir(spark)}/citeloom-warc/{uuid.uuid4().hex}"
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), text("url").alias("url"), text("html").alias("html"))
     total = pages.agg(F.sum(F.octet_length("html") + 300)).first()[0] or 0

@@ -98,6 +98,16 @@ def test_one_of_each_group(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 9, 11, 12]
 
 
+def test_very_long_texts(spark):
+    """Two texts of 20 MB, of which one has a tenth of its words changed, among short ones."""
+    words = [f"v{i % 70_001}x{i // 70_001}" for i in range(1_700_000)]
+    other = [w if i % 30 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "one two three four"), (4, "one two three four five")]
+    assert len(rows[0][1]) > 18_000_000
+    got = found(ngramjoin.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(got) == {(1, 2), (3, 4)} and 0.75 < got[1, 2][1] < 0.85
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a b c")]])
 def test_no_pairs(spark, rows):
     assert ngramjoin.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []

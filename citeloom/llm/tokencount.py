@@ -8,7 +8,7 @@ A pre-token that is itself an entry of the vocabulary is one piece; that needs n
 and no join, so those, which are the hot keys, are summed where they are read. What travels is,
 for each other pre-token of a batch of documents, one row with the list of documents it
 occurs in, as offsets from the batch's first doc_id: the corpus is cut into pre-tokens once. These rows
-are shuffled and sorted by pre-token, so that all of one lie together: its pieces are counted at the
+are shuffled by pre-token and sorted by its hash, so that all of one lie together: its pieces are counted at the
 first and joined to the rest as they pass. A pre-token makes one row a batch however often
 it occurs, so no key is hot there.
 
@@ -131,7 +131,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
         return pa.RecordBatch.from_arrays(arrays, names=["pretoken", "base", "near", "far", "single", "every"])
 
     rows = text.mapInArrow(trimmed(frequencies), "pretoken string, base long, near array<short>, far array<int>, single long, every long")
-    met = rows.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(trimmed(count), "base long, near array<short>, far array<int>, single long, every long, n int")
+    # in order of a hash, which sorts faster than strings and brings equal ones together as well
+    met = rows.repartition("pretoken").sortWithinPartitions(F.xxhash64("pretoken")).mapInArrow(trimmed(count), "base long, near array<short>, far array<int>, single long, every long, n int")
     each = met.select("base", F.explode(F.coalesce(F.col("near").cast("array<int>"), "far")).alias("o"), "n", "single", "every")
     doc = (F.col("base") + F.col("o")).alias("doc_id")
     return each.groupBy(doc).agg(F.sum("every").alias("n_pretokens"), (F.sum("n") + F.sum("single")).alias("n_tokens"))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 from citeloom.llm import htmltemplate as h
 
@@ -86,9 +88,107 @@ def test_layouts_of_one_host(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
-def old_pieces(page):
-    import re
+def parsed(html):
+    """(role, word or None) of each token of a page of plain tags."""
+    path, out = (), []
+    for t in re.findall(r"<[^>]+>|[^<\s]+", html):
+        if t.startswith("</"):
+            path = path[: len(path) - 1 - path[::-1].index(t[2:-1])]
+            out.append(((path, t), None))
+        elif t.startswith("<"):
+            out.append(((path, t), None))
+            path = (*path, t[1:-1])
+        else:
+            out.append(((path, t), t))
+    return out
+
+
+def occurrences(tokens, classes):
+    """(class, places of its roles) of each occurrence on a page, and the roles of each class in order of the page."""
+    of = {role: c for c, m in classes.items() for role in m}
+    where: dict[int, list[int]] = {}
+    for n, (role, _) in enumerate(tokens):
+        if role in of:
+            where.setdefault(of[role], []).append(n)
+    size = {c: len(m) for c, m in classes.items()}
+    return [(c, w[i : i + size[c]]) for c, w in where.items() for i in range(0, len(w), size[c])], {c: [tokens[n][0] for n in w] for c, w in where.items()}
+
+
+def innermost(found, place, but=None):
+    """The occurrence around a place: (class, its number, gap)."""
+    around = [(w[-1] - w[0], c, w) for c, w in found if w[0] < place < w[-1] and w is not but]
+    if not around:
+        return 0, 0, 0
+    _, c, w = min(around)
+    return c, [x for d, x in found if d == c].index(w), sum(n < place for n in w) - 1
+
+
+def brute_slots(rows, share, min_roles):
+    """All from the definitions, a host at a time, with full vectors and intervals in place of hashes and stacks."""
+    hosts: dict[str, list] = {}
+    for page, url, html in rows:
+        hosts.setdefault(url, []).append((page, parsed(html)))
+    slots: dict[tuple, set] = {}
+    for host, pages in hosts.items():
+        vectors: dict = {}
+        for n, (_, tokens) in enumerate(pages):
+            for role, _ in tokens:
+                vectors.setdefault(role, [0] * len(pages))[n] += 1
+        groups: dict[tuple, set] = {}
+        for role, v in vectors.items():
+            if sum(map(bool, v)) >= max(2, math.ceil(share * len(pages) - 1e-9)):
+                groups.setdefault(tuple(v), set()).add(role)
+        classes = dict(enumerate((m for m in groups.values() if len(m) >= min_roles), 1))
+        while True:
+            bad, order, parent = set(), {}, {}
+            for _, tokens in pages:
+                found, roles = occurrences(tokens, classes)
+                for c, rs in roles.items():
+                    k = len(classes[c])
+                    order.setdefault(c, set()).add(tuple(rs[:k]))
+                    if len(set(rs[:k])) < k or rs != rs[:k] * (len(rs) // k):
+                        bad.add(c)
+                found = [o for o in found if o[0] not in bad]
+                assert not any(a[0] < b[0] < a[-1] < b[-1] for _, a in found for _, b in found), "layouts of this test don't cross"
+                for c, w in found:
+                    d, _, gap = innermost(found, w[0], w)
+                    parent.setdefault(c, set()).add((d, gap))
+            bad |= {c for t in (order, parent) for c, x in t.items() if len(x) > 1}
+            if not bad:
+                break
+            classes = {c: m for c, m in classes.items() if c not in bad}
+        of = {role for m in classes.values() for role in m}
+        for page, tokens in pages:
+            found, _ = occurrences(tokens, classes)
+            held: dict[tuple, list[str]] = {}
+            for n, (role, word) in enumerate(tokens):
+                if role not in of and word:
+                    held.setdefault(innermost(found, n), []).append(word)
+            for (c, k, gap), words in held.items():
+                slots.setdefault((host, c), set()).add((page, k, gap, " ".join(words)))
+    return {(host, c == 0, frozenset(s)) for (host, c), s in slots.items()}
+
+
+def test_whole_by_brute_force(spark):
+    """Classes, validity, nesting and slots of nested layouts, lists in them, and words out of order."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(6000)}" for _ in range(n))
+    rows = []
+    for k in range(90):
+        host = f"http://h{k % 3}.example/"
+        items = "".join(f"<i> item no </i> {text(1)} <b> price </b> {text(2)} <s> unit </s>" for _ in range(rng.randrange(1, 4)))
+        swapped = ("up down over" if k % 2 else "over up down") if k % 7 else ""
+        special = f"<h2> kind </h2> {text(2)} <h3> special offer </h3>" if k % 4 == 0 else ""
+        nested = f"<em> note </em> {text(2)} <u> end of note </u>" if k % 5 else ""
+        rows.append((k, host, f"<html><body><div> Title of page : {text(3)} </div><span> {items} </span> {text(4)} <strong> {swapped} </strong><code> {special} </code><q> {nested} </q><p> Foot of page {text(1)} here </p></body></html>"))
+    got: dict[tuple, set] = {}
+    for r in h.extract_slots(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect():
+        got.setdefault((f"http://{r.host}/", r["class"]), set()).add((r.page_id, r.occurrence, r.gap, r.text))
+    want = brute_slots(rows, h.MIN_SUPPORT, h.MIN_ROLES)
+    assert {(host, c == 0, frozenset(x)) for (host, c), x in got.items()} == want and len(want) >= 9
 
+
+def old_pieces(page):
     form = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[A-Za-z/!?][^>]*>", re.S | re.I)
     return [(m.start(), m.end(), (m.group(1) or "").lower()) for m in form.finditer(page)]
 

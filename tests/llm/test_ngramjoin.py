@@ -100,7 +100,7 @@ def test_one_of_each_group(spark):
 
 def test_very_long_texts(spark):
     """Two texts of 20 MB, of which one has a tenth of its words changed, among short ones."""
-    words = [f"v{i % 70_001}x{i // 70_001}" for i in range(1_700_000)]
+    words = [f"v{i % 70_001}x{i // 70_001}" for i in range(2_100_000)]
     other = [w if i % 30 else "changed" for i, w in enumerate(words)]
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "one two three four"), (4, "one two three four five")]
     assert len(rows[0][1]) > 18_000_000

@@ -53,7 +53,7 @@ def test_against_brute_force(spark):
     rows += [(3, rows[5][1]), (1000, rows[5][1]), (1000, rows[5][1]), (1001, ""), (1002, None), (None, rows[5][1]), (1003, "a " * 300), (1004, "A, " * 200)]
     docs = spark.createDataFrame([(*r, 1, "h") for r in rows], "doc_id long, text string, pos int, hash string")
     want = brute([r for r in rows if r[0] is not None], 10)
-    for batches in (1, 5):
+    for batches in (3,):
         got = covered(substrings.repeated_passages(docs, 10, 6, batches, 2).collect())
         assert sum(map(len, want.values())) > 500 and got == want
 

@@ -34,7 +34,7 @@ taken whole; other columns are ignored; no documents or no items give no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import fresh, stored, text_column, trimmed
+from citeloom.llm.common import stored, text_column, trim, trimmed
 from citeloom.llm.words import gram_hashes, word_runs
 
 THRESHOLD = 0.5
@@ -329,21 +329,26 @@ def without_contaminated(
     part_words: int = PART_WORDS,
 ) -> DataFrame:
     """`docs`, all columns, without the rows in which any item is found."""
-    out, schema = docs, docs.schema
+    out = docs
     for number, indexes in enumerate(_index_parts(items, passage_words, part_words)):
-
-        def clean(batches: Iterator[pa.RecordBatch], indexes: list[Index] = indexes) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = np.zeros(batch.num_rows, bool)
-                hit[[r for r, *_ in _matches(batch.column(batch.num_columns - 1), indexes, threshold, share, gram)]] = True
-                yield batch.filter(pa.array(~hit)).select(range(batch.num_columns - 1))
-
         if number:
             out = stored(out, "clean")
-        out = out.withColumn(fresh(out, "__lower"), F.lower(text_column(out))).mapInArrow(trimmed(clean), schema)
+        # only the texts go to Python, and only whether they hold an item comes back
+        out = out.where(~F.arrow_udf(_holds(indexes, threshold, share, gram), "boolean")(F.lower(text_column(out))))
     return out
 
 
+def _holds(indexes: list[Index], threshold: float, share: float, gram: int) -> Callable:
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            hit = np.zeros(len(texts), bool)
+            hit[[r for r, *_ in _matches(texts, indexes, threshold, share, gram)]] = True
+            yield pa.array(hit)
+        trim()
+
+    return holds
+
+
 def oracle() -> str:
     """Exhaustive BM25 and overlaps in SQL, with the default parameters."""
     words = lambda x: f"list_filter(string_split_regex(lower({x}), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '')"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import trimmed
+from citeloom.llm.common import text_column, trim, trimmed
 
 MIN_REPEAT = 40
 MAX_COVERED = 0.5
@@ -188,11 +188,11 @@ def without_repetitive(
 ) -> DataFrame:
     """`docs`, all columns, without the rows that the rules reject."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = (repetition(t or "", min_repeat) for t in texts)
-            yield batch.filter(pa.array([covered <= max_covered * n and longest <= max_repeat for n, covered, longest, _ in found], pa.bool_()))
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = (repetition(t, min_repeat) for t in texts.to_pylist())
+            yield pa.array([covered <= max_covered * n and longest <= max_repeat for n, covered, longest, _ in found], pa.bool_())
+        trim()
 
-    at = docs.columns.index("text")
-    return docs.mapInArrow(trimmed(keep), docs.schema)
+    # only the texts go to Python, and only the decision comes back
+    return docs.where(F.arrow_udf(keep, "boolean")(text_column(docs)))

@@ -46,6 +46,16 @@ def trimmed_group(work: Callable) -> Callable:
     return run
 
 
+def trimmed_batches(work: Callable) -> Callable:
+    """`work` for applyInArrow with a key, a table to batches, with trim() after each group."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(key, pa.Table.from_batches(list(batches)))
+        trim()
+
+    return run
+
+
 def text_column(docs: DataFrame, name: str = "text"):
     """The column as a string, null as empty."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

@@ -1,5 +1,5 @@
-"""Operator 3: all pairs of documents whose sets of word n-grams have Jaccard at least t, by
-vertical partitioning.
+"""Operator 3: classes of documents that pairs with a Jaccard of at least t between their sets of
+word n-grams connect, and how many such pairs each is in, by vertical partitioning.
 
 The global order of n-grams is that of their hashes, cut into ranges, the fragments; each
 document's set falls into segments. What the fragments count separately is summed: first how
@@ -11,15 +11,20 @@ many n-grams of a document occur elsewhere at all, later the overlaps of pairs.
    only can be in no overlap and stop here; they still count in the sizes.
 2. The segments return to their documents. Since overlap >= t * size is needed, a document with
    fewer n-grams that occur elsewhere has no partner and stops here: most do.
-3. Documents of one and the same set are one for the join, and are expanded again at its end.
+3. Documents of one and the same set are one for the join, with their number as its weight.
 4. Prefix filter, rarest n-gram first: a pair must share one of each side's first
    size - ceil(t * size) + 1. N-grams that are in one document only come first in that order.
-   Pairs also need sizes within t of each other. Documents with an n-gram of many are dealt to
-   blocks, and each two blocks meet by themselves, so no n-gram is one task's.
+   Pairs also need sizes within t of each other. A group of near copies has pairs as the square of
+   its documents, so they are not listed: first each document of an n-gram is paired with the next
+   in size and with one that leads, and what holds connects most groups. Then only pairs from
+   different groups are candidates, all of them, which makes the classes exact. N-grams of many
+   documents are dealt to blocks there, and each two blocks meet by themselves.
 5. Candidate pairs and segments meet by cell and range of fragments, so that a segment travels
    once to each cell; partial overlaps are counted there and summed per pair. A component of the
    candidate graph is one cell, or, if it has many pairs, one for each two blocks of its
-   documents: the pairs of a cell stay about CELL_PAIRS, also where most documents are one group.
+   documents: the pairs of a cell stay about CELL_PAIRS.
+6. A pair's two documents are of one class, so links are counted class by class, all with all: small
+   classes together, each two blocks of a large one by themselves. Only the counts leave.
 
 No step is approximate but for the hashes: an n-gram is known by its fragment and 32 bits in
 it while a fragment has about FRAGMENT_GRAMS, so that a pair's count is off with a probability
@@ -41,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import TEXT_ROWS, fresh, small, stored, text_column, trimmed, trimmed_group
+from citeloom.llm.common import TEXT_ROWS, forget, fresh, small, stored, text_column, trimmed, trimmed_batches, trimmed_group
 from citeloom.llm.components import connected_components
 from citeloom.llm.words import distinct_grams, gram_hashes, mix, word_runs
 
@@ -54,6 +59,10 @@ PARTS = 4
 #: Documents that one n-gram brings together in one place, and pairs counted in one cell, about.
 HOT = 4096
 CELL_PAIRS = 100_000
+#: N-grams that a step takes at a time, candidate pairs that it holds, and documents of a block of a large class, about.
+STEP_GRAMS = 1_000_000
+HELD_PAIRS = 2_000_000
+BLOCK = 2048
 
 
 def _pack(a: np.ndarray, dtype) -> bytes:
@@ -176,65 +185,124 @@ def _survivors(threshold: float):
     return assemble
 
 
-def _prefixes(buckets: int, hot: int):
-    """The n-grams of documents' prefixes; those of many documents once for each two blocks of these.
-
-    side is 0 where all documents of a bucket meet, else 1 or 2, which only meet each other.
-    """
+def _prefixes(buckets: int):
+    """The n-grams of documents' prefixes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, size = (batch.column(k).to_numpy() for k in range(2))
-            ranks = [np.frombuffer(r, np.uint8) for r in batch.column(2).to_pylist()]
-            grams = [np.frombuffer(g, np.uint64)[: len(r)] for g, r in zip(batch.column(3).to_pylist(), ranks, strict=True)]
-            n = np.array([len(g) for g in grams], np.int64)
-            g, rank = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros(0, np.uint8), *ranks])
-            doc = np.repeat(np.arange(len(ids)), n)
-            blocks = np.maximum(1, np.ceil(2.0 ** ((rank + 1.0) / 8) / hot)).astype(np.int64)
-            own = (mix(ids.astype(np.uint64))[doc] % blocks.astype(np.uint64)).astype(np.int64)
-            row, other = np.repeat(np.arange(len(g)), blocks), _runs(blocks)
-            low, high = np.minimum(own[row], other), np.maximum(own[row], other)
-            side = np.where(low == high, 0, np.where(own[row] == low, 1, 2)).astype(np.int8)
-            cell = (low * blocks[row] + high).astype(np.uint64)
-            g = np.where(blocks[row] > 1, mix(g[row] + mix(cell + np.uint64(1))), g[row])
+            ids, size, group = (batch.column(k).to_numpy() for k in range(3))
+            n = np.array([len(r) for r in batch.column(3).to_pylist()], np.int64)
+            g = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(g, np.uint64, k) for g, k in zip(batch.column(4).to_pylist(), n, strict=True))])
             bucket = (mix(g) % np.uint64(buckets)).astype(np.int32)
-            columns = [bucket, g.view(np.int64), ids[doc[row]], size[doc[row]], side]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size", "side"])
+            columns = [bucket, g.view(np.int64), *(np.repeat(c, n) for c in (ids, size, group))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size", "group"])
 
     return emit
 
 
-def _candidates(threshold: float):
+def _lists(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values of sorted columns."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    start = np.flatnonzero(new)
+    return start, np.diff(np.concatenate([start, [n]]))
+
+
+def _leads(threshold: float):
+    """Of each n-gram's documents the pairs of each with the next in size, and with the one of least hash, which leads many n-grams."""
+
     def pair(key: tuple, table: pa.Table) -> pa.Table:
-        gram, doc, size, side = (table[c].to_numpy() for c in ("gram", "doc_id", "size", "side"))
+        gram, doc, size = (table[c].to_numpy() for c in ("gram", "doc_id", "size"))
         ids, doc = np.unique(doc, return_inverse=True)
+        by = mix(ids.astype(np.uint64))
+        order = np.lexsort((by[doc], size, gram))
+        gram, doc, size = gram[order], doc[order], size[order]
+        start, n = _lists(gram)
+        least = np.lexsort((by[doc], gram))[start] if len(gram) else start
         sizes = np.zeros(len(ids), np.int64)
         sizes[doc] = size
-        order = np.lexsort((doc, gram))
-        gram, doc, side = gram[order], doc[order], side[order]
-        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-        length = np.diff(np.concatenate([start, [len(gram)]]))
-        found, held = [], 0
-        for n in np.unique(length[length > 1]).tolist():
-            at = start[length == n]
-            # lists of one length go together, and a row of the triangle at a time, so that memory stays bounded
-            for i in range(n - 1):
-                others = (at[:, None] + np.arange(i + 1, n)).reshape(-1)
-                a, b = np.repeat(doc[at + i], n - 1 - i), doc[others]
-                meet = np.repeat(side[at + i], n - 1 - i)
-                ok = (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9) & ((meet == 0) | (meet != side[others]))
-                found.append((a * len(ids) + b)[ok])
-                held += len(found[-1])
-                if held > 4_000_000 + 2 * len(found[0]):
-                    found = [np.unique(np.concatenate(found))]
-                    held = len(found[0])
-        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        follows = np.flatnonzero(gram[1:] == gram[:-1])
+        x, y = np.concatenate([doc[follows], doc[np.repeat(least, n)]]), np.concatenate([doc[follows + 1], doc])
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        ok = (a != b) & (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        pairs = np.unique((a * len(ids) + b)[ok])
         a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
         return pa.Table.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     return pair
 
 
+def _meetings(buckets: int, hot: int):
+    """The postings of n-grams that documents of different groups have; those of many documents once for each two blocks of these.
+
+    side is 0 where all documents of a list meet, else 1 or 2, which only meet each other.
+    """
+
+    def emit(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, doc, size, group = (table[c].to_numpy() for c in ("gram", "doc_id", "size", "group"))
+        order = np.lexsort((group, gram))
+        gram, doc, size, group = gram[order], doc[order], size[order], group[order]
+        start, n = _lists(gram)
+        apart = group[start] != group[start + n - 1]
+
+        def batch(g: np.ndarray, at: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+            columns = [(mix(g) % np.uint64(buckets)).astype(np.int32), g.view(np.int64), doc[at], size[at], group[at], side]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size", "group", "side"])
+
+        plain = apart & (n <= hot)
+        at = np.repeat(start[plain], n[plain]) + _runs(n[plain])
+        yield batch(gram[at].view(np.uint64), at, np.zeros(len(at), np.int8))
+        for k in np.flatnonzero(apart & (n > hot)).tolist():
+            at = np.arange(start[k], start[k] + n[k])
+            blocks = -(-int(n[k]) // hot)
+            own = (mix(doc[at].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            for other in range(blocks):
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                side = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.int8)
+                yield batch(mix(gram[at].view(np.uint64) + mix((low * blocks + high).astype(np.uint64) + np.uint64(1))), at, side)
+
+    return emit
+
+
+def _candidates(threshold: float, held_pairs: int):
+    """The pairs of documents of different groups in each list, some at a time; a pair may come again in another part."""
+
+    def pair(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, doc, size, group, side = (table[c].to_numpy() for c in ("gram", "doc_id", "size", "group", "side"))
+        ids, doc = np.unique(doc, return_inverse=True)
+        order = np.lexsort((group, gram))
+        gram, doc, size, group, side = gram[order], doc[order], size[order], group[order], side[order]
+        start, n = _lists(gram)
+        own, k = _lists(gram, group)
+        # a posting meets those of its list that come after its group
+        after = np.repeat(own + k, k)
+        meets = np.repeat(start + n, n) - after
+        total = np.concatenate([[0], np.cumsum(meets)])
+        found, held, at = [], 0, 0
+
+        def batch(pairs: np.ndarray) -> pa.RecordBatch:
+            a, b = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        while at < len(gram):
+            end = max(at + 1, int(np.searchsorted(total, total[at] + held_pairs, side="right")) - 1)
+            row = np.repeat(np.arange(at, end), meets[at:end])
+            other = after[row] + _runs(meets[at:end])
+            ok = (np.minimum(size[row], size[other]) >= threshold * np.maximum(size[row], size[other]) - 1e-9) & ((side[row] == 0) | (side[row] != side[other]))
+            x, y = doc[row[ok]], doc[other[ok]]
+            found.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
+            held += len(found[-1])
+            if held > held_pairs:
+                yield batch(np.unique(np.concatenate(found)))
+                found, held = [], 0
+            at = end
+        yield batch(np.unique(np.concatenate([np.zeros(0, np.int64), *found])))
+
+    return pair
+
+
 def _cells(candidates: DataFrame, fragments: int, cell_pairs: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cells) of every document of a pair, and (cell, a, b) of every pair; both ends of a pair are in its cell."""
     nodes = stored(connected_components(candidates), "components")
@@ -285,7 +353,8 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
         ia, ib = (np.minimum(np.searchsorted(doc, x), len(doc) - 1) for x in (a, b))
         both = np.flatnonzero((doc[ia] == a) & (doc[ib] == b))
         union[both] = sizes[ia[both]] + sizes[ib[both]]
-        for part in np.array_split(both, max(1, len(both) // 4096)):
+        total = np.cumsum(n[ia[both]])
+        for part in np.split(both, np.searchsorted(total, np.arange(STEP_GRAMS, int(total[-1]) if len(total) else 0, STEP_GRAMS))):
             size = n[ia[part]]
             own = np.repeat(at[ia[part]], size) + _runs(size)
             want = np.repeat(ib[part], size) * span + local[own]
@@ -295,10 +364,111 @@ def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([right["a"], right["b"], pa.array(union), pa.array(out)], names=["a", "b", "sizes", "overlap"])
 
 
+def _block_cells(classes: DataFrame, step_grams: int, block: int) -> DataFrame:
+    """(component, blocks, cells) of classes (doc_id, component, n), n n-grams each: blocks of a class, and cells that the classes of one block share."""
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("n") / step_grams)).cast("int")
+    sizes = stored(sizes.withColumn("blocks", F.least(blocks, F.col("docs").cast("int"))), "class-sizes")
+    total = sizes.where("blocks = 1").agg(F.sum("n")).first()[0] or 0
+    return sizes.select("component", "blocks", F.lit(max(1, -(-total // step_grams))).alias("cells"))
+
+
+def _products(raw: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The overlaps of each of the documents `left` with each of `right`, numbers in `raw`, where their sorted n-grams are."""
+    docs = np.unique(np.concatenate([left, right]))
+    n = np.array([len(raw[k]) for k in docs], np.int64)
+    _, local, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(raw[k] for k in docs)]), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(docs)), n)
+    # an n-gram of one document is in no overlap
+    kept = df > 1
+    new = np.cumsum(kept) - 1
+    doc, local = doc[kept[local]], new[local[kept[local]]]
+    width, left, right = int(kept.sum()), np.searchsorted(docs, left), np.searchsorted(docs, right)
+    out = np.zeros((len(left), len(right)), np.float64)
+    if not width:
+        return out
+    df = df[kept].astype(np.float64)
+    if len(left) * len(right) * width / 100 <= (df * df).sum() + 100_000:
+        order = np.argsort(local, kind="stable")
+        doc, local = doc[order], local[order]
+        step = max(1, 4 * STEP_GRAMS // len(docs))
+        for low in range(0, width, step):
+            x, y = np.searchsorted(local, [low, low + step])
+            dense = np.zeros((len(docs), min(step, width - low)), np.float32)
+            dense[doc[x:y], local[x:y] - low] = 1
+            out += dense[left] @ dense[right].T
+        return out
+    place = np.full(len(docs), -1)
+    place[right] = np.arange(len(right))
+    there = place[doc] >= 0
+    order = np.argsort(local[there], kind="stable")
+    held = place[doc[there]][order]
+    at = np.searchsorted(local[there][order], np.arange(width + 1))
+    ends = np.searchsorted(doc, np.arange(len(docs) + 1))
+    for row, k in enumerate(left.tolist()):
+        mine = local[ends[k] : ends[k + 1]]
+        for part in np.array_split(mine, max(1, int((at[mine + 1] - at[mine]).sum()) // STEP_GRAMS)):
+            n = at[part + 1] - at[part]
+            out[row] += np.bincount(held[np.repeat(at[part], n) + _runs(n)], minlength=len(right))
+    return out
+
+
+def _within(threshold: float, pairs: bool):
+    """Of the classes, or of the two blocks of one, in a cell: the pairs at or above the threshold, or each document's number of them by weight."""
+
+    def count(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        component, doc, size, weight, block, low, high = (table[c].to_numpy() for c in ("component", "doc_id", "size", "weight", "block", "low", "high"))
+        raw = [np.sort(np.frombuffer(g, np.uint64)) for g in table["grams"].to_pylist()]
+        links = np.zeros(len(doc), np.int64)
+        order = np.lexsort((doc, high, low, component))
+        start, n = _lists(component[order], low[order], high[order])
+        for x, k in zip(start.tolist(), n.tolist(), strict=True):
+            at = order[x : x + k]
+            alone = low[at[0]] == high[at[0]]
+            left, right = (at, at) if alone else (at[block[at] == low[at]], at[block[at] == high[at]])
+            if not len(left) or not len(right):
+                continue
+            overlap = _products(raw, left, right)
+            union = size[left][:, None] + size[right][None, :] - overlap
+            hit = (overlap > 0) & (overlap >= threshold * union - 1e-9)
+            if alone:
+                np.fill_diagonal(hit, False)
+            if pairs:
+                a, b = np.nonzero(np.triu(hit) if alone else hit)
+                for i in range(0, len(a), STEP_GRAMS):
+                    p, q = a[i : i + STEP_GRAMS], b[i : i + STEP_GRAMS]
+                    u, v = doc[left[p]], doc[right[q]]
+                    columns = [np.minimum(u, v), np.maximum(u, v), overlap[p, q].astype(np.int64), union[p, q].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "overlap", "union"])
+            else:
+                links[left] += hit @ weight[right]
+                if not alone:
+                    links[right] += weight[left] @ hit
+        if not pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(links)], names=["doc_id", "links"])
+
+    return count
+
+
+def _counted(sole: DataFrame, nodes: DataFrame, same: DataFrame, threshold: float, pairs: bool) -> DataFrame:
+    """(a, b, overlap, union) of all pairs of distinct sets within the classes `nodes`, or (doc_id, links), the links of a set's other documents not counted."""
+    weights = stored(same.groupBy("first").agg((F.count(F.lit(1)) + 1).alias("weight")), "weights")
+    members = sole.join(small(nodes), F.col("doc_id") == F.col("node")).drop("node")
+    sizes = _block_cells(members.select("doc_id", "component", F.expr("length(grams) div 8").alias("n")), STEP_GRAMS, BLOCK)
+    members = members.join(small(weights), F.col("doc_id") == F.col("first"), "left").join(small(sizes), "component")
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.col("cells"))).otherwise(F.xxhash64("component", low, high))
+    placed = members.select(cell.alias("cell"), "component", "doc_id", "size", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"), "block", low.alias("low"), high.alias("high"), "grams")
+    schema = "a long, b long, overlap long, union long" if pairs else "doc_id long, links long"
+    return placed.groupBy("cell").applyInArrow(trimmed_batches(_within(threshold, pairs)), schema)
+
+
 def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
     """(doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b, of all pairs of documents at or above the threshold.
 
-    The rows grow as the square of the copies; near_sets has them in compressed form.
+    The rows grow as the square of the copies; near_classes has a row for each document.
     """
     near, same = _near_and_same(docs, n, threshold, fragment_grams)
     near = stored(near, "near-sets")
@@ -319,8 +489,33 @@ def near_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragmen
     return near.union(same.select("first", "doc_id", F.col("size"), F.lit(1.0)))
 
 
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, fragment_grams: int = FRAGMENT_GRAMS) -> DataFrame:
+    """(doc_id, class_id, links) of every document: the least doc_id that near pairs connect it with, and how many near pairs it is in.
+
+    Copies count each in the links. A document without a partner is a class by itself, with no links.
+    """
+    text, sole, same, fragments = _sets(docs, n, threshold, fragment_grams)
+    nodes = _classes(sole, fragments, threshold)
+    links = stored(_counted(sole, nodes, same, threshold, False).groupBy("doc_id").agg(F.sum("links").alias("links")), "links")
+    copies = same.groupBy("first").agg(F.count(F.lit(1)).alias("copies"))
+    sets = nodes.withColumnRenamed("node", "first").join(copies, "first", "full").join(links.withColumnRenamed("doc_id", "first"), "first", "left")
+    none = F.lit(0).cast("long")
+    sets = stored(sets.select("first", F.coalesce("component", "first").alias("class_id"), (F.coalesce("copies", none) + F.coalesce("links", none)).alias("links")), "linked-sets")
+    others = same.select("doc_id", "first").join(small(sets), "first").select("doc_id", "class_id", "links")
+    known = stored(sets.withColumnRenamed("first", "doc_id").union(others), "linked")
+    return text.select("doc_id").join(small(known), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", none).alias("links"))
+
+
 def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of distinct sets, each stood for by its least doc_id, and (doc_id, size, first) of the other documents of a set."""
+    _, sole, same, fragments = _sets(docs, n, threshold, fragment_grams)
+    near = _counted(sole, _classes(sole, fragments, threshold), same, threshold, True)
+    jaccard = F.round(F.col("overlap") / F.col("union"), 6)
+    return near.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "overlap", jaccard.alias("jaccard")), same
+
+
+def _sets(docs: DataFrame, n: int, threshold: float, fragment_grams: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(doc_id, text) of the documents; the distinct sets that can have a partner, each by its least doc_id; (doc_id, size, first) of the other documents of a set; fragments."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     text = _one_row_each(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_column(docs)).alias("text")))
@@ -335,20 +530,39 @@ def _near_and_same(docs: DataFrame, n: int, threshold: float, fragment_grams: in
     same = alive.where("h1 is not null").select("doc_id", "size", "h1", "h2").join(small(stored(sets, "sets")), ["size", "h1", "h2"]).where("first < doc_id")
     same = stored(same.select("doc_id", "size", "first"), "same-sets")
     sole = alive.join(small(same.select("doc_id")), "doc_id", "left_anti")
-    buckets = max(1, math.ceil(chars / 6 / fragment_grams / 2))
-    postings = sole.select("doc_id", "size", "ranks", "grams").mapInArrow(trimmed(_prefixes(buckets, HOT)), "bucket int, gram long, doc_id long, size long, side byte")
-    candidates = postings.groupBy("bucket").applyInArrow(trimmed_group(_candidates(threshold)), "a long, b long").distinct()
-    candidates = stored(candidates, "candidates", TEXT_ROWS)
+    return text, sole, same, fragments
+
+
+def _classes(sole: DataFrame, fragments: int, threshold: float) -> DataFrame:
+    """(node, component) of the sets that have a near one: the least doc_id that near pairs connect them with."""
+    buckets = 2 * fragments
+    postings = "bucket int, gram long, doc_id long, size long, group long"
+
+    def listed(sets: DataFrame, group: str) -> DataFrame:
+        return sets.select("doc_id", "size", F.col(group).alias("group"), "ranks", "grams").mapInArrow(trimmed(_prefixes(buckets)), postings).groupBy("bucket")
+
+    leads = stored(listed(sole, "doc_id").applyInArrow(trimmed_group(_leads(threshold)), "a long, b long").distinct(), "leads", TEXT_ROWS)
+    near = stored(_verified(sole, leads, fragments, threshold), "near-leads")
+    forget(leads)
+    groups = stored(connected_components(near), "groups")
+    grouped = sole.join(small(groups), F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    met = listed(grouped, "component").applyInArrow(trimmed_batches(_meetings(buckets, HOT)), postings + ", side byte")
+    between = met.groupBy("bucket").applyInArrow(trimmed_batches(_candidates(threshold, HELD_PAIRS)), "a long, b long").distinct()
+    between = stored(between, "candidates", TEXT_ROWS)
+    more = stored(_verified(sole, between, fragments, threshold), "near-groups")
+    forget(between)
+    return stored(connected_components(groups.select("node", "component").union(more)), "classes")
+
 
+def _verified(sole: DataFrame, candidates: DataFrame, fragments: int, threshold: float) -> DataFrame:
+    """(a, b) of the candidates at or above the threshold."""
     cells, wanted = _cells(candidates, fragments, CELL_PAIRS)
     placed = sole.join(small(cells), "doc_id").select("cells", "doc_id", "size", "grams")
     placed = placed.mapInArrow(trimmed(_split(fragments, PARTS)), "cell int, part int, doc_id long, size long, grams binary")
     wanted = wanted.select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "a", "b")
     partial = placed.groupBy("cell", "part").cogroup(wanted.groupBy("cell", "part")).applyInArrow(trimmed_group(_overlaps), "a long, b long, sizes long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("sizes").alias("sizes"))
-    union = F.col("sizes") - F.col("overlap")
-    near = summed.where(F.col("overlap") >= threshold * union - 1e-9).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "overlap", F.round(F.col("overlap") / union, 6).alias("jaccard"))
-    return near, same
+    return summed.where(F.col("overlap") >= threshold * (F.col("sizes") - F.col("overlap")) - 1e-9).select("a", "b")
 
 
 def _one_row_each(text: DataFrame) -> DataFrame:
@@ -362,19 +576,26 @@ def _one_row_each(text: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with only the least doc_id of each group that near pairs connect. Rows of null doc_id stay."""
-    groups = connected_components(near_sets(docs, n, threshold))
+    _, sole, same, fragments = _sets(docs, n, threshold, FRAGMENT_GRAMS)
     node = fresh(docs, "__node")
-    gone = stored(groups.where("node > component").select(F.col("node").alias(node)), "near-duplicates")
+    # the other documents of a set are never the least of their group
+    gone = _classes(sole, fragments, threshold).where("node > component").select(F.col("node").alias(node))
+    gone = stored(gone.union(same.select("doc_id")), "near-duplicates")
     return docs.join(small(gone), F.col("doc_id") == F.col(node), "left_anti")
 
 
 def oracle(n: int = N, threshold: float = THRESHOLD) -> str:
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     return f"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT doc_id, CASE WHEN len(w) >= {n} THEN list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}))) ELSE [array_to_string(w, ' ')] END AS s FROM t WHERE len(w) > 0),
 r AS (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS f FROM g),
 x AS (SELECT doc_id, n, unnest(s) AS k FROM r WHERE f = doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS m, count(*) AS o FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT least(u.doc_id, v.doc_id) AS doc_id_a, greatest(u.doc_id, v.doc_id) AS doc_id_b, o AS overlap, round(o / (m - o), 6) AS jaccard FROM p JOIN r u ON u.f = a JOIN r v ON v.f = b WHERE o >= {threshold} * (m - o)
-UNION ALL SELECT u.doc_id, v.doc_id, u.n, 1.0 FROM r u JOIN r v ON u.f = v.f AND u.doc_id < v.doc_id"""
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS m, count(*) AS o FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE o >= {threshold} * (m - o)),
+c AS (SELECT doc_id AS node, doc_id AS label FROM r WHERE f = doc_id UNION SELECT b, label FROM c JOIN e ON node = a),
+m AS (SELECT node, min(label) AS class_id FROM c GROUP BY node),
+v AS (SELECT f, count(*) AS k FROM r GROUP BY f),
+l AS (SELECT a AS f, sum(k) AS links FROM e JOIN v ON b = f GROUP BY a)
+SELECT t.doc_id, coalesce(class_id, t.doc_id) AS class_id, CAST(coalesce(v.k - 1, 0) + coalesce(links, 0) AS BIGINT) AS links
+FROM t LEFT JOIN r ON r.doc_id = t.doc_id LEFT JOIN m ON node = r.f LEFT JOIN v ON v.f = r.f LEFT JOIN l ON l.f = r.f"""

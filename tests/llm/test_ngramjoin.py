@@ -132,3 +132,77 @@ def test_components(spark, monkeypatch):
         monkeypatch.setattr(components, "ONE_TASK", limit)
         got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
         assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def classes(rows, n, t):
+    """{doc_id: (class, links)} by brute force over all pairs."""
+    pairs = brute(rows, n, t)
+    label = {d: d for d, _ in rows if d is not None}
+    links = dict.fromkeys(label, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    while True:
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return {d: (label[d], links[d]) for d in label}
+
+
+def classed(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert df.columns == ["doc_id", "class_id", "links"] and len({r[0] for r in rows}) == len(rows)
+    return {d: (c, k) for d, c, k in rows}
+
+
+def test_classes_and_links_against_brute_force(spark, monkeypatch):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join(rng.choices(words[:40], k=rng.randrange(0, 12)))) for d in range(60)]
+    for d in range(60, 260):  # copies of copies, so that classes are chains as well as heaps
+        w = rng.choice(rows)[1].split()
+        w[rng.randrange(len(w) + 1) : rng.randrange(len(w) + 1)] = rng.choices(words, k=rng.randrange(0, 3))
+        rows.append((d * 7, " ".join(w)))
+    rows += [(9999, None), (9998, ""), (None, rows[3][1]), rows[4], (rows[70][0], rows[71][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for t in (0.5, 0.7, 1.0):
+        want = classes(rows, 2, t)
+        assert classed(ngramjoin.near_classes(docs, 2, t)) == want and max(k for _, k in want.values()) > 1
+    for name, value in (("HOT", 5), ("CELL_PAIRS", 50), ("BLOCK", 4), ("STEP_GRAMS", 60), ("HELD_PAIRS", 30)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    assert classed(ngramjoin.near_classes(docs, 2, 0.5, 300)) == classes(rows, 2, 0.5)
+
+
+def test_rows_and_candidates_grow_with_documents(spark, monkeypatch):
+    """A heap of near copies has pairs as its square: neither the result nor the candidates do."""
+    rng = random.Random(8)
+    listed = []
+    verified = ngramjoin._verified
+    monkeypatch.setattr(ngramjoin, "_verified", lambda sole, candidates, *rest: listed.append(candidates.count()) or verified(sole, candidates, *rest))
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for d in range(600):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(90)] = f"u{rng.randrange(40)}"
+        rows.append((d, " ".join(w)))
+    got = classed(ngramjoin.near_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = classes(rows, 3, 0.5)
+    assert got == want and sum(k for _, k in want.values()) > 100_000
+    assert sum(listed) < 60 * len(rows)
+
+
+@pytest.mark.parametrize("shape", [(3, 200), (40, 60), (120, 3000)])
+def test_products(shape, monkeypatch):
+    """Dense and by lists, whole and in steps, the overlaps are those of sets."""
+    import numpy as np
+
+    rng = random.Random(sum(shape))
+    raw = [np.array(sorted(rng.sample(range(shape[1]), rng.randrange(0, 60))), np.uint64) for _ in range(shape[0])]
+    everything, some = np.arange(len(raw)), np.arange(0, len(raw), 2)
+    for step in (1_000_000, 30):
+        monkeypatch.setattr(ngramjoin, "STEP_GRAMS", step)
+        for left, right in ((everything, everything), (some, np.setdiff1d(everything, some))):
+            want = [[len(set(raw[a].tolist()) & set(raw[b].tolist())) for b in right] for a in left]
+            assert ngramjoin._products(raw, left, right).tolist() == want

@@ -207,3 +207,16 @@ def test_products(shape, monkeypatch):
             want = np.array([[len(set(raw[a].tolist()) & set(raw[b].tolist())) for b in right] for a in left])
             apart = left[:, None] != right[None, :]
             assert (ngramjoin._products(raw, left, right)[apart] == want[apart]).all()
+
+
+def test_candidates_come_in_parts():
+    """All pairs between groups, none within one, and never more than a bound at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 400
+    group = np.where(np.arange(n) < 300, 0, np.arange(n))
+    columns = {"gram": np.repeat([5, 6], n), "doc_id": np.tile(np.arange(n), 2), "size": np.full(2 * n, 9), "group": np.tile(group, 2), "side": np.zeros(2 * n, np.int8)}
+    parts = [list(zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)) for b in ngramjoin._candidates(0.5, 1000)((), pa.table(columns))]
+    want = {(a, b) for a in range(n) for b in range(max(a + 1, 300), n)}
+    assert {p for part in parts for p in part} == want and max(map(len, parts)) <= 2000 and len(want) == 34_950

@@ -56,12 +56,13 @@ FRAGMENT_GRAMS = 2_000_000
 SLICE_RUNS = 8
 #: Ranges of fragments whose overlaps are counted apart.
 PARTS = 4
-#: Documents that one n-gram brings together in one place, and pairs counted in one cell, about.
+#: Documents that one n-gram brings together in one place, and pairs and documents of one cell, about.
 HOT = 4096
 CELL_PAIRS = 100_000
+CELL_DOCUMENTS = 10_000
 #: N-grams that a step takes at a time, candidate pairs that it holds, and documents of a block of a large class, about.
 STEP_GRAMS = 1_000_000
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 BLOCK = 2048
 
 
@@ -280,23 +281,25 @@ def _candidates(threshold: float, held_pairs: int):
         after = np.repeat(own + k, k)
         meets = np.repeat(start + n, n) - after
         total = np.concatenate([[0], np.cumsum(meets)])
-        found, held, at = [], 0, 0
+        found, held, at, step = [], 0, 0, max(1, held_pairs // 4)
 
         def batch(pairs: np.ndarray) -> pa.RecordBatch:
             a, b = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         while at < len(gram):
-            end = max(at + 1, int(np.searchsorted(total, total[at] + held_pairs, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(total, total[at] + step, side="right")) - 1)
             row = np.repeat(np.arange(at, end), meets[at:end])
             other = after[row] + _runs(meets[at:end])
             ok = (np.minimum(size[row], size[other]) >= threshold * np.maximum(size[row], size[other]) - 1e-9) & ((side[row] == 0) | (side[row] != side[other]))
             x, y = doc[row[ok]], doc[other[ok]]
+            del row, other, ok
             found.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
             held += len(found[-1])
             if held > held_pairs:
-                yield batch(np.unique(np.concatenate(found)))
-                found, held = [], 0
+                found = [np.unique(np.concatenate(found))]
+                yield batch(found.pop())
+                held = 0
             at = end
         yield batch(np.unique(np.concatenate([np.zeros(0, np.int64), *found])))
 
@@ -309,7 +312,7 @@ def _cells(candidates: DataFrame, fragments: int, cell_pairs: int) -> tuple[Data
     sizes = candidates.join(small(nodes), F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
     sizes = stored(sizes.select("component", F.ceil(F.sqrt(F.col("pairs") / cell_pairs)).cast("int").alias("blocks"), "pairs"), "component-sizes")
     total = sizes.agg(F.sum("pairs")).first()[0] or 0
-    cells = max(fragments, 2 * -(-total // cell_pairs))
+    cells = max(fragments, 2 * -(-total // cell_pairs), -(-nodes.count() // CELL_DOCUMENTS))
     block = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.col("blocks")).cast("int")
     cell = lambda x, y: F.pmod(F.xxhash64("component", F.least(x, y), F.greatest(x, y)), F.lit(cells)).cast("int")
     nodes = stored(nodes.join(small(sizes.select("component", "blocks")), "component").withColumn("block", block(F.col("node"))), "blocks")
@@ -337,27 +340,33 @@ def _split(fragments: int, parts: int):
 
 
 def _overlaps(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Partial overlaps of pairs (right) from segments (left) of one cell and part."""
-    doc, raw, sizes = left["doc_id"].to_numpy(), left["grams"].to_pylist(), left["size"].to_numpy()
+    """Partial overlaps of pairs (right) from segments (left) of one cell and part, whose n-grams are sorted."""
+    doc, sizes, raw = left["doc_id"].to_numpy(), left["size"].to_numpy(), left["grams"].combine_chunks().cast(pa.large_binary())
     order = np.argsort(doc)
-    doc, sizes = doc[order], sizes[order]
-    grams = [np.frombuffer(raw[k], np.uint64) for k in order]
-    n = np.array([len(g) for g in grams], np.int64)
-    _, local = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
-    span = int(local.max()) + 1 if len(local) else 1
-    key = np.repeat(np.arange(len(doc)), n) * span + local  # sorted: by document, then n-gram
-    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    at = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset) // 8 if len(raw) else np.zeros(1, np.int64)
+    n = np.diff(at)
+    grams = np.frombuffer(raw.buffers()[2], np.uint64, at[-1]) if at[-1] else np.zeros(0, np.uint64)
+    grams, at = grams[at[0] :], at - at[0]
+    base = grams.min() if len(grams) else np.uint64(0)
+    span = int(grams.max() - base) + 1 if len(grams) else 1
+    if span * max(1, len(doc)) < 1 << 64:
+        key = grams - base
+    else:  # a wide range: numbers of n-grams
+        key = np.unique(grams, return_inverse=True)[1].astype(np.uint64)
+        span = int(key.max()) + 1
+    place = np.arange(len(doc), dtype=np.uint64) * np.uint64(span)
+    key += np.repeat(place, n)  # sorted: by row, then n-gram
     a, b = right["a"].to_numpy(), right["b"].to_numpy()
     out, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     if len(doc):
-        ia, ib = (np.minimum(np.searchsorted(doc, x), len(doc) - 1) for x in (a, b))
+        ia, ib = (order[np.minimum(np.searchsorted(doc, x, sorter=order), len(doc) - 1)] for x in (a, b))
         both = np.flatnonzero((doc[ia] == a) & (doc[ib] == b))
         union[both] = sizes[ia[both]] + sizes[ib[both]]
         total = np.cumsum(n[ia[both]])
         for part in np.split(both, np.searchsorted(total, np.arange(STEP_GRAMS, int(total[-1]) if len(total) else 0, STEP_GRAMS))):
             size = n[ia[part]]
-            own = np.repeat(at[ia[part]], size) + _runs(size)
-            want = np.repeat(ib[part], size) * span + local[own]
+            want = key[np.repeat(at[ia[part]], size) + _runs(size)]
+            want += np.repeat(place[ib[part]] - place[ia[part]], size)
             where = np.minimum(np.searchsorted(key, want), len(key) - 1)
             hit = key[where] == want
             out[part] = np.bincount(np.repeat(np.arange(len(part)), size)[hit], minlength=len(part))
@@ -377,27 +386,32 @@ def _products(raw: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     """The overlaps of each of the documents `left` with each of `right`, numbers in `raw`, where their sorted n-grams are."""
     docs = np.unique(np.concatenate([left, right]))
     n = np.array([len(raw[k]) for k in docs], np.int64)
-    _, local, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(raw[k] for k in docs)]), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(docs)), n)
+    grams = np.concatenate([np.zeros(0, np.uint64), *(raw[k] for k in docs)])
+    order = np.argsort(grams, kind="stable")
+    grams, doc = grams[order], np.repeat(np.arange(len(docs), dtype=np.int32), n)[order]
+    del order
+    start, df = _lists(grams)
+    del grams
     # an n-gram of one document is in no overlap
     kept = df > 1
-    new = np.cumsum(kept) - 1
-    doc, local = doc[kept[local]], new[local[kept[local]]]
-    width, left, right = int(kept.sum()), np.searchsorted(docs, left), np.searchsorted(docs, right)
+    doc, df = doc[np.repeat(kept, df)], df[kept]
+    width, left, right = len(df), np.searchsorted(docs, left), np.searchsorted(docs, right)
+    local = np.repeat(np.arange(width, dtype=np.int32), df)  # sorted; by document within one n-gram
     out = np.zeros((len(left), len(right)), np.float64)
     if not width:
         return out
-    df = df[kept].astype(np.float64)
+    df = df.astype(np.float64)
     if len(left) * len(right) * width / 100 <= (df * df).sum() + 100_000:
-        order = np.argsort(local, kind="stable")
-        doc, local = doc[order], local[order]
         step = max(1, 4 * STEP_GRAMS // len(docs))
         for low in range(0, width, step):
             x, y = np.searchsorted(local, [low, low + step])
             dense = np.zeros((len(docs), min(step, width - low)), np.float32)
             dense[doc[x:y], local[x:y] - low] = 1
-            out += dense[left] @ dense[right].T
+            for x in range(0, len(left), 256):
+                out[x : x + 256] += dense[left[x : x + 256]] @ dense[right].T
         return out
+    order = np.argsort(doc, kind="stable")
+    doc, local = doc[order], local[order]
     place = np.full(len(docs), -1)
     place[right] = np.arange(len(right))
     there = place[doc] >= 0
@@ -429,8 +443,12 @@ def _within(threshold: float, pairs: bool):
             if not len(left) or not len(right):
                 continue
             overlap = _products(raw, left, right)
-            union = size[left][:, None] + size[right][None, :] - overlap
-            hit = (overlap > 0) & (overlap >= threshold * union - 1e-9)
+            hit = np.zeros(overlap.shape, bool)
+            step = max(1, STEP_GRAMS // 4 // len(right))
+            for i in range(0, len(left), step):
+                part = overlap[i : i + step]
+                union = size[left[i : i + step]][:, None] + size[right][None, :] - part
+                hit[i : i + step] = (part > 0) & (part >= threshold * union - 1e-9)
             if alone:
                 np.fill_diagonal(hit, False)
             if pairs:
@@ -438,12 +456,14 @@ def _within(threshold: float, pairs: bool):
                 for i in range(0, len(a), STEP_GRAMS):
                     p, q = a[i : i + STEP_GRAMS], b[i : i + STEP_GRAMS]
                     u, v = doc[left[p]], doc[right[q]]
-                    columns = [np.minimum(u, v), np.maximum(u, v), overlap[p, q].astype(np.int64), union[p, q].astype(np.int64)]
+                    both = overlap[p, q].astype(np.int64)
+                    columns = [np.minimum(u, v), np.maximum(u, v), both, size[left[p]] + size[right[q]] - both]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "overlap", "union"])
             else:
-                links[left] += hit @ weight[right]
-                if not alone:
-                    links[right] += weight[left] @ hit
+                for i in range(0, len(left), step):
+                    links[left[i : i + step]] += hit[i : i + step] @ weight[right]
+                    if not alone:
+                        links[right] += weight[left[i : i + step]] @ hit[i : i + step]
         if not pairs:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(links)], names=["doc_id", "links"])
 

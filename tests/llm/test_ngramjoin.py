@@ -220,3 +220,71 @@ def test_candidates_come_in_parts():
     parts = [list(zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)) for b in ngramjoin._candidates(0.5, 1000)((), pa.table(columns))]
     want = {(a, b) for a in range(n) for b in range(max(a + 1, 300), n)}
     assert {p for part in parts for p in part} == want and max(map(len, parts)) <= 2000 and len(want) == 34_950
+
+
+def test_memory_of_a_task_is_bounded():
+    """Two tasks share with their executor's JVM what it has: a group's work may not take some hundred megabytes."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    def candidates():
+        n, grams = 3000, 4
+        ids = np.tile(np.arange(n), grams)
+        table = pa.table({"gram": np.repeat(np.arange(grams), n), "doc_id": ids, "size": np.full(n * grams, 9), "group": ids, "side": np.zeros(n * grams, np.int8)})
+        for _ in ngramjoin._candidates(0.5, ngramjoin.HELD_PAIRS)((), table):
+            pass
+
+    docs = 20_000
+    raw = [np.unique(rng.integers(7 << 36, 8 << 36, 130)).astype(np.uint64) for _ in range(docs)]
+    left = pa.table({"doc_id": rng.permutation(docs), "size": [2 * len(g) for g in raw], "grams": [g.tobytes() for g in raw]})
+    right = pa.table({"a": np.arange(docs // 2), "b": np.arange(docs // 2, docs)})
+    edges = [rng.integers(0, 1_500_000, (2, 10_000)) for _ in range(200)]
+    forest = [pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"]) for u, v in edges]
+    assert peak(candidates) < 120
+    assert peak(lambda: ngramjoin._overlaps(left, right)) < 130
+    assert peak(lambda: list(components._contract(iter(forest)))) < 220
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_overlaps_against_sets(wide, monkeypatch):
+    """Rows in any order and of any chunks, absent documents, no n-grams in a part, and a range of n-grams too wide to be a key."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, (1 << 63) if wide else 90, 90).astype(np.uint64) * np.uint64(2 if wide else 1)
+    sets = {int(d): np.unique(rng.choice(values, rng.integers(0, 40))) if d % 7 else values[:0] for d in rng.permutation(60)}
+    rows = {"doc_id": list(sets), "size": [len(g) + d for d, g in sets.items()], "grams": [g.tobytes() for g in sets.values()]}
+    left = pa.concat_tables([pa.table(rows).slice(0, 23), pa.table(rows).slice(23)])
+    pairs = [(a, b) for a in range(0, 64, 3) for b in range(64) if a != b]
+    right = pa.table({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]})
+    both = [a in sets and b in sets for a, b in pairs]
+    want = [(len(np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b]) + a + b) if ok else (0, 0) for ok, (a, b) in zip(both, pairs, strict=True)]
+    for step in (1_000_000, 50):
+        monkeypatch.setattr(ngramjoin, "STEP_GRAMS", step)
+        got = ngramjoin._overlaps(left, right)
+        assert list(zip(got["overlap"].to_pylist(), got["sizes"].to_pylist(), strict=True)) == want
+    assert ngramjoin._overlaps(left.slice(0, 0), right)["overlap"].to_pylist() == [0] * len(pairs)
+
+
+def test_forests_meet_in_between(spark, monkeypatch):
+    """More edges than one task takes, in many parts over few nodes: forests of forests, and then one task."""
+    rng = random.Random(9)
+    edges = [(rng.randrange(40) * 5 + k, rng.randrange(40) * 5 + k) for k in range(5) for _ in range(400)]
+    pairs = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    monkeypatch.setattr(components, "ONE_TASK", 450)
+    monkeypatch.setattr(components, "_star", None)
+    want = {x: x % 5 + 5 * min(e[0] // 5 for p in edges if p[0] % 5 == x % 5 for e in [(min(p),)] if p[0] != p[1]) for p in edges if p[0] != p[1] for x in p}
+    assert {r.node: r.component for r in connected_components(pairs).collect()} == want

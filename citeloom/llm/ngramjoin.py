@@ -63,6 +63,8 @@ CELL_DOCUMENTS = 10_000
 #: N-grams that a step takes at a time, candidate pairs that it holds, and documents of a block of a large class, about.
 STEP_GRAMS = 1_000_000
 HELD_PAIRS = 1_000_000
+#: Rows that a batch from Python to the JVM has at most, which holds it outside its heap.
+SENT_ROWS = 65_536
 BLOCK = 2048
 
 
@@ -186,6 +188,12 @@ def _survivors(threshold: float):
     return assemble
 
 
+def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """`batch` in parts of SENT_ROWS, one at least."""
+    for k in range(0, max(1, batch.num_rows), SENT_ROWS):
+        yield batch.slice(k, SENT_ROWS)
+
+
 def _prefixes(buckets: int):
     """The n-grams of documents' prefixes."""
 
@@ -196,7 +204,7 @@ def _prefixes(buckets: int):
             g = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(g, np.uint64, k) for g, k in zip(batch.column(4).to_pylist(), n, strict=True))])
             bucket = (mix(g) % np.uint64(buckets)).astype(np.int32)
             columns = [bucket, g.view(np.int64), *(np.repeat(c, n) for c in (ids, size, group))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size", "group"])
+            yield from _sent(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "gram", "doc_id", "size", "group"]))
 
     return emit
 
@@ -254,7 +262,7 @@ def _meetings(buckets: int, hot: int):
 
         plain = apart & (n <= hot)
         at = np.repeat(start[plain], n[plain]) + _runs(n[plain])
-        yield batch(gram[at].view(np.uint64), at, np.zeros(len(at), np.int8))
+        yield from _sent(batch(gram[at].view(np.uint64), at, np.zeros(len(at), np.int8)))
         for k in np.flatnonzero(apart & (n > hot)).tolist():
             at = np.arange(start[k], start[k] + n[k])
             blocks = -(-int(n[k]) // hot)
@@ -262,7 +270,7 @@ def _meetings(buckets: int, hot: int):
             for other in range(blocks):
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 side = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.int8)
-                yield batch(mix(gram[at].view(np.uint64) + mix((low * blocks + high).astype(np.uint64) + np.uint64(1))), at, side)
+                yield from _sent(batch(mix(gram[at].view(np.uint64) + mix((low * blocks + high).astype(np.uint64) + np.uint64(1))), at, side))
 
     return emit
 
@@ -298,10 +306,10 @@ def _candidates(threshold: float, held_pairs: int):
             held += len(found[-1])
             if held > held_pairs:
                 found = [np.unique(np.concatenate(found))]
-                yield batch(found.pop())
+                yield from _sent(batch(found.pop()))
                 held = 0
             at = end
-        yield batch(np.unique(np.concatenate([np.zeros(0, np.int64), *found])))
+        yield from _sent(batch(np.unique(np.concatenate([np.zeros(0, np.int64), *found]))))
 
     return pair
 

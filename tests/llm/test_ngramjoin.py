@@ -288,3 +288,16 @@ def test_forests_meet_in_between(spark, monkeypatch):
     monkeypatch.setattr(components, "_star", None)
     want = {x: x % 5 + 5 * min(e[0] // 5 for p in edges if p[0] % 5 == x % 5 for e in [(min(p),)] if p[0] != p[1]) for p in edges if p[0] != p[1] for x in p}
     assert {r.node: r.component for r in connected_components(pairs).collect()} == want
+
+
+def test_batches_to_the_jvm_are_small():
+    """The postings of a bucket, and of n-grams of many documents, go in parts, with every row."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, grams = 7000, 30
+    ids = np.tile(np.arange(n), grams)
+    table = pa.table({"gram": np.repeat(np.arange(grams), n), "doc_id": ids, "size": np.full(n * grams, 9), "group": ids})
+    for hot, copies in ((n, 1), (n // 2, 2)):
+        rows = [b.num_rows for b in ngramjoin._meetings(5, hot)((), table)]
+        assert sum(rows) == copies * n * grams and max(rows) <= 65_536

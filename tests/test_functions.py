@@ -97,3 +97,20 @@ def test_kinds(spark):
     assert column(spark, "Olaf Ronneberger, Philipp Fischer, and Thomas Brox. A title of a certain length. In MICCAI, 2015.", classify.guess_title_col) == "A title of a certain length"
     plausible = lambda c, d: spark.range(1).select(classify.type_is_plausible(F.lit(c), F.lit(d)).alias("r")).first().r
     assert [plausible(*x) for x in [("dissertation", "x"), ("book-chapter", "x"), ("proceedings-article", "x"), ("dissertation", "phd thesis"), (None, "x")]] == [False, False, True, True, True]
+
+
+def test_ratios_below_a_bound_are_nought(spark):
+    """Characters alone rule out most pairs; those at the bound and above keep their ratio."""
+    import random
+
+    import pandas as pd
+
+    from citeloom.functions.similarity import _ratios, ratio
+
+    rng = random.Random(2)
+    pairs = [("".join(rng.choices("abc é", k=rng.randrange(0, 12))), "".join(rng.choices("abc ü", k=rng.randrange(0, 12)))) for _ in range(3000)]
+    a, b = (pd.Series(x) for x in zip(*pairs, strict=True))
+    want = [ratio(*p) for p in pairs]
+    assert list(_ratios(a, b, 0.0)) == want
+    assert [r if r >= 0.85 else 0 for r in _ratios(a, b, 0.85)] == [r if r >= 0.85 else 0 for r in want]
+    assert pd.isna(_ratios(pd.Series([None, "a"]), pd.Series(["a", "a"]), 0.85)).tolist() == [True, False]

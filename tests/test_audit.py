@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import key_sets
 from citeloom.operators import style, triage
 from citeloom.operators.compare import authors_apart, raw_agreement, year_differs
-from citeloom.operators.resolve import credible, look_up
+from citeloom.operators.resolve import by_identifier, credible, look_up
 from citeloom.operators.titlejoin import title_candidates
 from citeloom.plans import audit
 from citeloom.sources import bibtex, http
@@ -288,3 +288,16 @@ def test_entry_contract():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 35
+
+
+def _arxiv_registry(spark):
+    known = spark.createDataFrame([(1, "arxiv", "A", ["X"], "2001", "2001.00001"), (2, "arxiv", "B", ["Y"], "2001", "2001.000002")], "registry_id long, source string, title string, families array<string>, year string, arxiv string")
+    return reg.prepared(known.withColumn("doi", F.lit(None).cast("string")))
+
+
+def test_what_is_no_arxiv_id_finds_nothing(spark):
+    """A number that is too long is malformed, also where a registry has a record under it."""
+    refs = spark.createDataFrame([(1, "2001.00001v2", None, []), (2, "arXiv:2001.000002", None, []), (3, "2001.000003", None, []), (4, "2001.000002", None, ["arxiv"])], "ref_id int, arxiv string, doi string, down array<string>")
+    got = {r.ref_id: (r.registry_id, r.dead, r.how, r.status) for r in by_identifier(refs, _arxiv_registry(spark)).collect()}
+    bad = (None, None, "arxiv:malformed")
+    assert got == {1: (1, None, "arxiv", "hit"), 2: (*bad, "malformed"), 3: (*bad, "malformed"), 4: (*bad, "unavailable")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import key_sets
 from citeloom.operators import style, triage
 from citeloom.operators.compare import authors_apart, raw_agreement, year_differs
-from citeloom.operators.resolve import by_identifier, credible, look_up
+from citeloom.operators.resolve import by_identifier, credible, look_up, verify_arxiv
 from citeloom.operators.titlejoin import title_candidates
 from citeloom.plans import audit
 from citeloom.sources import bibtex, http
@@ -301,3 +301,10 @@ def test_what_is_no_arxiv_id_finds_nothing(spark):
     got = {r.ref_id: (r.registry_id, r.dead, r.how, r.status) for r in by_identifier(refs, _arxiv_registry(spark)).collect()}
     bad = (None, None, "arxiv:malformed")
     assert got == {1: (1, None, "arxiv", "hit"), 2: (*bad, "malformed"), 3: (*bad, "malformed"), 4: (*bad, "unavailable")}
+
+
+def test_single_ids_are_hits_or_misses(spark):
+    """A look-up of one id asks the registry, which has it or not."""
+    ids = spark.createDataFrame([("2001.00001v2",), ("2001.000002v2",), ("2001.000003v2",)], "id string")
+    got = {r.id: (r.status, r.title, r.authors) for r in verify_arxiv(ids, _arxiv_registry(spark)).collect()}
+    assert got == {"2001.00001v2": ("hit", "A", 1), "2001.000002v2": ("hit", "B", 1), "2001.000003v2": ("miss", None, None)}

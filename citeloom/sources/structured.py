@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,14 @@ def structured_refs(files: DataFrame) -> DataFrame:
 LINE_BREAK = r"\r\n|[\n\r\f\u000b\u001c-\u001e\u0085\u2028\u2029]"
 
 
-def text_lines(files: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) of rows (doc_id, text), pos from 0; a break at the end begins no line."""
+def text_lines(files: DataFrame, newline: str | None = None) -> DataFrame:
+    """(doc_id, pos, line) of rows (doc_id, text), pos from 0; a break at the end begins no line.
+
+    Where newline is given it alone separates lines and nothing else is done: what follows the last one is a line, though it be
+    empty, as is an empty text. A null text has no lines.
+    """
+    if newline is not None:
+        return files.select("doc_id", F.posexplode(F.split("text", re.escape(newline), -1)).alias("pos", "line"))
     parts = F.split(F.coalesce("text", F.lit("")), LINE_BREAK)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return files.select("doc_id", F.posexplode(parts).alias("pos", "line"))

@@ -116,3 +116,13 @@ def test_ratios_below_a_bound_are_nought(spark):
     assert list(_ratios(a, b, 0.0)) == want
     assert [r if r >= 0.85 else 0 for r in _ratios(a, b, 0.85)] == [r if r >= 0.85 else 0 for r in want]
     assert pd.isna(_ratios(pd.Series([None, "a"]), pd.Series(["a", "a"]), 0.85)).tolist() == [True, False]
+
+
+def test_norms_of_letters_are_one_function(spark):
+    """Each character alone and between letters, in the JVM or in Python, is what norm_text makes of it; Latin letters need no Python."""
+    from citeloom.functions import text
+
+    rows = [f"{c}|a{c}B {c}{c}" for c in map(chr, [*range(1, 0x2100), 0xFF21, 0x1F600]) if not 0xD800 <= ord(c) < 0xE000] + ["é\u0301x", "İstanbul – ÆØß ŉ", "&eacute; <b>é</b>", None]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.norm_col(F.col("t")).alias("n")).collect()
+    assert [r.t for r in got if r.n != (None if r.t is None else text.norm_text(r.t))] == []
+    assert {text._ONE[c] for c in "éüÅşñ"} == set("euasn") and text._MANY["ß"] == "ss"

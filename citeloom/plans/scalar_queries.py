@@ -21,6 +21,7 @@ from citeloom.sources import registry as reg
 from citeloom.sources import requests
 from citeloom.sources.http import fetch_all
 from citeloom.sources.structured import reference_section
+from citeloom.storage import spread
 
 _FIRST = "string_split(coalesce(text, ''), chr(10))[1]"
 _SPELLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ŋ": "ng", "Ŋ": "Ŋ", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ı": "i", "ĸ": "k"}
@@ -205,7 +206,7 @@ def d5_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.to_json(F.struct(F.array("p_name").alias("title"), people.alias("author"), date(year + 1).alias("published"), date(year).alias("published-print"), F.concat(F.lit("10.1000/"), text).alias("DOI")))
     entry = [F.lit("<entry><id>http://arxiv.org/abs/2001."), (10000 + k).cast("string"), F.lit("v7</id><title>T</title><published>"), (year + 1).cast("string"), F.lit("-01-01</published><author><name>Ada Abel</name></author></entry></feed>")]
     xml = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), *entry)
-    shown = _part(spark, sf_dir).select(k.alias("k"), reg.display(json).alias("r"), reg.display_atom(xml).alias("x"))
+    shown = spread(_part(spark, sf_dir)).select(k.alias("k"), reg.display(json).alias("r"), reg.display_atom(xml).alias("x"))
     return shown.select("k", "r.title", "r.year", "r.first_author", F.col("r.authors").cast("int").alias("authors"), "r.doi", F.col("x.year").alias("atom_year"), F.col("x.first_author").alias("atom_author"), F.col("x.arxiv").alias("atom_id"))
 
 

@@ -126,3 +126,11 @@ def test_norms_of_letters_are_one_function(spark):
     got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", text.norm_col(F.col("t")).alias("n")).collect()
     assert [r.t for r in got if r.n != (None if r.t is None else text.norm_text(r.t))] == []
     assert {text._ONE[c] for c in "éüÅşñ"} == set("euasn") and text._MANY["ß"] == "ss"
+
+
+def test_decoders_are_spread_over_cores(spark):
+    """A table of one file is decoded in more than one task."""
+    from citeloom.plans import queries
+
+    for name in ("d2_arxiv_atom", "d5_display"):
+        assert queries.Q[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4

@@ -308,3 +308,14 @@ def test_single_ids_are_hits_or_misses(spark):
     ids = spark.createDataFrame([("2001.00001v2",), ("2001.000002v2",), ("2001.000003v2",)], "id string")
     got = {r.id: (r.status, r.title, r.authors) for r in verify_arxiv(ids, _arxiv_registry(spark)).collect()}
     assert got == {"2001.00001v2": ("hit", "A", 1), "2001.000002v2": ("hit", "B", 1), "2001.000003v2": ("miss", None, None)}
+
+
+def test_entries_are_sent_on_as_they_are_parsed():
+    """What Python holds of a file's entries doesn't grow with the file."""
+    import pyarrow as pa
+
+    text = "".join(f"@misc{{k{k}, title={{T {k}}}}}\n" for k in range(2500))
+    files = pa.RecordBatch.from_arrays([pa.array(["a", "b", None]), pa.array([text, None, "@misc{x, year=2001}"])], names=["bib", "text"])
+    out = list(bibtex._entries(iter([files])))
+    assert [len(b) for b in out] == [1000, 1000, 501] and out[-1].column(1).to_pylist()[-2:] == [2500, 1]
+    assert list(bibtex._entries(iter([]))) == []

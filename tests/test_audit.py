@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import key_sets
 from citeloom.operators import style, triage
 from citeloom.operators.compare import authors_apart, raw_agreement, year_differs
-from citeloom.operators.resolve import by_identifier, credible, look_up, verify_arxiv
+from citeloom.operators.resolve import by_identifier, credible, fitting, look_up, verify_arxiv
 from citeloom.operators.titlejoin import title_candidates
 from citeloom.plans import audit
 from citeloom.sources import bibtex, http
@@ -319,3 +319,11 @@ def test_entries_are_sent_on_as_they_are_parsed():
     out = list(bibtex._entries(iter([files])))
     assert [len(b) for b in out] == [1000, 1000, 501] and out[-1].column(1).to_pylist()[-2:] == [2500, 1]
     assert list(bibtex._entries(iter([]))) == []
+
+
+def test_of_records_under_one_identifier_the_fitting_one(spark):
+    rows = [(1, "arxiv", "Other words here", "2001.00001"), (2, "arxiv", "The title meant", "2001.00001"), (3, "arxiv", "The title meant", "2001.00001"), (4, "arxiv", "Alone", "2001.00002")]
+    known = reg.prepared(spark.createDataFrame(rows, "registry_id long, source string, title string, arxiv string").withColumn("doi", F.lit(None).cast("string")))
+    refs = spark.createDataFrame([(1, "2001.00001", None, [], "A. Abel: The title meant. 2001"), (2, "2001.00001", None, [], "zzz"), (3, "2001.00002", None, [], "zzz"), (4, "2001.00003", None, [], "The title meant")], "ref_id int, arxiv string, doi string, down array<string>, text string")
+    got = fitting(by_identifier(refs, known), refs.select("ref_id", "text"), known).collect()
+    assert {r.ref_id: (r.registry_id, r.status) for r in got} == {1: (2, "hit"), 2: (1, "hit"), 3: (4, "hit"), 4: (None, "miss")}
